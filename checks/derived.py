@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runweave.session import spread_scan
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -108,7 +110,9 @@ def plan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('[{"Plan": {"Node Type": "Gather", "Workers Launched": '), F.col("l_linenumber"),
         F.lit(', "Plans": ['), inner, F.lit(']}, "Execution Time": '), F.col("l_extendedprice").cast("decimal(18,2)"), F.lit("}]"),
     )
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", doc.alias("plan"))
+    lines = spread_scan(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    return lines.select("l_orderkey", "l_partkey", "l_linenumber", doc.alias("plan"))
 
 
 PLAN_TOTALS_SQL = """

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from runweave.functions.sqltext import trim_blank
 
-# Driver error prefixes, characters the chat markup reserves, line ends of str.splitlines().
+# Driver error prefixes, characters the chat markup reserves, line ends of str.splitlines() besides newline.
 ERROR_CLASS_REGEX = r"(?dU)\(psycopg2\.errors\.\w+\)\s*(.+?)(?:\n|$)"
 ERROR_DRIVER_REGEX = r"(?dU)psycopg2\.\w+\)\s*(.+?)(?:\n|$)"
 MARKUP_SPECIAL = "_*[]()~`>#+-=|{}.!"
-LINE_ENDS_REGEX = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 MARKUP_SPECIAL_REGEX = "([" + "".join("\\" + c for c in MARKUP_SPECIAL) + "])"
 MARKUP_TOKEN_REGEX = r"(?s)\*\*.*?\*\*|`[^`]*`|[^*`]+|[*`]"
@@ -28,21 +28,17 @@ def clean_error(error: Column, summary: bool = False) -> Column:
     return F.coalesce(found(ERROR_CLASS_REGEX), found(ERROR_DRIVER_REGEX), F.left(error, F.lit(300)))
 
 
-def last_items(items: Column, n: int) -> Column:
-    return F.slice(items, F.greatest(F.size(items) - F.lit(n), F.lit(0)) + 1, F.lit(n))
-
-
 def tail_stderr(text: Column, n: int = 60) -> Column:
     """Last `n` lines joined by newline; a closing line end opens no extra line."""
-    lines = F.split(text, LINE_ENDS_REGEX, -1)
-    size = F.size(lines)
-    whole = F.when(F.try_element_at(lines, F.lit(-1)) == "", F.slice(lines, F.lit(1), size - 1)).otherwise(lines)
-    return F.array_join(last_items(whole, n), "\n")
+    lines = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), OTHER_LINE_ENDS, "\n" * len(OTHER_LINE_ENDS))
+    closed = F.when(F.endswith(lines, F.lit("\n")), F.left(lines, F.length(lines) - 1)).otherwise(lines)
+    return F.substring_index(closed, "\n", -n)
 
 
 def tail_log(text: Column, n: int = 5, width: int = 120) -> Column:
     """Last `n` lines of a log as an array, each cut to `width` characters."""
-    return F.transform(last_items(F.split(trim_blank(text), "\n", -1), n), lambda line: F.left(line, F.lit(width)))
+    tail = F.substring_index(trim_blank(text), "\n", -n)
+    return F.transform(F.split(tail, "\n", -1), lambda line: F.left(line, F.lit(width)))
 
 
 def escape_special(text: Column) -> Column:
@@ -57,7 +53,9 @@ def escape_markup(text: Column) -> Column:
         .when((F.length(t) >= 2) & F.startswith(t, F.lit("`")), t)
         .otherwise(escape_special(t))
     )
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(MARKUP_TOKEN_REGEX), F.lit(0)), token_text), "")
+    tokens = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(MARKUP_TOKEN_REGEX), F.lit(0)), token_text), "")
+    marked = F.contains(text, F.lit("**")) | F.contains(text, F.lit("`"))
+    return F.when(marked, tokens).otherwise(escape_special(text))
 
 
 def chat_message(subject: Column, body: Column, user: Column) -> Column:

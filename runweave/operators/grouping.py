@@ -65,14 +65,9 @@ def plan_listing(steps: DataFrame) -> DataFrame:
 def group_durations(steps: DataFrame) -> DataFrame:
     """Steps and seconds per run of one transaction label; steps without a label stand alone."""
     return (
-        consecutive_runs(steps, ["manifest"], "seq", F.col("transaction_group"), out="task_no")
-        .groupBy("manifest", "task_no")
-        .agg(
-            F.max("transaction_group").alias("transaction_group"),
-            F.min_by("name", "seq").alias("first_step"),
-            F.count("*").alias("steps"),
-            F.sum("duration").alias("seconds"),
-        )
+        consecutive_runs(steps, ["manifest"], "seq", F.col("transaction_group"), carry=["name"], out="task_no")
+        .groupBy("manifest", "task_no", "transaction_group", F.col("run_name").alias("first_step"))
+        .agg(F.count("*").alias("steps"), F.sum("duration").alias("seconds"))
     )
 
 
@@ -92,7 +87,7 @@ def even_split(steps: DataFrame, walls: DataFrame, keys: list[str], wall: str =
     """
     sizes = steps.groupBy(*keys).agg(F.count("*").alias("group_steps")).join(walls.select(*keys, wall), keys, "left")
     return (
-        attach_by_key(steps, sizes, keys, "group_steps")
+        attach_by_key(steps, sizes, keys)
         .withColumn("duration", F.col(wall) / F.col("group_steps"))
         .drop(wall)
     )
@@ -108,8 +103,8 @@ def alerting_groups(steps: DataFrame) -> DataFrame:
     return (
         consecutive_runs(steps, ["manifest"], "seq", F.col("joined_group"))
         .where("joined_group is not null")
-        .groupBy("manifest", "run_no")
-        .agg(F.max("joined_group").alias("joined_group"), F.count("*").alias("steps"), F.sum("duration").alias("seconds"))
+        .groupBy("manifest", "run_no", "joined_group")
+        .agg(F.count("*").alias("steps"), F.sum("duration").alias("seconds"))
         .where(F.col("seconds") > ALERT_SECONDS)
     )
 
@@ -119,8 +114,8 @@ def mixed_groups(steps: DataFrame) -> DataFrame:
     return (
         consecutive_runs(steps, ["manifest"], "seq", F.col("joined_group"))
         .where("joined_group is not null")
-        .groupBy("manifest", "run_no")
-        .agg(F.max("joined_group").alias("joined_group"), F.array_sort(F.collect_set("type")).alias("types"))
+        .groupBy("manifest", "run_no", "joined_group")
+        .agg(F.array_sort(F.collect_set("type")).alias("types"))
         .where(~((F.size("types") == 1) & F.array_contains("types", "psql")))
     )
 
@@ -141,11 +136,8 @@ def fuse_fragments(steps: DataFrame, sql: str = "sql_text", segment_rows: int =
             F.concat(fragment_body(F.col(sql)), F.lit("\n;"))))
     )
     fused = (
-        pieces.groupBy("manifest", "run_no", "glue", F.expr(f"seq div {int(segment_rows)}").alias("segment"))
-        .agg(
-            F.max("joined_group").alias("joined_group"),
-            F.array_sort(F.collect_list(F.struct("seq", "_piece"))).alias("_pieces"),
-        )
+        pieces.groupBy("manifest", "run_no", "joined_group", "glue", F.expr(f"seq div {int(segment_rows)}").alias("segment"))
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "_piece"))).alias("_pieces"))
     )
     joint = F.when(F.col("glue") == "raw", RAW_JOINT).otherwise(STATEMENT_JOINT)
     return fused.select(

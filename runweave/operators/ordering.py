@@ -94,24 +94,25 @@ def consecutive_runs(
     )
 
 
-def attach_by_key(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str, rows_per_task: int = BLOCK_ROWS
-) -> DataFrame:
+def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], rows_per_task: int = BLOCK_ROWS) -> DataFrame:
     """Left join one row of facts per key to the rows, splitting the keys heavier than `rows_per_task`.
 
-    `weight` is the row count of the key, a column of `facts`. A heavy key is dealt over several
-    parts by a hash of the row and its facts are copied once per part. The list of heavy keys is
-    broadcast: it holds at most total rows / `rows_per_task` entries.
+    A heavy key is dealt over several parts by a hash of the row, and its facts are copied once per
+    part. The list of heavy keys is broadcast: it holds at most total rows / `rows_per_task` entries.
     """
-    parts = F.ceil(F.col(weight) / rows_per_task).cast("int")
-    heavy = facts.where(F.col(weight) > rows_per_task).select(*keys, parts.alias("_parts"))
+    heavy = F.broadcast(
+        rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
+        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
+    )
+    parts = F.coalesce("_parts", F.lit(1))
     dealt = (
-        rows.withColumn("_spread", F.xxhash64(*rows.columns))
-        .join(F.broadcast(heavy), list(keys), "left")
-        .withColumn("_part", F.coalesce(F.pmod("_spread", "_parts").cast("int"), F.lit(0)))
-        .drop("_spread", "_parts")
+        rows.withColumn("_spread", F.xxhash64(*rows.columns)).join(heavy, list(keys), "left")
+        .withColumn("_part", F.pmod(F.col("_spread"), parts).cast("int")).drop("_spread", "_parts")
+    )
+    copies = (
+        facts.join(heavy, list(keys), "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     )
-    copies = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     return dealt.join(copies, [*keys, "_part"], "left").drop("_part")
 
 

@@ -17,8 +17,12 @@ def sql_monitor_agg(monitor: DataFrame, sql_id=None, sid=None) -> DataFrame:
         monitor = monitor.where(F.col("sql_id") == sql_id)
     if sid is not None:
         monitor = monitor.where(F.col("sid") == sid)
+    sums = ("elapsed_time", "cpu_time", "user_io_wait_time", "physical_read_bytes")
     total = lambda name: F.coalesce(F.sum(name), F.lit(0))
-    return monitor.groupBy("sql_id", "sql_exec_id").agg(
+    # Numbers fold per status first, in a hash aggregate; the text maximum would force a sort of the raw rows.
+    per_status = monitor.groupBy("sql_id", "sql_exec_id", "status").agg(
+        *[F.sum(name).alias(name) for name in sums], F.max("px_servers_allocated").alias("px_servers_allocated"))
+    return per_status.groupBy("sql_id", "sql_exec_id").agg(
         (total("elapsed_time") / 1000.0).alias("duration_ms"),
         (total("cpu_time") / 1000.0).alias("db_cpu_ms"),
         (total("user_io_wait_time") / 1000.0).alias("db_io_ms"),

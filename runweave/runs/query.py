@@ -111,7 +111,8 @@ def run_sql(
         raise ValueError("When `target` is given, do not also pass `tables`: the target supplies them all.")
     transport = "session"
     if target is not None:
-        transport = register_target(spark, targets or {}, target).get("transport", "parquet")
+        mentioned_in = " ".join([sql, *map(str, (params or {}).values())])
+        transport = register_target(spark, targets or {}, target, mentioned_in).get("transport", "parquet")
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
 

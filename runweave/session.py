@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_run_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created until something is written to it."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores when it has fewer partitions than these, as files of one
+    row group have; meant for heavy work per row. A scan with enough partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from typing import Any
 
@@ -37,9 +38,13 @@ def target_table(spark: SparkSession, config: Mapping[str, Any], table: str) ->
     raise ValueError(f"Unknown transport: {transport!r}")
 
 
-def register_target(spark: SparkSession, targets: Targets, name: str) -> dict[str, Any]:
-    """Make the target's tables available to SQL as temporary views; returns its settings."""
+def register_target(spark: SparkSession, targets: Targets, name: str, mentioned_in: str | None = None) -> dict[str, Any]:
+    """Make the target's tables available to SQL as temporary views; returns its settings.
+
+    With `mentioned_in`, tables whose name does not occur in that text are not opened.
+    """
     config = resolve_target(targets, name)
     for table in config["tables"]:
-        target_table(spark, config, table).createOrReplaceTempView(table)
+        if mentioned_in is None or re.search(rf"\b{re.escape(table)}\b", mentioned_in, re.IGNORECASE):
+            target_table(spark, config, table).createOrReplaceTempView(table)
     return config
