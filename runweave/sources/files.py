@@ -62,10 +62,8 @@ def scan_report_tasks(spark: SparkSession, paths: str | Sequence[str], multi_lin
 
 def scan_sql_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Whole files as UTF-8 text with their path; a path that does not exist is an error."""
-    return (
-        spark.read.option("wholetext", True).text(_paths(paths))
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("sql_text"))
-    )
+    files = spark.read.format("binaryFile").load(_paths(paths))
+    return files.select("path", F.decode("content", "UTF-8").alias("sql_text"))
 
 
 def scan_manifests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
