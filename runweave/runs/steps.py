@@ -25,7 +25,7 @@ from runweave.runs.query import hash_text, run_script
 from runweave.sinks.publish import PublishGroup
 from runweave.sinks.runlog import append_run_log
 from runweave.sinks.tables import drop_table, truncate_table
-from runweave.sources.files import scan_sql_files
+from runweave.sources.files import read_sql_file
 
 STEP_LOG_SCHEMA = (
     "manifest string, seq bigint, name string, type string, `group` string, "
@@ -178,7 +178,7 @@ class StepRunner:
     def _read(self, file: str) -> str:
         if file in self.sql_texts:
             return self.sql_texts[file]
-        return scan_sql_files(self.spark, file).first()["sql_text"]
+        return read_sql_file(self.spark, file)
 
     def _record(self, step: Row, duration: float, status: str = "done", error: str | None = None) -> dict[str, Any]:
         return {

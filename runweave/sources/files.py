@@ -61,11 +61,20 @@ def scan_report_tasks(spark: SparkSession, paths: str | Sequence[str], multi_lin
 
 
 def scan_sql_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Whole files as UTF-8 text with their path; a path that does not exist is an error."""
+    """Whole files as UTF-8 text with their path; a path that does not exist is an error.
+
+    Spark skips files of no bytes, so an empty file gives no row.
+    """
     files = spark.read.format("binaryFile").load(_paths(paths))
     return files.select("path", F.decode("content", "UTF-8").alias("sql_text"))
 
 
+def read_sql_file(spark: SparkSession, path: str) -> str:
+    """Text of one SQL file."""
+    row = scan_sql_files(spark, path).first()
+    return row["sql_text"] if row else ""
+
+
 def scan_manifests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Raw steps of YAML manifests: `manifest` (its path), `seq` from 1, `raw` (map of text).
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from runweave.functions.sqltext import strip_terminator, trim_blank
+from runweave.functions.sqltext import WHITESPACE, trim_blank
 from runweave.runs.query import run_sql
-from runweave.sources.files import scan_sql_files
+from runweave.sources.files import read_sql_file
 from runweave.sources.targets import Targets
 
 REQUEST_SCHEMA = (
@@ -73,8 +73,7 @@ def write_responses(answers: DataFrame, path: str) -> None:
 def answer_request(spark: SparkSession, request, targets: Targets) -> tuple:
     """Run one request and write its CSV; a failure becomes the answer's error text."""
     try:
-        files = scan_sql_files(spark, request["sql_file"])
-        sql = files.select(strip_terminator(F.col("sql_text"))).first()[0]
+        sql = read_sql_file(spark, request["sql_file"]).strip(WHITESPACE).removesuffix(";").strip(WHITESPACE)
         result = run_sql(spark, sql, target=request["target"], targets=targets, limit=request["limit"])
         record = result.to_csv(request["output"])
         return request["id"], True, record["rows"], None

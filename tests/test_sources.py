@@ -46,7 +46,9 @@ def test_sql_files(spark, tmp_path):
     write(tmp_path / "sql" / "a.sql", "SELECT 'é'\nFROM t;\n")
     write(tmp_path / "sql" / "b.sql", "")
     rows = files.scan_sql_files(spark, f"{tmp_path}/sql/*.sql").collect()
-    assert {r.path.rsplit("/", 1)[1]: r.sql_text for r in rows} == {"a.sql": "SELECT 'é'\nFROM t;\n", "b.sql": ""}
+    assert {r.path.rsplit("/", 1)[1]: r.sql_text for r in rows} == {"a.sql": "SELECT 'é'\nFROM t;\n"}
+    assert files.read_sql_file(spark, f"{tmp_path}/sql/a.sql") == rows[0].sql_text
+    assert files.read_sql_file(spark, f"{tmp_path}/sql/b.sql") == ""
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.scan_sql_files(spark, f"{tmp_path}/none.sql")
 
