@@ -87,7 +87,7 @@ QUERIES = {
     "report_series": report_series,
 }
 
-_REPORT_SQL = f"""
+REPORT_SQL = f"""
 SELECT run_id, seq, task_name, db_type, coalesce(duration_ms, 0) / 1000.0 AS execution_time_sec,
        coalesce(parallel_degree, 1) AS parallel_degree, cpu_time_sec, io_time_sec,
        CASE WHEN cpu_time_sec + io_time_sec > 0 THEN CASE WHEN io_time_sec / (cpu_time_sec + io_time_sec) > 0.5 THEN 'I/O' ELSE 'CPU' END
@@ -133,12 +133,12 @@ ORACLE = {
             CASE WHEN (l_discount / 1000.0) / (l_tax / 1000.0 + l_discount / 1000.0) > 0.5 THEN 'I/O' ELSE 'CPU' END
           WHEN l_returnflag <> 'N' AND l_quantity > 0 THEN CASE WHEN l_quantity / (l_quantity + l_linenumber * 5) > 0.5 THEN 'I/O' ELSE 'CPU' END
           ELSE 'Unknown' END AS bottleneck FROM lineitem""",
-    "report_rows": _REPORT_SQL,
+    "report_rows": REPORT_SQL,
     "report_series": f"""
         SELECT run_id, (seq - 1) // 20 AS part, string_agg(task_name, '|' ORDER BY seq) AS names,
                string_agg(CAST(CAST(round(execution_time_sec * 1000) AS BIGINT) AS varchar), '|' ORDER BY seq) AS durations,
                string_agg(CAST(CAST(round(cpu_time_sec * 1000) AS BIGINT) AS varchar), '|' ORDER BY seq) AS cpu_times,
                string_agg(CAST(CAST(round(io_time_sec * 1000) AS BIGINT) AS varchar), '|' ORDER BY seq) AS io_times,
                string_agg(CAST(parallel_degree AS varchar), '|' ORDER BY seq) AS parallel_degrees
-        FROM ({_REPORT_SQL}) r GROUP BY run_id, (seq - 1) // 20""",
+        FROM ({REPORT_SQL}) r GROUP BY run_id, (seq - 1) // 20""",
 }

@@ -166,7 +166,8 @@ def plan_listing(spark, sf_dir):
 
 def profile_query(spark, sf_dir):
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("profile_lineitem")
-    return profile(spark, "SELECT l_returnflag, count(*) AS n FROM profile_lineitem GROUP BY l_returnflag;")
+    profiled = profile(spark, "SELECT l_returnflag, l_linestatus, count(*) AS n FROM profile_lineitem GROUP BY ALL;")
+    return profiled.select("rows", F.contains("plan_content", F.lit("HashAggregate")).alias("aggregates"), (F.col("duration_ms") > 0).alias("timed"))
 
 
 QUERIES = {
@@ -251,6 +252,9 @@ ORACLE = {
                concat(n_regionkey, '/', n_nationkey, '/', c_custkey, '/', o_orderkey) AS path
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
+    "profile_query": """
+        SELECT count(*) AS rows, TRUE AS aggregates, TRUE AS timed
+        FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)""",
     "plan_listing": f"""
         WITH steps AS (
           SELECT *, CASE WHEN joined_group IS NOT NULL THEN concat('J', joined_group)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import derived
 from checks.derived import table
+from checks.plans import REPORT_SQL
 from runweave.functions.sqltext import split_statements
 from runweave.plans.report import report_rows
 from runweave.session import new_run_dir
@@ -138,5 +139,7 @@ ORACLE = {
     "sink_provenance": f"""
         SELECT "fetch", status, count(*) AS n, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms, count(error) AS errors
         FROM ({derived.RUN_RECORDS_SQL}) r GROUP BY "fetch", status""",
+    "sink_report": f"""
+        SELECT run_id, seq, task_name, plan_file, plan_content, rendered_sql_file, rendered_sql FROM ({REPORT_SQL}) r""",
     "publish_group": "SELECT o_orderkey, o_orderstatus, 2 AS version, 2 AS published_names FROM orders",
 }

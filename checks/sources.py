@@ -72,7 +72,7 @@ def scan_sql_corpus(spark, sf_dir):
     """Write the corpus as files of many lines, read the files whole, and count their lines per order status."""
     path = new_run_dir(spark, "corpus")
     line = F.concat(F.col("o_orderstatus"), F.lit("|"), F.translate("sql_text", "\n", " "))
-    derived.corpus(spark, sf_dir).select(line.alias("value")).write.option("maxRecordsPerFile", 10000).text(path)
+    derived.corpus(spark, sf_dir).select(line.alias("value")).write.option("maxRecordsPerFile", 200_000).text(path)
     lines = scan_sql_files(spark, path).select("path", F.explode(F.split("sql_text", "\n")).alias("line"))
     return lines.where("line != ''").groupBy(F.left("line", F.lit(1)).alias("o_orderstatus")).agg(
         F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))

@@ -3,7 +3,8 @@
 A window over a whole key would sort that key in one task. Here each key is cut into blocks of
 `block_rows` order values, the window runs inside a block, and only one summary row per block goes
 through a window over the whole key. The order column must be an integer that is unique within
-its key, so a block never holds more than `block_rows` rows.
+its key, so a block never holds more than `block_rows` rows. Where order values are sparse (times,
+say), pass the width of a block in their unit.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 20
+BROADCAST_ROWS = 50_000
 
 
 def _block(order: str, block_rows: int) -> Column:
@@ -116,6 +118,14 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], rows_p
     return dealt.join(copies, [*keys, "_part"], "left").drop("_part")
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for narrow rows counted to be few; beyond that the join is left to Catalyst.
+
+    Counting runs the input, so this is for checkpoints and other cheap inputs.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread_nulls(key: Column, *unique: Column) -> Column:
     """Join key whose nulls are replaced by distinct values that match nothing, so that rows
     without a key do not all land in one task of an outer join."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runweave.operators.ordering import spread_nulls
+from runweave.operators.ordering import broadcast_if_small, spread_nulls
 from runweave.session import shared_dir
 
 # Step types, step keys, and the allowed values of two of them.
@@ -199,26 +199,30 @@ def expand_manifests(steps: DataFrame, root: str, enable_all: bool = False) -> D
     """Steps of `root` with every manifest step replaced, in place, by the steps of its child.
 
     Adds `path`, the array of `seq` values from the root down; sorting by it gives run order.
-    Each round joins only the manifest steps, which are few and are checkpointed, with the step
-    table; the other steps stay lazy. The number of rounds is the nesting depth.
+    The rounds, one per nesting depth, join only manifest steps with each other, on checkpoints; the
+    step table is read once more at the end, when every inclusion of a manifest is known.
     """
-    spark = steps.sparkSession
-    shared_dir(spark)
+    shared_dir(steps.sparkSession)
     queue = enabled_filter(steps, enable_all)
-    children = queue.withColumnRenamed("manifest", "_child")
     nested = F.col("type") == "manifest"
-
-    at_root = queue.where(F.col("manifest") == root).withColumn("path", F.array("seq"))
-    leaves = [at_root.where(~nested)]
-    frontier = at_root.where(nested).select(
-        F.col("file").alias("_child"), F.col("path").alias("_path"), F.array(F.lit(root), "file").alias("_seen")
-    ).checkpoint()
-    while not frontier.isEmpty():
-        if not frontier.where(F.size(F.array_distinct("_seen")) < F.size("_seen")).isEmpty():
-            raise ValueError(f"manifest {root!r} includes itself")
-        level = frontier.join(children, "_child").withColumn("path", F.concat("_path", F.array("seq")))
-        leaves.append(level.where(~nested).withColumn("manifest", F.col("_child")).select(*queue.columns, "path"))
-        frontier = level.where(nested).select(
-            F.col("file").alias("_child"), F.col("path").alias("_path"), F.concat("_seen", F.array("file")).alias("_seen")
+    calls = queue.where(nested).select(F.col("manifest").alias("_child"), "seq", "file").checkpoint()
+
+    frontier = steps.sparkSession.range(1, numPartitions=1).select(
+        F.lit(root).alias("_child"), F.array().cast("array<bigint>").alias("_path"), F.array(F.lit(root)).alias("_seen"))
+    inclusions = [frontier]
+    while True:
+        frontier = broadcast_if_small(frontier).join(calls, "_child").select(
+            F.col("file").alias("_child"),
+            F.concat("_path", F.array("seq")).alias("_path"),
+            F.concat("_seen", F.array("file")).alias("_seen"),
         ).checkpoint()
-    return reduce(DataFrame.unionByName, leaves)
+        cyclic = F.size(F.array_distinct("_seen")) < F.size("_seen")
+        found = frontier.agg(F.count("*").alias("n"), F.bool_or(cyclic).alias("cyclic")).first()
+        if found["cyclic"]:
+            raise ValueError(f"manifest {root!r} includes itself")
+        if not found["n"]:
+            break
+        inclusions.append(frontier)
+    included = broadcast_if_small(reduce(DataFrame.unionByName, inclusions).select("_child", "_path"))
+    leaves = queue.where(~nested).withColumn("_child", F.col("manifest"))
+    return included.join(leaves, "_child").select(*queue.columns, F.concat("_path", F.array("seq")).alias("path"))

@@ -20,12 +20,12 @@ from runweave.functions.sqltext import PLACEHOLDER_REGEX, WHITESPACE
 from runweave.functions.text import failure_body
 from runweave.operators.grouping import RAW_JOINT, STATEMENT_JOINT
 from runweave.operators.jobs import resume_pending
-from runweave.operators.steps import CatalogError, resolve_sql_ids, unresolved_sql_ids
+from runweave.operators.steps import CatalogError, resolve_sql_ids, typed_steps, unresolved_sql_ids, validate_catalog, validate_steps
 from runweave.runs.query import hash_text, run_script
 from runweave.sinks.publish import PublishGroup
 from runweave.sinks.runlog import append_run_log
 from runweave.sinks.tables import drop_table, truncate_table
-from runweave.sources.files import read_sql_file
+from runweave.sources.files import read_sql_file, scan_manifests
 
 STEP_LOG_SCHEMA = (
     "manifest string, seq bigint, name string, type string, `group` string, "
@@ -33,6 +33,15 @@ STEP_LOG_SCHEMA = (
 )
 
 
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """Typed steps of a YAML manifest; the first broken rule raises. `manifest` is the path as given."""
+    raw = scan_manifests(spark, path).withColumn("manifest", F.lit(path))
+    broken = validate_steps(raw).orderBy("seq", "rule_no").first()
+    if broken is not None:
+        raise ValueError(f"{path}, step {broken['seq']}: {broken['problem']}")
+    return typed_steps(raw)
+
+
 class StepFailed(RuntimeError):
     """A step of a manifest failed; `failed_step` names it and `body` is the alert text."""
 
@@ -94,6 +103,9 @@ class StepRunner:
     def _queue(self, steps: DataFrame, manifest: str, enable_all: bool) -> list[Row]:
         own = steps.where(F.col("manifest") == manifest)
         if self.catalog is not None:
+            flaws = validate_catalog(self.catalog).limit(10).collect()
+            if flaws:
+                raise CatalogError(f"catalog: {sorted(f'{r.problem} {r.sql_id}' for r in flaws)}")
             lost = unresolved_sql_ids(own, self.catalog).select("sql_id").distinct().limit(10).collect()
             if lost:
                 raise CatalogError(f"sql_id not found in catalog: {sorted(r.sql_id for r in lost)}")
@@ -151,7 +163,8 @@ class StepRunner:
         self._cleanup(step)
         kind, file, params = step["type"], step["file"], step["params"]
         if kind == "manifest":
-            self.run(steps, file, enable_all)
+            as_file = file.endswith((".yaml", ".yml"))
+            self.run(read_steps(self.spark, file) if as_file else steps, file, enable_all)
         elif kind == "python":
             if file not in self.functions:
                 raise FileNotFoundError(f"Python function not found: {file}")
@@ -206,6 +219,11 @@ def run_steps(
     return StepRunner(spark, publish_dir, log_dir, **how).run(steps, manifest, enable_all)
 
 
+def run_manifest(spark: SparkSession, path: str, publish_dir: str, log_dir: str, *, enable_all: bool = False, **how: Any) -> list[dict[str, Any]]:
+    """Run a YAML manifest file."""
+    return run_steps(spark, read_steps(spark, path), path, publish_dir, log_dir, enable_all=enable_all, **how)
+
+
 def apply_step(df: DataFrame, function: Callable[..., DataFrame], params: Mapping[str, Any] | None = None) -> DataFrame:
     """A python step over a table: a registered DataFrame function with the step's params."""
     return df.transform(function, **(params or {}))

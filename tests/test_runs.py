@@ -157,3 +157,24 @@ def test_cleanup_bulk_insert_and_catalog(spark, make, tmp_path):
 def test_apply_step(spark):
     shifted = steps.apply_step(spark.range(2), lambda df, by: df.select((F.col("id") + int(by)).alias("id")), {"by": "3"})
     assert sorted(r.id for r in shifted.collect()) == [3, 4]
+
+
+def test_manifest_files(spark, tmp_path):
+    (tmp_path / "one.sql").write_text("SELECT {{ n }} AS n;\n")
+    child = tmp_path / "child.yaml"
+    child.write_text(f"steps:\n  - {{name: inner, type: sql, file: {tmp_path}/one.sql, params: {{n: 7}}, output_file: inner}}\n")
+    main = tmp_path / "main.yaml"
+    main.write_text(f"steps:\n  - {{name: call, type: manifest, file: {child}}}\n  - {{name: off, type: sql, file: x.sql, enabled: false}}\n")
+    ran = steps.run_manifest(spark, str(main), str(tmp_path / "o"), str(tmp_path / "l"))
+    assert [r["name"] for r in ran] == ["call"]
+    out = published(spark, str(tmp_path / "o")).first()
+    assert (out.name, sorted(r.value for r in spark.read.text(out.path).collect())) == ("inner", ["7", "n"])
+    main.write_text("steps:\n  - {name: a, type: sql}\n  - {name: b, type: nope}\n")
+    with pytest.raises(ValueError, match="step 2: type nope is not one of"):
+        steps.run_manifest(spark, str(main), str(tmp_path / "o"), str(tmp_path / "l"))
+
+
+def test_flawed_catalog_is_refused(spark, make, tmp_path):
+    catalog = spark.createDataFrame([("x", "a.sql"), ("x", "b.sql")], "sql_id string, file string")
+    with pytest.raises(ValueError, match="duplicate id x"):
+        steps.run_steps(spark, make({"sql_id": "x"}), "m", str(tmp_path / "o"), str(tmp_path / "l"), catalog=catalog)
