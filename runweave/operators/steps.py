@@ -79,8 +79,9 @@ def typed_steps(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Typed step columns with their defaults from raw steps; empty group labels become null."""
     step = F.col(raw_col)
     value = lambda key: F.try_element_at(step, F.lit(key))
-    truth = lambda key, default: F.coalesce(
-        ~F.lower(value(key)).isin("", "false", "no", "off", "0"), F.lit(default))
+    truth = lambda key, default: F.when(
+        F.map_contains_key(step, key), ~F.lower(F.coalesce(value(key), F.lit(""))).isin("", "false", "no", "off", "0")
+    ).otherwise(default)
     label = lambda key: F.when(~value(key).isin("", "0"), value(key))
     columns = {
         "name": value("name"),

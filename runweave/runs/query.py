@@ -17,7 +17,7 @@ from runweave.sinks.files import sink_csv, sink_parquet
 from runweave.sinks.runlog import append_run_log, run_record
 from runweave.sources.targets import Targets, register_target
 
-_GUARD = re.compile(rf"^\s*({'|'.join(GUARDED_KEYWORDS)})\b", re.IGNORECASE | re.MULTILINE)
+GUARD = re.compile(rf"^\s*({'|'.join(GUARDED_KEYWORDS)})\b", re.IGNORECASE | re.MULTILINE)
 
 
 class DqlOnlyError(ValueError):
@@ -26,7 +26,7 @@ class DqlOnlyError(ValueError):
 
 def check_dql(sql: str) -> None:
     """Raise when a line starts with a guarded keyword, or when there is more than one statement."""
-    match = _GUARD.search(sql)
+    match = GUARD.search(sql)
     if match:
         raise DqlOnlyError(f"Blocked: '{match.group(1)}' statements are not allowed in DQL-only mode. SELECT only.")
     if sum(1 for part in sql.split(";") if part.strip()) > 1:

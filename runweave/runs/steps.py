@@ -21,9 +21,10 @@ from runweave.functions.text import failure_body
 from runweave.operators.grouping import RAW_JOINT, STATEMENT_JOINT
 from runweave.operators.jobs import resume_pending
 from runweave.operators.steps import CatalogError, resolve_sql_ids, typed_steps, unresolved_sql_ids, validate_catalog, validate_steps
-from runweave.runs.query import hash_text, run_script
+from runweave.plans.report import report_rows
+from runweave.runs.query import GUARD, hash_text, run_script, script_statements
 from runweave.sinks.publish import PublishGroup
-from runweave.sinks.runlog import append_run_log
+from runweave.sinks.runlog import append_run_log, sink_report
 from runweave.sinks.tables import drop_table, truncate_table
 from runweave.sources.files import read_sql_file, scan_manifests
 
@@ -31,6 +32,9 @@ STEP_LOG_SCHEMA = (
     "manifest string, seq bigint, name string, type string, `group` string, "
     "duration double, ts string, status string, error string"
 )
+REPORT_TASK_SCHEMA = (
+    "run_id string, task_no bigint, task_name string, db_type string, duration_ms double, plan_content string, rendered_sql string"
+)
 
 
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
@@ -83,12 +87,26 @@ class StepRunner:
     sql_texts: Mapping[str, str] = field(default_factory=dict)
     functions: Mapping[str, Callable[..., DataFrame | None]] = field(default_factory=dict)
     catalog: DataFrame | None = None
+    report_dir: str | None = None
+    report_tasks: list[dict[str, Any]] = field(default_factory=list)
+    run_id: str = field(default_factory=lambda: time.strftime("%Y%m%d_%H%M%S"))
 
     def run(self, steps: DataFrame, manifest: str, enable_all: bool = False) -> list[dict[str, Any]]:
-        """Run what is enabled and not logged as done; returns the records of the steps that ran."""
-        queue = self._queue(steps, manifest, enable_all)
+        """Run what is enabled and not logged as done; returns the records of the steps that ran.
+
+        With `report_dir`, the report rows of the run are appended there, also when a step fails.
+        """
+        try:
+            return self._run(steps, manifest, enable_all)
+        finally:
+            if self.report_dir and self.report_tasks:
+                tasks = self.spark.createDataFrame(self.report_tasks, REPORT_TASK_SCHEMA)
+                sink_report(report_rows(tasks, "task_no"), self.report_dir)
+                self.report_tasks = []
+
+    def _run(self, steps: DataFrame, manifest: str, enable_all: bool) -> list[dict[str, Any]]:
         records: list[dict[str, Any]] = []
-        for unit in self._units(queue):
+        for unit in self._units(self._queue(steps, manifest, enable_all)):
             records += self._run_unit(steps, unit, enable_all)
         return records
 
@@ -157,6 +175,8 @@ class StepRunner:
         if unit[-1]["output_file"] and result is not None and result.columns:
             outputs.stage(unit[-1]["output_file"], result, "csv_plain")
         share = (time.monotonic() - start) / len(unit)
+        for step in unit:
+            self._report(step, share, f"(part of joined_group '{label}', {len(unit)} fragments)", text)
         return [self._record(s, share) for s in unit]
 
     def _run_step(self, steps: DataFrame, step: Row, outputs: PublishGroup, enable_all: bool) -> None:
@@ -164,7 +184,7 @@ class StepRunner:
         kind, file, params = step["type"], step["file"], step["params"]
         if kind == "manifest":
             as_file = file.endswith((".yaml", ".yml"))
-            self.run(read_steps(self.spark, file) if as_file else steps, file, enable_all)
+            self._run(read_steps(self.spark, file) if as_file else steps, file, enable_all)
         elif kind == "python":
             if file not in self.functions:
                 raise FileNotFoundError(f"Python function not found: {file}")
@@ -177,9 +197,24 @@ class StepRunner:
                 for statement in filter(None, (s.strip(WHITESPACE) for s in text.split(";"))):
                     self.spark.sql(statement)
                 return
+            start = time.monotonic()
             result = run_script(self.spark, text)
             if step["output_file"] and result is not None and result.columns:
                 outputs.stage(step["output_file"], result, "csv_plain")
+            self._report(step, time.monotonic() - start, self._plan_of(step, text), text)
+
+    def _plan_of(self, step: Row, text: str) -> str:
+        """Plan of the step's last statement when the step asks for it and it is a query."""
+        statements = script_statements(text)
+        if not step.asDict().get("profile") or not statements or GUARD.search(statements[-1]):
+            return "(profiling disabled for this step)"
+        return self.spark.sql(f"EXPLAIN FORMATTED {statements[-1]}").first()[0]
+
+    def _report(self, step: Row, seconds: float, plan: str, text: str) -> None:
+        self.report_tasks.append({
+            "run_id": self.run_id, "task_no": len(self.report_tasks) + 1, "task_name": step["name"], "db_type": "SPARK",
+            "duration_ms": seconds * 1000.0, "plan_content": plan, "rendered_sql": text,
+        })
 
     def _cleanup(self, step: Row) -> None:
         target = step["cleanup_target"]

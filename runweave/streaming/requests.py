@@ -14,7 +14,7 @@ from runweave.sources.files import read_sql_file
 from runweave.sources.targets import Targets
 
 REQUEST_SCHEMA = (
-    "id bigint, cmd string, sql_file string, target string, output string, `limit` bigint, _corrupt_record string"
+    "id bigint, cmd string, sql_file string, target string, output string, `limit` string, _corrupt_record string"
 )
 RESPONSE_SCHEMA = "id bigint, ok boolean, rows bigint, error string"
 # Answers the driver holds before it writes them.
@@ -45,6 +45,7 @@ def classify_requests(lines: DataFrame) -> DataFrame:
         lines.select(trim_blank(F.col("value")).alias("_line")).where("_line != ''")
         .withColumn("_request", request).select("_line", "_request.*")
         .withColumn("id", F.when(~bad, F.col("id")))
+        .withColumn("limit", F.col("limit").try_cast("bigint"))
         .withColumn("error", error)
         .withColumn("kind", F.when(stop, "shutdown").when(F.col("error").isNotNull(), "error").otherwise("run"))
         .drop("_line", "_corrupt_record", "cmd")

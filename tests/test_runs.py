@@ -178,3 +178,18 @@ def test_flawed_catalog_is_refused(spark, make, tmp_path):
     catalog = spark.createDataFrame([("x", "a.sql"), ("x", "b.sql")], "sql_id string, file string")
     with pytest.raises(ValueError, match="duplicate id x"):
         steps.run_steps(spark, make({"sql_id": "x"}), "m", str(tmp_path / "o"), str(tmp_path / "l"), catalog=catalog)
+
+
+def test_report_of_a_run(spark, make, tmp_path):
+    texts = {"q.sql": "SELECT id FROM range({{ n }}) ;", "v.sql": "CREATE OR REPLACE TEMP VIEW reported AS SELECT 1 AS a", "bad.sql": "SELECT nope"}
+    table = make(
+        {"name": "load it!", "file": "q.sql", "params": {"n": "5"}}, {"file": "v.sql"}, {"type": "psql", "file": "q.sql", "params": {"n": "2"}, "joined_group": "j"},
+        {"file": "bad.sql"}).withColumn("profile", F.lit(True))
+    with pytest.raises(steps.StepFailed):
+        steps.run_steps(spark, table, "m", str(tmp_path / "o"), str(tmp_path / "l"), sql_texts=texts, report_dir=str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r")).orderBy("seq").collect()
+    assert [r.plan_file for r in rows] == ["plans/01_load it.txt", "plans/02_s2.txt", "plans/03_s3.txt"]
+    assert rows[0].rendered_sql == "SELECT id FROM range(5) ;" and "Range" in rows[0].plan_content
+    assert rows[1].plan_content == "(profiling disabled for this step)"
+    assert rows[2].plan_content == "(part of joined_group 'j', 1 fragments)"
+    assert all(r.bottleneck == "Unknown" and r.parallel_degree == 1 for r in rows)
