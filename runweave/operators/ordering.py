@@ -1,15 +1,18 @@
 """Order-dependent operators that stay parallel when one key owns most of the rows.
 
-A window over a whole key would sort that key in one task. Here each key is cut into blocks of
-`block_rows` order values, the window runs inside a block, and only one summary row per block goes
-through a window over the whole key. The order column must be an integer that is unique within
-its key, so a block never holds more than `block_rows` rows. Where order values are sparse (times,
-say), pass the width of a block in their unit.
+A window over a whole key sorts that key in one task, which is right for keys of up to `block_rows`
+rows. The heavier keys are cut into blocks of `block_rows` order values: the window runs inside a
+block, and only one summary row per block goes through a window over the whole key.
+
+The order column must be an integer that is unique within its key, so a block never holds more than
+`block_rows` rows. Where order values are sparse (times, say), pass the width of a block in their
+unit. The input is read once to count the keys and once per way its keys take; write it out first
+when it is costly to compute.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,22 +25,56 @@ def _block(order: str, block_rows: int) -> Column:
     return F.expr(f"`{order}` div {int(block_rows)}")
 
 
+def _by_weight(
+    df: DataFrame, keys: Sequence[str], block_rows: int,
+    light: Callable[[DataFrame], DataFrame], heavy: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Light keys through one way, heavy keys through the other.
+
+    The list of heavy keys is broadcast: it holds at most total rows / `block_rows` entries. When it
+    turns out empty, AQE drops the heavy way and the anti join.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = F.broadcast(counted.where(F.col("_n") > block_rows).select(*keys))
+    keys = list(keys)
+    return light(df.join(hot, keys, "left_anti")).unionByName(heavy(df.join(hot, keys, "left_semi").select(*df.columns)))
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: str, out: str = "seq", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Number the rows of each key from 1 in `order`."""
-    rows = df.withColumn("_block", _block(order, block_rows))
-    within = Window.partitionBy(*keys, "_block").orderBy(order)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-        .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
+
+    def light(rows: DataFrame) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+        return rows.select(*df.columns, number.cast("long").alias(out))
+
+    def heavy(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_block", _block(order, block_rows))
+        within = Window.partitionBy(*keys, "_block").orderBy(order)
+        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (
+            rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+            .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        )
+        return (
+            rows.withColumn("_local", F.row_number().over(within))
+            .join(offsets, [*keys, "_block"])
+            .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(out))
+        )
+
+    return _by_weight(df, keys, block_rows, light, heavy)
+
+
+def _number_runs(rows: DataFrame, keys: Sequence[str], order: str, head: Column) -> DataFrame:
+    """Add `_run`, the number of the row's run of one `_label` within `keys`, and `_head` of the run's first row."""
+    within = Window.partitionBy(*keys).orderBy(order)
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.withColumn("_local", F.row_number().over(within))
-        .join(offsets, [*keys, "_block"], "left")
-        .withColumn(out, F.col("_offset") + F.col("_local"))
-        .select(*df.columns, out)
+        rows.withColumn("_starts", F.when(F.lag("_label").over(within) == F.col("_label"), 0).otherwise(1))
+        .withColumn("_head", F.when(F.col("_starts") == 1, head))
+        .withColumn("_run", F.sum("_starts").over(running))
+        .withColumn("_head", F.last("_head", ignorenulls=True).over(running))
     )
 
 
@@ -55,45 +92,41 @@ def consecutive_runs(
     Adds `out` (1, 2, … per key), `run_start` (order value of the run's first row) and, for each
     column in `carry`, `run_<column>` with its value in the run's first row.
     """
-    within = Window.partitionBy(*keys, "_block").orderBy(order)
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over_blocks = Window.partitionBy(*keys).orderBy("_block")
     head = F.struct(F.col(order).alias("run_start"), *[F.col(c).alias(f"run_{c}") for c in carry])
 
-    local = (
-        df.withColumn("_block", _block(order, block_rows))
-        .withColumn("_label", label)
-        .withColumn("_starts", F.when(F.lag("_label").over(within) == F.col("_label"), 0).otherwise(1))
-        .withColumn("_head", F.when(F.col("_starts") == 1, head))
-        .withColumn("_run", F.sum("_starts").over(running))
-        .withColumn("_head", F.last("_head", ignorenulls=True).over(running))
-    )
-    # One row per block: does its first run continue the run that closed the block before?
-    blocks = (
-        local.groupBy(*keys, "_block").agg(
-            F.max("_run").alias("_runs"),
-            F.min_by("_label", order).alias("_first"),
-            F.max_by("_label", order).alias("_last"),
-            F.max_by("_head", order).alias("_last_head"),
+    def light(rows: DataFrame) -> DataFrame:
+        numbered = _number_runs(rows.withColumn("_label", label), keys, order, head)
+        return numbered.select(*df.columns, F.col("_run").alias(out), "_head.*")
+
+    def heavy(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_label", label).withColumn("_block", _block(order, block_rows))
+        local = _number_runs(rows, [*keys, "_block"], order, head)
+        over_blocks = Window.partitionBy(*keys).orderBy("_block")
+        before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+        # One row per block: does its first run continue the run that closed the block before?
+        blocks = (
+            local.groupBy(*keys, "_block").agg(
+                F.max("_run").alias("_runs"),
+                F.min_by("_label", order).alias("_first"),
+                F.max_by("_label", order).alias("_last"),
+                F.max_by("_head", order).alias("_last_head"),
+            )
+            .withColumn("_joins", F.when(F.lag("_last").over(over_blocks) == F.col("_first"), 1).otherwise(0))
+            .withColumn("_own", F.when((F.col("_runs") > 1) | (F.col("_joins") == 0), F.col("_last_head")))
+            .withColumn("_open", F.last("_own", ignorenulls=True).over(over_blocks))
+            .withColumn("_inherited", F.when(F.col("_joins") == 1, F.lag("_open").over(over_blocks)))
+            .withColumn("_before", F.coalesce(F.sum(F.col("_runs") - F.col("_joins")).over(before), F.lit(0)))
+            .select(*keys, "_block", (F.col("_before") - F.col("_joins")).alias("_base"), "_inherited")
         )
-        .withColumn("_joins", F.when(F.lag("_last").over(over_blocks) == F.col("_first"), 1).otherwise(0))
-        .withColumn("_own", F.when((F.col("_runs") > 1) | (F.col("_joins") == 0), F.col("_last_head")))
-        .withColumn("_open", F.last("_own", ignorenulls=True).over(over_blocks))
-        .withColumn("_inherited", F.when(F.col("_joins") == 1, F.lag("_open").over(over_blocks)))
-        .withColumn(
-            "_base",
-            F.coalesce(F.sum(F.col("_runs") - F.col("_joins")).over(
-                over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_joins"),
+        first_run = F.when(F.col("_run") == 1, F.col("_inherited"))
+        return (
+            local.join(blocks, [*keys, "_block"])
+            .withColumn(out, F.col("_base") + F.col("_run"))
+            .withColumn("_head", F.coalesce(first_run, F.col("_head")))
+            .select(*df.columns, out, "_head.*")
         )
-        .select(*keys, "_block", "_base", "_inherited")
-    )
-    first_run = F.when(F.col("_run") == 1, F.col("_inherited"))
-    return (
-        local.join(blocks, [*keys, "_block"], "left")
-        .withColumn(out, F.col("_base") + F.col("_run"))
-        .withColumn("_head", F.coalesce(first_run, F.col("_head")))
-        .select(*df.columns, out, "_head.*")
-    )
+
+    return _by_weight(df, keys, block_rows, light, heavy)
 
 
 def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], rows_per_task: int = BLOCK_ROWS) -> DataFrame:

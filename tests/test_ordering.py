@@ -53,13 +53,29 @@ def test_number_rows(rows, table, block_rows):
 
 
 def test_a_key_with_most_rows_is_cut_into_blocks(spark):
-    """One key holds all but a few rows: no task may get more than a block of it."""
+    """One key holds all but a few rows: it goes the blocked way, the others do not."""
     hot = spark.range(0, 20_000).select(
         F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), F.col("id").alias("s"), F.lit("x").alias("l"))
     runs = consecutive_runs(hot, ["k"], "s", F.col("l"), block_rows=500)
     assert runs.where("run_no <> 1").isEmpty() and runs.count() == 20_000
-    windows = [line for line in runs._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
-    assert any("_block" in line for line in windows)
+    assert runs.where("k = -1 and run_start <> 1").isEmpty()
+    rows = runs.collect()
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 20_000 and "_block" in plan.split("Initial Plan")[0]
+
+
+def test_light_keys_need_one_window_only(spark):
+    table = spark.range(0, 5_000).select((F.col("id") % 7).alias("k"), F.col("id").alias("s"), (F.col("id") % 3).alias("l"))
+    runs = consecutive_runs(table, ["k"], "s", F.col("l"))
+    runs.collect()
+    final = runs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "_block" not in final
+
+
+def test_rows_without_a_key_are_kept(spark):
+    table = spark.createDataFrame([(None, 1, "a"), (None, 2, "a"), (1, 1, "a")], "k int, s bigint, l string")
+    assert sorted((r.s, r.run_no) for r in consecutive_runs(table, ["k"], "s", F.col("l"), block_rows=1).collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert sorted((r.s, r.seq) for r in number_rows(table, ["k"], "s").collect()) == [(1, 1), (1, 1), (2, 2)]
 
 
 def test_attach_by_key_splits_heavy_keys_and_keeps_rows(spark, rows, table):
