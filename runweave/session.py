@@ -18,7 +18,7 @@ SESSION_CONF = {
 
 def build_session(app_name: str = "runweave", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the library is written for. On a cluster leave `master` unset and
-    size `spark.sql.shuffle.partitions` as the upper bound that AQE coalesces down from."""
+    size `spark.sql.shuffle.partitions` with `shuffle_partitions`; AQE coalesces down from it."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -27,6 +27,11 @@ def build_session(app_name: str = "runweave", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 200 << 20, least: int = 200, most: int = 100_000) -> int:
+    """Value for `spark.sql.shuffle.partitions` that keeps a partition near `target_bytes`."""
+    return max(least, min(most, -(-shuffle_bytes // target_bytes)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: `spark.checkpoint.dir`, as the cluster names it.
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.session import new_run_dir, shared_dir
+from runweave.session import new_run_dir, shared_dir, shuffle_partitions
 from runweave.sinks import files, publish, runlog, tables
 from runweave.sources.files import scan_csv_strings, scan_run_log
 
@@ -18,6 +18,10 @@ def test_shared_dir_is_the_one_the_session_names(spark):
     assert new_run_dir(spark, "x").startswith(shared_dir(spark))
 
 
+def test_shuffle_partitions_follow_the_volume():
+    assert [shuffle_partitions(b) for b in (0, 1 << 30, 1 << 40, 100 << 40)] == [200, 200, 5243, 100_000]
+
+
 def test_csv_quotes_only_where_needed(spark, tmp_path):
     rows = [(1, "plain", datetime.datetime(2024, 1, 2, 3, 4, 5)), (2, 'a "b", c', None), (3, "", None)]
     df = spark.createDataFrame(rows, "id int, note string, ts timestamp_ntz").coalesce(1)
