@@ -1,4 +1,6 @@
+import csv
 import datetime
+import io
 import json
 
 import pytest
@@ -31,6 +33,22 @@ def test_csv_quotes_only_where_needed(spark, tmp_path):
     assert [r.note for r in back] == ["plain", 'a "b", c', ""]
 
 
+def test_csv_keeps_blanks_and_prints_like_python(spark, tmp_path):
+    rows = [(" a ", True, 12345678.5, datetime.datetime(2024, 1, 2, 3, 4, 5, 500000)), ("\n b\t", False, 0.25, None), (" ", None, None, None)]
+    df = spark.createDataFrame(rows, "s string, b boolean, d double, ts timestamp_ntz").coalesce(1)
+    files.sink_csv(df, str(tmp_path / "out"))
+    want = io.StringIO()
+    csv.writer(want, lineterminator="\n").writerows([df.columns, *rows])
+    assert text_of(tmp_path / "out") == want.getvalue()
+    back = scan_csv_strings(spark, str(tmp_path / "out")).collect()
+    assert [r.s for r in back] == [" a ", "\n b\t", " "]
+
+
+def test_csv_without_rows_has_a_header(spark, tmp_path):
+    files.sink_csv(spark.createDataFrame([], "a int, b string"), str(tmp_path / "out"))
+    assert text_of(tmp_path / "out") == "a,b\n"
+
+
 def test_plain_csv_prints_like_python(spark, tmp_path):
     numbers = [0.0, 1.5, -2.0, 1e6, 12345678.9, 1e7, 123456789012.25, 1e15, 1e16, 1.5e300, 0.001, 0.00025, 1e-5, 1.25e-7, -3e-12, None]
     rows = [(i, n, bool(i % 2), "a,b" if i else None) for i, n in enumerate(numbers)]
