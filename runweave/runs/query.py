@@ -28,9 +28,9 @@ def check_dql(sql: str) -> None:
     """Raise when a line starts with a guarded keyword, or when there is more than one statement."""
     match = GUARD.search(sql)
     if match:
-        raise DqlOnlyError(f"Blocked: '{match.group(1)}' statements are not allowed in DQL-only mode. SELECT only.")
+        raise DqlOnlyError(f"read-only mode: a line starts with '{match.group(1)}'")
     if sum(1 for part in sql.split(";") if part.strip()) > 1:
-        raise DqlOnlyError("Blocked: more than one statement is not allowed in DQL-only mode.")
+        raise DqlOnlyError("read-only mode: more than one statement")
 
 
 def hash_text(sql: str) -> str:
@@ -108,7 +108,7 @@ def run_sql(
     if dql_only:
         check_dql(sql)
     if target is not None and tables is not None:
-        raise ValueError("When `target` is given, do not also pass `tables`: the target supplies them all.")
+        raise ValueError("`target` and `tables` exclude each other")
     transport = "session"
     if target is not None:
         mentioned_in = " ".join([sql, *map(str, (params or {}).values())])

@@ -24,7 +24,7 @@ from runweave.operators.steps import CatalogError, resolve_sql_ids, typed_steps,
 from runweave.plans.report import report_rows
 from runweave.runs.query import GUARD, hash_text, run_script, script_statements
 from runweave.sinks.publish import PublishGroup
-from runweave.sinks.runlog import append_run_log, sink_report
+from runweave.sinks.runlog import ERROR_CHARS, append_json, append_run_log, sink_report
 from runweave.sinks.tables import drop_table, truncate_table
 from runweave.sources.files import read_sql_file, scan_manifests
 
@@ -36,6 +36,10 @@ REPORT_TASK_SCHEMA = (
     "run_id string, task_no bigint, task_name string, db_type string, duration_ms double, plan_content string, rendered_sql string"
 )
 
+# Plan text of steps that have no plan of their own.
+NO_PLAN = "(profiling disabled for this step)"
+FUSED_PLAN = "(part of joined_group '{}', {} fragments)"
+
 
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
     """Typed steps of a YAML manifest; the first broken rule raises. `manifest` is the path as given."""
@@ -68,7 +72,7 @@ def fuse_sql(texts: list[str], glue: str | None) -> str:
     if glue == "raw":
         return RAW_JOINT.join(texts)
     if glue not in (None, "statement"):
-        raise ValueError(f"joined_glue must be 'statement' or 'raw', got {glue!r}")
+        raise ValueError(f"unknown joined_glue {glue!r}")
     return STATEMENT_JOINT.join(t.rstrip(WHITESPACE).rstrip(";") + "\n;" for t in texts)
 
 
@@ -157,9 +161,11 @@ class StepRunner:
         except Exception as exc:
             outputs.discard()
             inner = getattr(exc, "failed_step", None)
-            self._log([self._record(step, 0.0, "error", str(exc)[:500])])
+            failed = self._record(step, 0.0, "error", str(exc)[:ERROR_CHARS])
+            append_run_log(self.spark, self.log_dir, [failed], STEP_LOG_SCHEMA)
             raise StepFailed(inner or step["name"], exc, self._failure_body(step, exc)) from exc
-        self._log(records)
+        # Resuming relies on these rows, so a failure to write them is an error.
+        append_json(self.spark.createDataFrame(records, STEP_LOG_SCHEMA).coalesce(1), self.log_dir)
         return records
 
     def _run_joined(self, unit: list[Row], outputs: PublishGroup) -> list[dict[str, Any]]:
@@ -176,7 +182,7 @@ class StepRunner:
             outputs.stage(unit[-1]["output_file"], result, "csv_plain")
         share = (time.monotonic() - start) / len(unit)
         for step in unit:
-            self._report(step, share, f"(part of joined_group '{label}', {len(unit)} fragments)", text)
+            self._report(step, share, FUSED_PLAN.format(label, len(unit)), text)
         return [self._record(s, share) for s in unit]
 
     def _run_step(self, steps: DataFrame, step: Row, outputs: PublishGroup, enable_all: bool) -> None:
@@ -207,7 +213,7 @@ class StepRunner:
         """Plan of the step's last statement when the step asks for it and it is a query."""
         statements = script_statements(text)
         if not step.asDict().get("profile") or not statements or GUARD.search(statements[-1]):
-            return "(profiling disabled for this step)"
+            return NO_PLAN
         return self.spark.sql(f"EXPLAIN FORMATTED {statements[-1]}").first()[0]
 
     def _report(self, step: Row, seconds: float, plan: str, text: str) -> None:
@@ -235,9 +241,6 @@ class StepRunner:
             "ts": time.strftime("%Y-%m-%dT%H:%M:%S"), "status": status, "error": error,
         }
 
-    def _log(self, records: list[dict[str, Any]]) -> None:
-        append_run_log(self.spark, self.log_dir, records, STEP_LOG_SCHEMA)
-
     def _failure_body(self, step: Row, exc: Exception) -> str:
         try:
             sql_hash = hash_text(self._read(step["file"])) if step["file"] and step["type"] != "python" else ""

@@ -17,6 +17,9 @@ REQUEST_SCHEMA = (
     "id bigint, cmd string, sql_file string, target string, output string, `limit` string, _corrupt_record string"
 )
 RESPONSE_SCHEMA = "id bigint, ok boolean, rows bigint, error string"
+# Error texts that clients recognise.
+BAD_JSON = "ERROR: bad request JSON: "
+INCOMPLETE = "ERROR: request needs 'sql_file', 'target', and 'output'"
 # Answers the driver holds before it writes them.
 ANSWERS_PER_FILE = 500
 
@@ -37,9 +40,8 @@ def classify_requests(lines: DataFrame) -> DataFrame:
     bad = F.col("_corrupt_record").isNotNull()
     stop = ~bad & F.coalesce(F.col("cmd") == "shutdown", F.lit(False))
     error = (
-        F.when(bad, F.concat(F.lit("ERROR: bad request JSON: "), F.left("_line", F.lit(200))))
-        .when(~stop & (empty("sql_file") | empty("target") | empty("output")),
-              F.lit("ERROR: request needs 'sql_file', 'target', and 'output'"))
+        F.when(bad, F.concat(F.lit(BAD_JSON), F.left("_line", F.lit(200))))
+        .when(~stop & (empty("sql_file") | empty("target") | empty("output")), F.lit(INCOMPLETE))
     )
     return (
         lines.select(trim_blank(F.col("value")).alias("_line")).where("_line != ''")

@@ -66,7 +66,7 @@ def test_run_sql_errors_are_logged_and_raised(spark, tmp_path):
 
 
 def test_target_excludes_tables(spark):
-    with pytest.raises(ValueError, match="supplies them all"):
+    with pytest.raises(ValueError, match="exclude each other"):
         query.run_sql(spark, "SELECT 1", target="T", targets={"T": {"path": "/x", "tables": []}}, tables={})
 
 

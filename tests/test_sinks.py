@@ -2,6 +2,7 @@ import csv
 import datetime
 import io
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ def test_shared_dir_is_the_one_the_session_names(spark):
     assert new_run_dir(spark, "x").startswith(shared_dir(spark))
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    context = SimpleNamespace(master="spark://x", getConf=lambda: SimpleNamespace(get=lambda key: None), getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default)))
+
+
 def test_shuffle_partitions_follow_the_volume():
     assert [shuffle_partitions(b) for b in (0, 1 << 30, 1 << 40, 100 << 40)] == [200, 200, 5243, 100_000]
 
