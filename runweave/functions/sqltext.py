@@ -22,8 +22,9 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# `d` keeps "\n" the only line end, `U` makes \s and \b follow Unicode.
-GUARD_REGEX = rf"(?imdU)^\s*({'|'.join(GUARDED_KEYWORDS)})\b"
+# `d` keeps "\n" the only line end, `U` makes \s and \b follow Unicode. Blanks are taken within the
+# keyword's own line, so a long run of empty lines is read once.
+GUARD_REGEX = rf"(?imdU)^[^\S\n]*+({'|'.join(GUARDED_KEYWORDS)})\b"
 # Possessive quantifiers keep the match iterative, so a long comment header cannot overflow the stack.
 DDL_REGEX = rf"(?iU)\A\s*+(?:--[^\n]*+\n\s*+)*+(?:{'|'.join(DDL_KEYWORDS)})\b"
 PLACEHOLDER_REGEX = r"\{\{\s*(\w+)\s*\}\}"

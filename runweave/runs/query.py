@@ -17,7 +17,7 @@ from runweave.sinks.files import sink_csv, sink_parquet
 from runweave.sinks.runlog import append_run_log, run_record
 from runweave.sources.targets import Targets, register_target
 
-GUARD = re.compile(rf"^\s*({'|'.join(GUARDED_KEYWORDS)})\b", re.IGNORECASE | re.MULTILINE)
+GUARD = re.compile(rf"^[^\S\n]*+({'|'.join(GUARDED_KEYWORDS)})\b", re.IGNORECASE | re.MULTILINE)
 
 
 class DqlOnlyError(ValueError):

@@ -30,6 +30,11 @@ def test_guard_and_ddl(one, sql, keyword, ddl):
     assert one(sqltext.is_ddl, q=sql) is ddl
 
 
+def test_guard_reads_a_run_of_empty_lines_once(one):
+    assert one(sqltext.guard_keyword, q="SELECT 1" + "\n" * 300_000 + " drop") == "drop"
+    assert one(sqltext.guard_keyword, q="SELECT 1" + "\n" * 300_000 + "x") == ""
+
+
 def test_ddl_after_a_long_comment_header(one):
     assert one(sqltext.is_ddl, q="-- note\n" * 50_000 + "CREATE TABLE t (a INT)") is True
     assert one(sqltext.is_ddl, q="-- note\n" * 50_000 + "SELECT 1") is False
