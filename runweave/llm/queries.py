@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls",)
+MODULES = ("urls", "huffman", "counts")
 
 
 def collect(name: str) -> dict:
