@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "huffman", "counts")
+MODULES = ("urls", "multiset", "huffman", "counts", "quality", "topk")
 
 
 def collect(name: str) -> dict:
