@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "multiset", "huffman", "counts", "wordtable", "quality", "mixing", "topk")
+MODULES = ("urls", "substring", "multiset", "huffman", "counts", "wordtable", "jaccard", "quality", "mixing", "topk")
 
 
 def collect(name: str) -> dict:
