@@ -92,7 +92,8 @@ class Sets:
     def node(self, i: int) -> int:
         mine = self.sets[i]
         total = mix(mine ^ mix(np.array([self.salt + np.uint64(1)])))
-        return int(signed(mix(np.array([total.sum() + np.uint64(len(mine)) * np.uint64(0x9E3779B97F4A7C15)])))[0])
+        size = np.array([len(mine)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return int(signed(mix(total.sum(keepdims=True) + size))[0])
 
     def check(self, i: int) -> int:
         return int(signed(np.array([np.bitwise_xor.reduce(mix(self.sets[i] + np.uint64(0x5851F42D4C957F2D)))]))[0])
