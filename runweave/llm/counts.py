@@ -2,7 +2,8 @@
 
 Long texts are cut at spaces and line ends, where no token of a tokenizer that drops white space can cross; cuts of all
 texts of an Arrow batch are then dealt into encoding batches of about `BATCH_BYTES`, however long a single text is. A
-batch encodes each distinct piece once; lengths of frequent pieces stay in a table with a fixed number of places.
+batch encodes each distinct word once, plain words (letters, then marks) by the library's model and the rest by one batch
+call; lengths of the first words seen stay in a table with a fixed number of places.
 
 Null and empty texts have 0 tokens and 0 bytes. Rows that repeat are counted each, an empty table gives an empty one.
 Only key and text are read, so further columns and their names do not matter. No shuffle; a scan deals rows by bytes.
@@ -18,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.tokens import tokenizer_of
+from runweave.llm.tokens import in_vocabulary, letters_and_marks, tokenizer_of
 
 #: Characters of text in an encoding batch, and after how many a long text is cut.
 BATCH_BYTES, CUT = 1 << 20, 1 << 18
 #: Pieces whose length a worker remembers.
-KNOWN = 1_500_000
+KNOWN = 500_000
 #: Where the tokenizer drops white space, any of these ends a token.
 _SAFE = re.compile(r"[ \n\r\t]")
 
@@ -44,16 +45,37 @@ class Lengths:
     def __init__(self, path: str, known: int = KNOWN):
         self.tokenizer = tokenizer_of(path)
         self.known: dict[str, int] = {}
+        self.marks: dict[str, int] = {"": 0}
         self.limit = known
 
+    def lengths(self, words: list[str]) -> dict[str, int]:
+        """Tokens of each word. A run of letters is one piece for the pattern, a run of marks behind it another."""
+        found: dict[str, int] = {}
+        rest, model = [], self.tokenizer.model
+        for word in words:
+            parts = letters_and_marks(word)
+            if parts is None:
+                rest.append(word)
+                continue
+            letters, marks = parts
+            if letters not in found:
+                found[letters] = len(model.tokenize(in_vocabulary(letters.lower())))
+            if marks not in self.marks:
+                self.marks[marks] = len(self.tokenizer.encode(marks, add_special_tokens=False))
+            found[word] = found[letters] + self.marks[marks]
+        for low in range(0, len(rest), 4096):
+            part = rest[low:low + 4096]
+            found.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return found
+
     def count(self, parts: list[str]) -> list[int]:
         """Tokens of each part, by one batch call for the pieces that aren't known."""
         cut = [p.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for p in parts]
         table = self.known
         new = list({w for words in cut for w in words if w not in table})
         if new:
-            found = dict(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            if len(table) + len(new) <= self.limit:
+            found = self.lengths(new)
+            if len(table) + len(found) <= self.limit:
                 table.update(found)
             else:
                 found.update((w, table[w]) for words in cut for w in words if w in table)

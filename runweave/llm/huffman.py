@@ -30,7 +30,7 @@ CHECKPOINT = 512
 #: A block is closed when it has so many ids, a shard is meant to have so many.
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 23
 #: Ids coded or decoded in one go.
-STRETCH = 1 << 21
+STRETCH = 1 << 19
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -124,7 +124,7 @@ def encode_texts(docs: DataFrame, path: str, end_id: int, key: str, text: str) -
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for low, high in chunks([len(t) for t in texts], 1 << 21):
+            for low, high in chunks([len(t) for t in texts], 1 << 20):
                 packed = [ids + end for ids in encoder.encode(texts[low:high])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(low, high - low),
@@ -141,11 +141,9 @@ def count_ids(ids: DataFrame, size: int, dtype: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                total += 0 if not packed else np.bincount(np.frombuffer(packed, dtype), minlength=size) if len(
-                    packed) > size else 0
-                if packed and len(packed) <= size:
-                    np.add.at(total, np.frombuffer(packed, dtype), 1)
+            packed = batch.column(0).to_pylist()
+            for low, high in chunks([len(p) for p in packed], STRETCH):
+                total += np.bincount(np.frombuffer(b"".join(packed[low:high]), dtype), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
@@ -229,36 +227,36 @@ def read_ids(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
 
     def run(batches):
         codes = Codes(lengths)
-        names = ("shard", "block", "keys", "n_tokens", "payload", "n_bytes", "offsets")
+        names = ("start", "keys", "n_tokens", "payload", "n_bytes", "offsets")
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-            for low, high in chunks([sum(r[3]) for r in rows], STRETCH):
+            for low, high in chunks([sum(r[2]) for r in rows], STRETCH):
                 part = rows[low:high]
-                size = np.array([n for r in part for n in r[3]], np.int64)
-                room = np.array([n for r in part for n in r[5]], np.int64)
+                size = np.array([n for r in part for n in r[2]], np.int64)
+                room = np.array([n for r in part for n in r[4]], np.int64)
                 stretches = -(-size // CHECKPOINT)
-                offset = np.frombuffer(b"".join(r[6] for r in part), "<u4").astype(np.int64)
+                offset = np.frombuffer(b"".join(r[5] for r in part), "<u4").astype(np.int64)
                 begin = np.repeat((np.cumsum(room) - room) * 8, stretches) + offset
                 most = np.full(len(offset), CHECKPOINT, np.int64)
                 last = np.cumsum(stretches) - 1
                 most[last] = size - (stretches - 1) * CHECKPOINT
-                ids = codes.decode(b"".join(r[4] for r in part), begin, most).astype("<u4").tobytes()
+                ids = codes.decode(b"".join(r[3] for r in part), begin, most).astype("<u4").tobytes()
                 at = np.concatenate([[0], np.cumsum(size)]) * 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part for _ in r[2]], pa.int32()), pa.array([r[1] for r in part for _ in r[2]], pa.int64()),
-                     pa.array([k for r in part for k in r[2]], pa.int64()),
-                     pa.array([int(s) for r in part for s in np.cumsum([0, *r[3][:-1]])], pa.int64()), pa.array(size),
+                    [pa.array([k for r in part for k in r[1]], pa.int64()),
+                     pa.array([r[0] + int(s) for r in part for s in np.cumsum([0, *r[2][:-1]])], pa.int64()), pa.array(size),
                      pa.array([ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
-                    names=["shard", "block", "key", "inside", "n_tokens", "ids"])
+                    names=["key", "start", "n_tokens", "ids"])
 
-    docs = blocks.mapInArrow(run, "shard int, block long, key long, inside long, n_tokens long, ids binary")
     size = blocks.select("shard", "block", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
     shards = size.groupBy("shard").agg(F.sum("n").alias("n"))
     # One row for each shard meets in one task.
     begin = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("_shard_start"))
     inside = size.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("_in"))
-    return docs.join(inside.join(begin, "shard"), ["shard", "block"]).select(
-        F.col("key").alias(key), (F.col("_shard_start") + F.col("_in") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    starts = written(inside.join(begin, "shard").select("shard", "block", (F.col("_shard_start") + F.col("_in")).alias("start")), "starts")
+    # Joined to the blocks before they are decoded: coded ids are what may be shuffled.
+    placed = blocks.join(starts, ["shard", "block"]).select("start", "keys", "n_tokens", "payload", "n_bytes", "offsets")
+    return placed.mapInArrow(run, "key long, start long, n_tokens long, ids binary").withColumnRenamed("key", key)
 
 
 def op4_huffman_ids(spark, sf_dir: str) -> DataFrame:

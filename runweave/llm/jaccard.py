@@ -6,12 +6,13 @@ link if intersection / union >= `numerator` / `denominator`. Equal sets are one
 * Small sets, up to a boundary, are enumerated: a pair of sizes fixes how many shingles must be common, so every subset of
   that size is a key, and sets that meet at a key are linked without looking further. The boundary is where enumerating
   the corpus' small sets would cost more than scanning lists for them, from the counts of sizes.
-* Large sets go to inverted lists: of n shingles the first n - ceil(n t) + 1 by hash, as two linked sets share one of them.
-  Lists with at least two sets are kept. Light lists (up to `LIGHT` sets) are scanned for pairs; the lists that two sets
-  share bound their intersection, and only pairs that can still reach the threshold are candidates.
-* Heavy lists come from what very many documents share. Any order of shingles that all sets agree on will do, so sets in
-  heavy lists get second lists in which shingles of heavy lists come last. What is still heavy then is a large group of
-  near copies: each set is compared with one leader, and after that only sets of different components are.
+* Large sets go to inverted lists: of n shingles the first n - ceil(n t) + 1 in an order that all sets agree on, as two
+  linked sets share one of them. The order is that of the hashes, but common shingles come last: those that many documents
+  have among their smallest hashes, up to `COMMON` of them. Any choice of them gives the same links, so tasks count on
+  their own and only what is frequent in a task is summed.
+* Lists with at least two sets are kept. Light lists (up to `LIGHT` sets) are scanned for pairs; the lists that two sets
+  share bound their intersection, and only pairs that can still reach the threshold are candidates. What is heavy is a
+  large group of near copies: each set is compared with one leader, and then only sets of different components are.
 * Candidates are verified on the whole sets, first one for each set, then those that are not connected by these.
 
 Links that join what is connected already are not tested, so a group of m copies costs about m comparisons. No links are
@@ -38,6 +39,8 @@ from runweave.llm.graph import components
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Sets in a list that is scanned for all its pairs.
 LIGHT = 32
+#: Common shingles that are sent to all tasks: at most so many, of 8 bytes.
+COMMON = 1 << 18
 #: What a place in a list costs against a subset, and the largest set that is considered for enumeration.
 LIST_COST, LARGEST_SMALL = 8, 16
 
@@ -121,7 +124,29 @@ def members(docs: DataFrame, salt: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, n long, node long, other long")
 
 
-def prefixes(docs: DataFrame, salt: int, small: int) -> DataFrame:
+def common_shingles(docs: DataFrame, salt: int) -> np.ndarray:
+    """Shingles that more than `LIGHT` documents have among their smallest hashes, the most frequent ones."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [mine[:prefix_size(len(mine))] for _, _, found in _sets(batch, salt) for mine in found.sets if len(mine)]
+            if rows:
+                values, often = np.unique(np.concatenate(rows), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(values[often > 1])), pa.array(often[often > 1])], names=["list", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") > LIGHT).orderBy(F.desc("n"), "list").limit(COMMON).select("list").collect()
+    return np.sort(np.array([r["list"] for r in rows], np.int64)).view(np.uint64)
+
+
+def common_last(mine: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of a set that go to lists."""
+    take = prefix_size(len(mine))
+    late = common[np.searchsorted(common, mine).clip(max=len(common) - 1)] == mine if len(common) else np.zeros(len(mine), bool)
+    return mine[:take] if not late.any() else np.concatenate([mine[~late], mine[late]])[:take]
+
+
+def prefixes(docs: DataFrame, salt: int, small: int, common: np.ndarray) -> DataFrame:
     """List and node for the first shingles of each set that may link beyond the boundary."""
 
     def run(batches):
@@ -130,7 +155,7 @@ def prefixes(docs: DataFrame, salt: int, small: int) -> DataFrame:
                 nodes, rows = [], []
                 for i, mine in enumerate(found.sets):
                     if len(mine) and DENOMINATOR * len(mine) // NUMERATOR > small:
-                        rows.append(mine[:prefix_size(len(mine))])
+                        rows.append(common_last(mine, common))
                         nodes.append(np.full(len(rows[-1]), found.node(i), np.int64))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(rows))), pa.array(np.concatenate(nodes))],
@@ -218,7 +243,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
-    """Whole sets of the wanted nodes (`node`, `key` of one document), written."""
+    """Whole sets of the wanted nodes (`node`, `key` of one document), written; a node is there once for each row that
+    repeats its key and text."""
 
     def run(batches):
         for batch in batches:
@@ -230,24 +256,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
                      pa.array([found.sets[i].tobytes() for i in keep], pa.binary())], names=["node", "n", "shingles"])
 
     rows = docs.join(wanted.select(F.col("node").alias("want"), F.col("key").alias("_key")), F.col("key") == F.col("_key"))
-    # Rows that repeat a key and text give one set more than once.
-    return written(rows.select("text", "want").mapInArrow(run, "node long, n long, shingles binary").dropDuplicates(["node"]), "sets")
-
-
-def second_lists(sets: DataFrame, heavy: DataFrame) -> DataFrame:
-    """List and node for the first shingles of each set, where those in `heavy` come last."""
-    def run(batches):
-        for batch in batches:
-            for node, shingles in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                mine = np.frombuffer(shingles, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), node)), pa.array(mine),
-                                                  pa.array(np.full(len(mine), prefix_size(len(mine))))], names=["node", "list", "take"])
-
-    rows = sets.select("node", "shingles").mapInArrow(run, "node long, list long, take long")
-    marked = rows.join(heavy.select("list", F.lit(True).alias("late")), "list", "left")
-    # A node has as many rows as its set; hashes are compared as unsigned numbers, as in the first lists.
-    order = Window.partitionBy("node").orderBy(F.coalesce("late", F.lit(False)), F.col("list") < 0, "list")
-    return marked.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= F.col("take")).select("list", "node")
+    return written(rows.select("text", "want").mapInArrow(run, "node long, n long, shingles binary"), "sets")
 
 
 def kept_lists(rows: DataFrame, label: str) -> DataFrame:
@@ -278,20 +287,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     sizes = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
     small = boundary(sizes)
 
-    first = kept_lists(prefixes(base, salt, small), "lists")
-    light, heavy = first.filter(F.col("f") <= LIGHT).drop("f"), first.filter(F.col("f") > LIGHT)
+    lists = kept_lists(prefixes(base, salt, small, common_shingles(base, salt)), "lists")
+    light, heavy = lists.filter(F.col("f") <= LIGHT).drop("f"), lists.filter(F.col("f") > LIGHT).drop("f")
     slack = written(heavy.groupBy("node").agg(F.count("*").alias("slack")), "slack")
     close = written(reachable(pairs_of(light), nodes, slack), "close")
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(
         slack.select("node")).distinct()
     sets = sets_of(base, nodes.join(wanted, "node"), salt)
 
-    second = kept_lists(second_lists(sets.join(slack.select("node"), "node"), heavy.select("list").distinct()), "second")
-    again = second.filter(F.col("f") > LIGHT).drop("f")
-    late_slack = again.groupBy("node").agg(F.count("*").alias("slack"))
-    close = written(close.unionByName(reachable(pairs_of(second.filter(F.col("f") <= LIGHT).drop("f")), nodes, late_slack)).distinct(), "close")
-
-    one = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(leaders(again)).distinct()
+    one = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(leaders(heavy)).distinct(), "one")
     linked = written(verified(one, sets).unionByName(small_links(base, salt, small)), "linked")
     label = components(linked)
 
@@ -301,11 +305,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     rest = labelled(labelled(close, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b")
     # Of the heavy lists only those that still join different components.
-    parts = labelled(again, "node", "label")
+    parts = labelled(heavy, "node", "label")
     mixed = parts.groupBy("list").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("list")
     sized = parts.join(mixed, "list").join(nodes.select("node", "n"), "node")
     across = (F.col("a_label") != F.col("b_label")) & can_link(F.col("a_n"), F.col("b_n"))
-    late = verified(rest.unionByName(pairs_of(sized, across).select("a", "b")).distinct(), sets)
+    late = written(rest.unionByName(pairs_of(sized, across).select("a", "b")).distinct(), "late")
+    late = verified(late, sets).distinct()
     final = components(written(linked.unionByName(late), "linked"))
 
     placed = all_.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -100,7 +100,9 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
     gram = min(GRAM, window)
     repeated = vertices(docs, window, places=False).groupBy("vertex").agg(
         F.min("key").alias("source"), F.max("key").alias("_most"), (F.min("last") == F.max("last")).alias("plain"))
-    here = vertices(docs, window, places=True).join(repeated.filter("source < _most").drop("_most"), "vertex").select(
+    # A table of its own: an aggregate in the same stage would keep Spark from splitting a hot vertex in the join.
+    repeated = written(repeated.filter("source < _most").drop("_most"), "vertices")
+    here = vertices(docs, window, places=True).join(repeated, "vertex").select(
         "key", "source", "plain", F.shiftright("last", 16).cast("int").alias("at"),
         F.expr("cast((last >> 8) & 255 as int)").alias("left"), F.expr("cast(last & 255 as int)").alias("right"))
     order = Window.partitionBy("key").orderBy("at")

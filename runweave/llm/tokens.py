@@ -13,7 +13,10 @@ import re
 import numpy as np
 
 #: Pieces a worker remembers.
-KNOWN = 400_000
+KNOWN = 300_000
+#: Letters that are one character in every form; a run of them is one piece for the pattern, and so is a run of marks.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+MARKS = '.,!?;:|#$%&*"'
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -45,6 +48,27 @@ def safe_pieces(text: str) -> list[str]:
     return out
 
 
+def byte_of_character() -> dict[str, int]:
+    """Characters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+_WRITTEN = {b: c for c, b in byte_of_character().items()}
+
+
+def letters_and_marks(word: str) -> tuple[str, str] | None:
+    """A run of letters and the run of marks behind it, if the word is no more than that."""
+    letters = word.rstrip(MARKS)
+    return (letters, word[len(letters):]) if letters and _LETTERS(letters) else None
+
+
+def in_vocabulary(word: str) -> str:
+    """A word as a byte-level vocabulary writes it."""
+    return word.encode().decode("latin-1").translate(_WRITTEN)
+
+
 class Encoder:
     """Ids of texts as packed little-endian integers."""
 
@@ -55,6 +79,7 @@ class Encoder:
         self.limit = known
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.feed = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def _pack(self, ids) -> bytes:
@@ -64,39 +89,69 @@ class Encoder:
         """Packed ids of each piece, all in one call of the library."""
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _know(self, table: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        """The table, with these words; those that find no place are in a copy for this call only."""
-        new = [w for w in words if w not in table]
-        if not new:
-            return table
-        found = dict(zip(new, self.pieces([lead + w for w in new]), strict=True))
-        if len(self.heads) + len(self.tails) + len(new) <= self.limit:
-            table.update(found)
-            return table
-        found.update((w, table[w]) for w in words if w in table)
+    def words(self, words: list[str], lead: str = "") -> dict[str, bytes]:
+        """Packed ids of each of the words with `lead` before it. Runs of letters go straight to the library's model."""
+        found: dict[str, bytes] = {}
+        rest, model = [], self.tokenizer.model
+        for word in words:
+            parts = letters_and_marks(word)
+            if parts is None:
+                rest.append(word)
+                continue
+            letters, marks = parts
+            if letters not in found:
+                found[letters] = self._pack([t.id for t in model.tokenize(in_vocabulary(lead + letters))])
+            if marks not in self.marks:
+                self.marks[marks] = self.pieces([marks])[0]
+            if marks:
+                found[word] = found[letters] + self.marks[marks]
+        for low in range(0, len(rest), 4096):
+            part = rest[low:low + 4096]
+            found.update(zip(part, self.pieces([lead + w for w in part]), strict=True))
         return found
 
+    def _ids(self, table: dict[str, bytes], words: list[str], lead: str) -> list[bytes]:
+        """Packed ids of each word; new words go to the table while it has places."""
+        out = list(map(table.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if missing:
+            found = self.words(list({words[i] for i in missing}), lead)
+            for i in missing:
+                out[i] = found[words[i]]
+            if len(self.heads) + len(self.tails) + len(found) <= self.limit:
+                table.update(found)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [None if _DOUBLE.search(t) else t.split("\n") for t in texts]
-        cut = [[line.split(" ") for line in each] if each is not None else _SAFE.split(t)
-               for t, each in zip(texts, lines, strict=True)]
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for each, parts in zip(lines, cut, strict=True):
-            if each is None:
-                heads.update(parts)
-            else:
-                for words in parts:
-                    heads.add(words[0])
-                    tails.update(words[1:])
-        head = self._know(self.heads, heads, "").__getitem__
-        tail = self._know(self.tails, tails, " ").__getitem__
-        out = []
-        for each, parts in zip(lines, cut, strict=True):
-            if each is None:
-                out.append(b"".join(map(head, parts)))
-            else:
-                out.append(self.feed.join([head(w[0]) + b"".join(map(tail, w[1:])) for w in parts]))
+        heads: list[str] = []
+        tails: list[str] = []
+        lines: list[list[int]] = []
+        for text in texts:
+            if _DOUBLE.search(text):
+                parts = _SAFE.split(text)
+                heads += parts
+                lines.append([-len(parts)])
+                continue
+            sizes = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                heads.append(words[0])
+                del words[0]
+                tails += words
+                sizes.append(len(words))
+            lines.append(sizes)
+        head, tail = self._ids(self.heads, heads, ""), self._ids(self.tails, tails, " ")
+        out, h, t = [], 0, 0
+        for sizes in lines:
+            rows = []
+            for n in sizes:
+                if n < 0:
+                    rows.append(b"".join(head[h:h - n]))
+                    h -= n
+                else:
+                    rows.append(head[h] + b"".join(tail[t:t + n]))
+                    h, t = h + 1, t + n
+            out.append(self.feed.join(rows))
         return out
 
 

@@ -1,11 +1,14 @@
 """BPE by a table of distinct words: texts are split in Spark, each distinct word is encoded once, ids return by position.
 
-1. Texts are gathered into blocks of about `BLOCK_CHARS`; a block holds its distinct words and, for each document, the
+1. Texts are gathered into blocks of about `BLOCK_CHARS`; a block has its distinct words and, for each document, the
    numbers of its words in order. Words go to buckets by a hash, one row for each block and bucket; so a word that is in
    every text travels once for each block, not once for each place.
-2. In a bucket each distinct word is encoded once by the library, and decoded by looking up the pieces of its ids in the
-   vocabulary, a table of fixed size.
-3. Ids and bytes go back to their blocks, where the numbers of step 1 place them.
+2. In a bucket each distinct word is encoded once by the library.
+3. Ids go back to their blocks, where the numbers of step 1 place them. There the ids of each distinct word meet their
+   pieces in the vocabulary, a table of fixed size, and are decoded.
+
+Words and numbers are made by one pass each over the texts, so that neither is stored. A block is named by a hash of its
+rows; should the passes cut the input differently, a block lacks its words and the job stops.
 
 A "word" is what stands between two cuts of `tokens.safe_pieces`. Null texts are empty and have no ids. Rows that repeat
 are encoded each, an empty table gives an empty one, a text of any length lies in one block. Further columns are not
@@ -21,14 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import chunks, written
-from runweave.llm.tokens import encoder_of, safe_pieces
+from runweave.llm.common import chunks
+from runweave.llm.tokens import byte_of_character, encoder_of, safe_pieces
 
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 24
 CUT = ("block long, bucket int, first long, keys array<long>, sizes array<long>, payload binary")
 _CUT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("first", pa.int64()), ("keys", pa.list_(pa.int64())),
                   ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -47,13 +49,6 @@ def unpack(payload: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def byte_of_character() -> dict[str, int]:
-    """Characters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 _PIECES: dict[str, list[bytes]] = {}
 
 
@@ -66,53 +61,58 @@ def pieces_by_id(path: str) -> list[bytes]:
     return _PIECES[path]
 
 
-def cut_texts(docs: DataFrame, buckets: int, key: str, text: str) -> DataFrame:
-    """Rows of two kinds, as a written table: with a bucket, distinct words of a block; without, the numbers of its words."""
+def cut_texts(docs: DataFrame, buckets: int, key: str, text: str, places: bool) -> DataFrame:
+    """Of each block its distinct words, a row for each bucket, or (`places`) the numbers of its words, in one row."""
 
-    def blocks(keys: list, texts: list[str], number: int) -> Iterator[pa.RecordBatch]:
+    def block(keys: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
         index: dict[str, int] = {}
         sizes, order = [], []
+        name = hashlib.blake2b(repr(keys).encode(), digest_size=8)
         for t in texts:
+            name.update(t.encode())
             found = safe_pieces(t)
             sizes.append(len(found))
             order.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.uint32, len(found)))
+        number = int.from_bytes(name.digest(), "little", signed=True)
         words = [w.encode() for w in index]
         bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
         by_bucket = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[by_bucket] = np.arange(len(words), dtype=np.uint32)
-        edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1)).tolist() + [len(words)]
-        out = [{"block": number, "bucket": int(bucket[by_bucket[a]]), "first": a, "payload": pack([words[i] for i in by_bucket[a:b]])}
-               for a, b in zip(edges, edges[1:], strict=False)]
-        all_places = place[np.concatenate(order)] if len(words) else np.empty(0, np.uint32)
-        out.append({"block": number, "bucket": None, "first": len(words), "keys": keys, "sizes": sizes,
-                    "payload": zstandard.compress(all_places.astype("<u4").tobytes(), 1)})
+        if places:
+            place = np.empty(len(words), np.uint32)
+            place[by_bucket] = np.arange(len(words), dtype=np.uint32)
+            row = place[np.concatenate(order)] if len(words) else np.empty(0, np.uint32)
+            out = [{"block": number, "first": len(words), "keys": keys, "sizes": sizes,
+                    "payload": zstandard.compress(row.astype("<u4").tobytes(), 3)}]
+        else:
+            edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1)).tolist() + [len(words)]
+            out = [{"block": number, "bucket": int(bucket[by_bucket[a]]), "first": a, "payload": pack([words[i] for i in by_bucket[a:b]])}
+                   for a, b in zip(edges, edges[1:], strict=False)]
         yield pa.RecordBatch.from_pylist(out, _CUT)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
         keys: list = []
         texts: list[str] = []
+        room = 0
         for batch in batches:
-            values = [t or "" for t in batch.column("text").to_pylist()]
-            names = batch.column("key").to_pylist()
-            for low, high in chunks([len(t) for t in values], BLOCK_CHARS // 4):
-                if texts and sum(map(len, texts)) + sum(map(len, values[low:high])) > BLOCK_CHARS:
-                    yield from blocks(keys, texts, number)
-                    number, keys, texts = number + 1, [], []
-                keys += names[low:high]
-                texts += values[low:high]
+            for name, value in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                value = value.as_py() or ""
+                if keys and room + len(value) > BLOCK_CHARS:
+                    yield from block(keys, texts)
+                    keys, texts, room = [], [], 0
+                keys.append(name)
+                texts.append(value)
+                room += len(value)
         if keys:
-            yield from blocks(keys, texts, number)
+            yield from block(keys, texts)
 
-    return written(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, CUT), "words")
+    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, CUT)
 
 
 def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
-    """Block, first and the packed ids and bytes of each row's words; each distinct word of a bucket is encoded once."""
+    """Block, first and the packed ids of each row's words; each distinct word of a bucket is encoded once."""
 
     def run(batches):
-        encoder, pieces = encoder_of(tokenizer), pieces_by_id(tokenizer)
+        encoder = encoder_of(tokenizer)
         now, known = None, {}
         for batch in batches:
             for bucket, block, first, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "first", "payload")),
@@ -121,47 +121,49 @@ def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
                     now, known = bucket, {}
                 row = unpack(payload)
                 new = [w for w in row if w not in known]
-                for word, ids in zip(new, encoder.pieces([w.decode() for w in new]), strict=True):
-                    known[word] = (ids, b"".join([pieces[i] for i in np.frombuffer(ids, encoder.dtype).tolist()]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([pack([known[w][0] for w in row])], pa.binary()),
-                     pa.array([pack([known[w][1] for w in row])], pa.binary())], names=["block", "first", "ids", "bytes"])
+                for lead, part in ((" ", [w for w in new if w[:1] == b" "]), ("", [w for w in new if w[:1] != b" "])):
+                    coded = encoder.words([w.decode()[len(lead):] for w in part], lead)
+                    known.update((w, coded[w.decode()[len(lead):]]) for w in part)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([first], pa.int64()),
+                                                  pa.array([pack([known[w] for w in row])], pa.binary())], names=["block", "first", "ids"])
 
-    dealt = words.filter("bucket is not null").select("bucket", "block", "first", "payload").repartition(buckets, "bucket")
-    return dealt.sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, first long, ids binary, bytes binary")
+    dealt = words.select("bucket", "block", "first", "payload").repartition(buckets, "bucket")
+    return dealt.sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, first long, ids binary")
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """Key, `n_tokens`, `ids` (unsigned 32 bit, little-endian, one after the other) and `decoded` text of every row."""
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut_texts(docs, buckets, key, text)
-    coded = encode_words(cut, tokenizer, buckets)
-    places = cut.filter("bucket is null").select("block", F.lit(-1).cast("long").alias("first"), F.col("payload").alias("ids"),
-                                                F.lit(None).cast("binary").alias("bytes"), "keys", "sizes")
+    coded = encode_words(cut_texts(docs, buckets, key, text, False), tokenizer, buckets)
+    places = cut_texts(docs, buckets, key, text, True).select(
+        "block", "first", F.col("payload").alias("ids"), "keys", "sizes")
     empty = F.lit(None).cast("array<long>")
     rows = coded.withColumn("keys", empty).withColumn("sizes", empty).unionByName(places)
 
     def assemble(table: pa.Table) -> pa.Table:
-        encoder = encoder_of(tokenizer)
+        encoder, pieces = encoder_of(tokenizer), pieces_by_id(tokenizer)
         ids: list[bytes] = []
-        words: list[bytes] = []
-        order = np.empty(0, np.uint32)
-        keys: list = []
-        sizes: list = []
+        docs_of: list[dict] = []
         for row in table.sort_by("first").to_pylist():
-            if row["first"] < 0:
-                order, keys, sizes = np.frombuffer(zstandard.decompress(row["ids"]), "<u4"), row["keys"], row["sizes"]
+            if row["keys"] is None:
+                if row["first"] == len(ids):  # a block that is there twice has equal words
+                    ids += unpack(row["ids"])
             else:
-                ids += unpack(row["ids"])
-                words += unpack(row["bytes"])
-        at, out_ids, out_text = 0, [], []
-        for size in sizes:
-            mine = order[at:at + size].tolist()
-            at += size
-            out_ids.append(np.frombuffer(b"".join([ids[i] for i in mine]), encoder.dtype).astype("<u4").tobytes())
-            out_text.append(b"".join([words[i] for i in mine]).decode("utf-8", "replace"))
-        return pa.table({"key": pa.array(keys, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()),
-                         "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+                docs_of.append(row)
+        words = [b"".join([pieces[i] for i in np.frombuffer(w, encoder.dtype).tolist()]) for w in ids]
+        out: dict[str, list] = {"key": [], "ids": [], "decoded": []}
+        for row in docs_of:
+            if row["first"] != len(ids):
+                raise RuntimeError("the two passes over the texts have cut them into different blocks")
+            order, at = np.frombuffer(zstandard.decompress(row["ids"]), "<u4"), 0
+            for name, size in zip(row["keys"], row["sizes"], strict=True):
+                mine = order[at:at + size].tolist()
+                at += size
+                out["key"].append(name)
+                out["ids"].append(np.frombuffer(b"".join([ids[i] for i in mine]), encoder.dtype).astype("<u4").tobytes())
+                out["decoded"].append(b"".join([words[i] for i in mine]).decode("utf-8", "replace"))
+        return pa.table({"key": pa.array(out["key"], pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out["ids"]], pa.int64()),
+                         "ids": pa.array(out["ids"], pa.binary()), "decoded": pa.array(out["decoded"], pa.string())})
 
     # A group is one block, of bounded size.
     found = rows.groupBy("block").applyInArrow(assemble, "key long, n_tokens long, ids binary, decoded string")
