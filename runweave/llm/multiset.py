@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from runweave.llm.common import written
 
-LANES = 64
+LANES = 16
 #: Ends of paragraphs and of sentences.
 CUT = r"\n+|(?<=[.!?]) +"
 _MODULUS = 1 << 32
@@ -94,16 +94,17 @@ def followers(sizes: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of the text with its last third replaced by the start of the next document,
     with likenesses to it and to that document."""
-    base = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    base = with_lanes(docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")), "text", "lanes")
     after = followers(base.groupBy("key").agg(F.max(F.length("text")).alias("need")))
-    # The same rows by the same key as below: Spark shuffles the texts once.
+    # The same rows by the same key as below: Spark hashes and shuffles the texts once.
     other = base.join(after.select(F.col("key").alias("to"), "need", F.col("after").alias("key2")), F.col("key").eqNullSafe(F.col("key2")))
     sent = other.withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256)).withColumn("prefix", F.expr("substring(text, 1, need div 3)"))
-    sent = with_lanes(sent, "text", "next_lanes").groupBy("to").agg(F.min(F.struct("_sha", "prefix", "next_lanes")).alias("n"))
-    rows = base.join(sent, F.col("key").eqNullSafe(F.col("to"))).select("key", "text", F.length("text").cast("long").alias("n_chars"), "n")
+    sent = sent.groupBy("to").agg(F.min(F.struct("_sha", "prefix", F.col("lanes").alias("next_lanes"))).alias("n"))
+    rows = base.join(sent, F.col("key").eqNullSafe(F.col("to"))).select(
+        "key", "text", "lanes", F.length("text").cast("long").alias("n_chars"), "n")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"),
                       F.expr("substring(n.prefix, 1, cast(n_chars div 3 as int))"))
-    rows = with_lanes(with_lanes(rows.withColumn("edited", edited), "text", "lanes"), "edited", "edited_lanes")
+    rows = with_lanes(rows.withColumn("edited", edited), "edited", "edited_lanes")
     return rows.select(F.col("key").alias(key), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        hexadecimal(F.col("lanes")).alias("fingerprint"), hexadecimal(F.col("edited_lanes")).alias("edited_fingerprint"),
                        likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),

@@ -50,7 +50,7 @@ class Vertices:
             self.at = self.doc = self.left = self.right = np.empty(0, np.int64)
             return
         self.grams = np.maximum(self.spans.grams(gram), np.uint64(1))
-        self.low = slide(self.grams, self.width, np.minimum)
+        self.low = slide(self.grams, self.width, np.minimum).copy()
         self.low[doc[: total - window + 1] != doc[window - 1:]] = 0
         pad = np.zeros(self.width - 1, np.uint64)
         self.at = np.flatnonzero(slide(np.concatenate([pad, self.low, pad]), self.width, np.maximum) == self.grams)
