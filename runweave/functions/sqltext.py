@@ -28,6 +28,8 @@ GUARD_REGEX = rf"(?imdU)^[^\S\n]*+({'|'.join(GUARDED_KEYWORDS)})\b"
 # Possessive quantifiers keep the match iterative, so a long comment header cannot overflow the stack.
 DDL_REGEX = rf"(?iU)\A\s*+(?:--[^\n]*+\n\s*+)*+(?:{'|'.join(DDL_KEYWORDS)})\b"
 PLACEHOLDER_REGEX = r"\{\{\s*(\w+)\s*\}\}"
+# Java needs the flag for names in any script, Python reads them so.
+COLUMN_PLACEHOLDER_REGEX = f"(?U){PLACEHOLDER_REGEX}"
 
 
 def trim_blank(text: Column) -> Column:
@@ -52,11 +54,11 @@ def render_template(text: Column, params: Column) -> Column:
     """
     source = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", "")
     names = F.concat(
-        F.regexp_extract_all(source, F.lit(PLACEHOLDER_REGEX), F.lit(1)), F.array(F.lit(None).cast("string"))
+        F.regexp_extract_all(source, F.lit(COLUMN_PLACEHOLDER_REGEX), F.lit(1)), F.array(F.lit(None).cast("string"))
     )
     value = lambda name: F.when(F.map_contains_key(params, name), F.coalesce(F.try_element_at(params, name), F.lit("None")))
     pieces = F.zip_with(
-        F.split(source, PLACEHOLDER_REGEX, -1),
+        F.split(source, COLUMN_PLACEHOLDER_REGEX, -1),
         names,
         lambda piece, name: F.concat(piece, F.when(name.isNull(), "").otherwise(F.coalesce(value(name), F.lit("")))),
     )

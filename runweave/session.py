@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +34,7 @@ def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 200 << 20, least:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: `spark.checkpoint.dir`, as the cluster names it.
 
-    Only a local master may fall back to a temporary folder, since there all tasks share one disk.
+    Where it is unset, a local master falls back to a folder below the warehouse, which every session names.
     """
     context = spark.sparkContext
     base = (
@@ -46,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="runweave-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_runweave"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base.rstrip("/")

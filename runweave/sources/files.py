@@ -70,9 +70,11 @@ def scan_sql_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def read_sql_file(spark: SparkSession, path: str) -> str:
-    """Text of one SQL file."""
-    row = scan_sql_files(spark, path).first()
-    return row["sql_text"] if row else ""
+    """Text of one SQL file; a path that holds several is an error."""
+    rows = scan_sql_files(spark, path).take(2)
+    if len(rows) > 1:
+        raise ValueError(f"{path} holds more than one SQL file")
+    return rows[0]["sql_text"] if rows else ""
 
 
 def scan_manifests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

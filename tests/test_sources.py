@@ -107,3 +107,11 @@ def test_jdbc_options():
         jdbc.jdbc_options(config)
     with pytest.raises(ValueError, match="numPartitions"):
         jdbc.jdbc_options(config, table="t", partition_column="id", lower_bound=0, upper_bound=9)
+
+
+def test_read_sql_file_refuses_several_files(spark, tmp_path):
+    for name in ("a.sql", "b.sql"):
+        (tmp_path / name).write_text("SELECT 1")
+    assert files.read_sql_file(spark, str(tmp_path / "a.sql")) == "SELECT 1"
+    with pytest.raises(ValueError, match="more than one"):
+        files.read_sql_file(spark, str(tmp_path))

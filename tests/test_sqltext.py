@@ -90,3 +90,7 @@ def test_guard_and_split_agree_with_python(spark, texts):
         match = guard.search(texts[row.i])
         assert row.k == (match.group(1) if match else "")
         assert row.s == [p.strip() for p in texts[row.i].split(";") if p.strip()]
+
+
+def test_template_names_of_any_script(one):
+    assert one(lambda sql: sqltext.render_template(sql, F.create_map(F.lit("região"), F.lit("7"))), sql="SELECT {{ região }}") == "SELECT 7"
