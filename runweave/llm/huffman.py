@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ LIMIT = 20
 CHECKPOINT = 512
 #: A block is closed when it has so many ids, a shard is meant to have so many.
 BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 23
+#: Bytes of text encoded in one go.
+ENCODED = 1 << 21
 #: Ids coded or decoded in one go.
 STRETCH = 1 << 19
 
@@ -71,10 +74,9 @@ class Codes:
         sizes = np.int64(1) << (self.most - self.lengths[order])
         self.codes = np.zeros(len(lengths), np.int64)
         self.codes[order] = (np.cumsum(sizes) - sizes) >> (self.most - self.lengths[order])
-        self.symbols = np.zeros(1 << self.most, np.int32)
-        self.steps = np.zeros(1 << self.most, np.uint8)
-        self.symbols[: sizes.sum()] = np.repeat(order, sizes)
-        self.steps[: sizes.sum()] = np.repeat(self.lengths[order], sizes)
+        # Id and length of its code in one number.
+        self.table = np.zeros(1 << self.most, np.int32)
+        self.table[: sizes.sum()] = np.repeat(((order << 5) | self.lengths[order]).astype(np.int32), sizes)
 
     def encode(self, rows: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
         """For each row of ids its bits, padded to bytes, and the bit offsets of every `CHECKPOINT`th id."""
@@ -110,9 +112,9 @@ class Codes:
         keep, shift = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), "left"), np.uint32(32 - self.most)
         for step, live in enumerate(keep):
             bit = at[:live]
-            code = (window[bit >> 3] << (bit & 7).astype(np.uint32)) >> shift
-            out[put[:live] + step] = self.symbols[code]
-            at[:live] += self.steps[code]
+            found = self.table[(window[bit >> 3] << (bit & 7).astype(np.uint32)) >> shift]
+            out[put[:live] + step] = found >> 5
+            at[:live] += found & 31
         return out
 
 
@@ -123,9 +125,10 @@ def encode_texts(docs: DataFrame, path: str, end_id: int, key: str, text: str) -
         encoder = encoder_of(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for low, high in chunks([len(t) for t in texts], 1 << 20):
-                packed = [ids + end for ids in encoder.encode(texts[low:high])]
+            text = batch.column("text")
+            for low, high in chunks(pc.fill_null(pc.binary_length(text), 0).to_pylist(), ENCODED):
+                texts = [t or "" for t in text.slice(low, high - low).to_pylist()]
+                packed = [ids + end for ids in encoder.encode(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(low, high - low),
                      pa.array([len(p) // encoder.dtype.itemsize for p in packed], pa.int64()),

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: Pieces a worker remembers.
 KNOWN = 300_000
@@ -31,21 +34,29 @@ def tokenizer_of(path: str):
     return found
 
 
+def cut_pieces(texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The texts, end to end, in pieces whose ids are, end to end, those of each text; and at which piece each text
+    starts, with the number of pieces last."""
+    coded = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in coded], dtype=np.int64)])
+    cut = np.zeros(len(data) + 1, bool)
+    feed = data == 0x0A
+    cut[:-1] = (data == 0x20) | feed
+    cut[1:] |= feed
+    for i, text in enumerate(texts):
+        if _DOUBLE.search(text):
+            cut[begin[i]:begin[i + 1]] = False
+            cut[begin[i] + np.cumsum([len(p.encode()) for p in _SAFE.split(text)])] = True
+    cut[begin] = True
+    edges = np.flatnonzero(cut)
+    buffers = [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, buffers), np.searchsorted(edges, begin)
+
+
 def safe_pieces(text: str) -> list[str]:
-    """The text in pieces whose ids, end to end, are those of the text."""
-    if not text:
-        return []
-    if _DOUBLE.search(text):
-        return _SAFE.split(text)
-    out: list[str] = []
-    for number, line in enumerate(text.split("\n")):
-        if number:
-            out.append("\n")
-        head, *rest = line.split(" ")
-        if head:
-            out.append(head)
-        out += [" " + word for word in rest]
-    return out
+    """The pieces of one text."""
+    return [p.decode() for p in cut_pieces([text])[0].to_pylist()]
 
 
 def byte_of_character() -> dict[str, int]:
@@ -60,12 +71,18 @@ _WRITTEN = {b: c for c, b in byte_of_character().items()}
 
 def letters_and_marks(word: str) -> tuple[str, str] | None:
     """A run of letters and the run of marks behind it, if the word is no more than that."""
+    if word.isascii() and word.isalpha():
+        return word, ""
     letters = word.rstrip(MARKS)
     return (letters, word[len(letters):]) if letters and _LETTERS(letters) else None
 
 
 def in_vocabulary(word: str) -> str:
     """A word as a byte-level vocabulary writes it."""
+    if word.isascii() and word.isalpha():
+        return word
+    if word[:1] == " " and word.isascii() and word[1:].isalpha():
+        return _WRITTEN[32] + word[1:]
     return word.encode().decode("latin-1").translate(_WRITTEN)
 
 
@@ -76,14 +93,16 @@ class Encoder:
         self.tokenizer = tokenizer_of(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.limit = known
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
-        self.feed = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
+        packed = array(self.kind, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def pieces(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each piece, all in one call of the library."""
@@ -100,59 +119,49 @@ class Encoder:
                 continue
             letters, marks = parts
             if letters not in found:
-                found[letters] = self._pack([t.id for t in model.tokenize(in_vocabulary(lead + letters))])
-            if marks not in self.marks:
-                self.marks[marks] = self.pieces([marks])[0]
+                ids = self.known.get((lead + letters).encode())
+                found[letters] = ids or self._pack([t.id for t in model.tokenize(in_vocabulary(lead + letters))])
             if marks:
+                if marks not in self.marks:
+                    self.marks[marks] = self.pieces([marks])[0]
                 found[word] = found[letters] + self.marks[marks]
         for low in range(0, len(rest), 4096):
             part = rest[low:low + 4096]
             found.update(zip(part, self.pieces([lead + w for w in part]), strict=True))
         return found
 
-    def _ids(self, table: dict[str, bytes], words: list[str], lead: str) -> list[bytes]:
-        """Packed ids of each word; new words go to the table while it has places."""
-        out = list(map(table.get, words))
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        if missing:
-            found = self.words(list({words[i] for i in missing}), lead)
-            for i in missing:
-                out[i] = found[words[i]]
-            if len(self.heads) + len(self.tails) + len(found) <= self.limit:
-                table.update(found)
-        return out
+    def distinct(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces that differ; new ones go to the table while it has places."""
+        out = list(map(self.known.get, pieces))
+        new = {p: b"" for p, ids in zip(pieces, out, strict=True) if ids is None}
+        model, rest = self.tokenizer.model, {" ": [], "": []}
+        for piece in new:
+            word = piece.decode()
+            lead = " " if word[0] == " " else ""
+            letters = word[len(lead):]
+            if letters.isalpha() and letters.isascii():
+                new[piece] = self._pack([t.id for t in model.tokenize(_WRITTEN[32] + letters if lead else letters)])
+            else:
+                rest[lead].append(letters)
+        for lead, words in rest.items():
+            coded = self.words(words, lead)
+            new.update(((lead + w).encode(), coded[w]) for w in words)
+        if len(self.known) + len(new) <= self.limit:
+            self.known.update(new)
+        return [new[p] if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads: list[str] = []
-        tails: list[str] = []
-        lines: list[list[int]] = []
-        for text in texts:
-            if _DOUBLE.search(text):
-                parts = _SAFE.split(text)
-                heads += parts
-                lines.append([-len(parts)])
-                continue
-            sizes = []
-            for line in text.split("\n"):
-                words = line.split(" ")
-                heads.append(words[0])
-                del words[0]
-                tails += words
-                sizes.append(len(words))
-            lines.append(sizes)
-        head, tail = self._ids(self.heads, heads, ""), self._ids(self.tails, tails, " ")
-        out, h, t = [], 0, 0
-        for sizes in lines:
-            rows = []
-            for n in sizes:
-                if n < 0:
-                    rows.append(b"".join(head[h:h - n]))
-                    h -= n
-                else:
-                    rows.append(head[h] + b"".join(tail[t:t + n]))
-                    h, t = h + 1, t + n
-            out.append(self.feed.join(rows))
-        return out
+        """Packed ids of each text; each distinct piece of the texts is looked up once."""
+        pieces, first = cut_pieces(texts)
+        found = pieces.dictionary_encode()
+        coded = self.distinct(found.dictionary.to_pylist())
+        ids, size = np.frombuffer(b"".join(coded), self.dtype), np.array([len(c) for c in coded], np.int64) // self.dtype.itemsize
+        place = found.indices.to_numpy()
+        length = size[place]
+        end = np.concatenate([[0], np.cumsum(length)])
+        packed = ids[np.repeat((np.cumsum(size) - size)[place] - end[:-1], length) + np.arange(end[-1])].tobytes()
+        at = (end[first] * self.dtype.itemsize).tolist()
+        return [packed[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -10,7 +10,7 @@
 Words and numbers are made by one pass each over the texts, so that neither is stored. A block is named by a hash of its
 rows; should the passes cut the input differently, a block lacks its words and the job stops.
 
-A "word" is what stands between two cuts of `tokens.safe_pieces`. Null texts are empty and have no ids. Rows that repeat
+A "word" is what stands between two cuts of `tokens.cut_pieces`. Null texts are empty and have no ids. Rows that repeat
 are encoded each, an empty table gives an empty one, a text of any length lies in one block. Further columns are not
 read here; join them by key.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm.common import chunks
-from runweave.llm.tokens import byte_of_character, encoder_of, safe_pieces
+from runweave.llm.tokens import byte_of_character, encoder_of, cut_pieces
 
 BLOCK_CHARS = 1 << 24
 CUT = ("block long, bucket int, first long, keys array<long>, sizes array<long>, payload binary")
@@ -65,22 +65,20 @@ def cut_texts(docs: DataFrame, buckets: int, key: str, text: str, places: bool)
     """Of each block its distinct words, a row for each bucket, or (`places`) the numbers of its words, in one row."""
 
     def block(keys: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        index: dict[str, int] = {}
-        sizes, order = [], []
         name = hashlib.blake2b(repr(keys).encode(), digest_size=8)
         for t in texts:
             name.update(t.encode())
-            found = safe_pieces(t)
-            sizes.append(len(found))
-            order.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.uint32, len(found)))
         number = int.from_bytes(name.digest(), "little", signed=True)
-        words = [w.encode() for w in index]
+        pieces, start = cut_pieces(texts)
+        sizes = np.diff(start).tolist()
+        found = pieces.dictionary_encode()
+        words = found.dictionary.to_pylist()
         bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
         by_bucket = np.argsort(bucket, kind="stable")
         if places:
             place = np.empty(len(words), np.uint32)
             place[by_bucket] = np.arange(len(words), dtype=np.uint32)
-            row = place[np.concatenate(order)] if len(words) else np.empty(0, np.uint32)
+            row = place[found.indices.to_numpy()]
             out = [{"block": number, "first": len(words), "keys": keys, "sizes": sizes,
                     "payload": zstandard.compress(row.astype("<u4").tobytes(), 3)}]
         else:
@@ -121,9 +119,7 @@ def encode_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
                     now, known = bucket, {}
                 row = unpack(payload)
                 new = [w for w in row if w not in known]
-                for lead, part in ((" ", [w for w in new if w[:1] == b" "]), ("", [w for w in new if w[:1] != b" "])):
-                    coded = encoder.words([w.decode()[len(lead):] for w in part], lead)
-                    known.update((w, coded[w.decode()[len(lead):]]) for w in part)
+                known.update(zip(new, encoder.distinct(new), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([first], pa.int64()),
                                                   pa.array([pack([known[w] for w in row])], pa.binary())], names=["block", "first", "ids"])
 
