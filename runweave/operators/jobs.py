@@ -48,7 +48,7 @@ def job_status(jobs: DataFrame, log_lines: DataFrame, newest: int | None = None)
     """
     if newest:
         jobs = newest_jobs(jobs, newest)
-        log_lines = log_lines.join(F.broadcast(jobs.select("job_id")), "job_id", "left_semi")
+        log_lines = log_lines.join(jobs.select("job_id"), "job_id", "left_semi")
     failed = log_lines.groupBy("job_id").agg(F.bool_or(log_failed(F.col("line"))).alias("_failed"))
     status = F.when(F.col("alive"), "RUNNING").when(F.coalesce("_failed", F.lit(False)), "FAILED").otherwise("FINISHED")
     return jobs.join(failed, "job_id", "left").withColumn("status", status).drop("_failed")

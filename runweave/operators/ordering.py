@@ -5,7 +5,7 @@ rows. The heavier keys are cut into blocks of `block_rows` order values: the win
 block, and only one summary row per block goes through a window over the whole key.
 
 The order column must be an integer that is unique within its key, so a block never holds more than
-`block_rows` rows. Where order values are sparse (times, say), pass the width of a block in their
+`block_rows` rows. A row without an order value comes first, a null key is a key. Where order values are sparse (times, say), pass the width of a block in their
 unit. The input is read once to count the keys and once per way its keys take; write it out first
 when it is costly to compute.
 """
@@ -13,9 +13,12 @@ when it is costly to compute.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 1 << 20
 BROADCAST_ROWS = 50_000
@@ -36,8 +39,20 @@ def _by_weight(
     """
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     hot = F.broadcast(counted.where(F.col("_n") > block_rows).select(*keys))
-    keys = list(keys)
-    return light(df.join(hot, keys, "left_anti")).unionByName(heavy(df.join(hot, keys, "left_semi").select(*df.columns)))
+    return light(_join(df, hot, keys, "left_anti")).unionByName(heavy(_join(df, hot, keys, "left_semi")))
+
+
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which a null key meets a null key."""
+    named = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys])
+    return left.join(named, same, how).drop(*[f"_right_{key}" for key in keys])
+
+
+def _integer(df: DataFrame, order: str) -> None:
+    kind = df.schema[order].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"order column {order!r} must be an integer, not {kind.simpleString()}")
 
 
 def number_rows(
@@ -59,10 +74,11 @@ def number_rows(
         )
         return (
             rows.withColumn("_local", F.row_number().over(within))
-            .join(offsets, [*keys, "_block"])
+            .transform(_join, offsets, [*keys, "_block"])
             .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(out))
         )
 
+    _integer(df, order)
     return _by_weight(df, keys, block_rows, light, heavy)
 
 
@@ -103,13 +119,14 @@ def consecutive_runs(
         local = _number_runs(rows, [*keys, "_block"], order, head)
         over_blocks = Window.partitionBy(*keys).orderBy("_block")
         before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+        place = F.struct(order)  # a row without an order value counts, and comes first
         # One row per block: does its first run continue the run that closed the block before?
         blocks = (
             local.groupBy(*keys, "_block").agg(
                 F.max("_run").alias("_runs"),
-                F.min_by("_label", order).alias("_first"),
-                F.max_by("_label", order).alias("_last"),
-                F.max_by("_head", order).alias("_last_head"),
+                F.min_by("_label", place).alias("_first"),
+                F.max_by("_label", place).alias("_last"),
+                F.max_by("_head", place).alias("_last_head"),
             )
             .withColumn("_joins", F.when(F.lag("_last").over(over_blocks) == F.col("_first"), 1).otherwise(0))
             .withColumn("_own", F.when((F.col("_runs") > 1) | (F.col("_joins") == 0), F.col("_last_head")))
@@ -120,12 +137,13 @@ def consecutive_runs(
         )
         first_run = F.when(F.col("_run") == 1, F.col("_inherited"))
         return (
-            local.join(blocks, [*keys, "_block"])
+            _join(local, blocks, [*keys, "_block"])
             .withColumn(out, F.col("_base") + F.col("_run"))
             .withColumn("_head", F.coalesce(first_run, F.col("_head")))
             .select(*df.columns, out, "_head.*")
         )
 
+    _integer(df, order)
     return _by_weight(df, keys, block_rows, light, heavy)
 
 

@@ -25,6 +25,8 @@ def python_text(column: Column, kind: T.DataType) -> Column:
         return (
             F.when((size >= 1e7) & (size < 1e16), digits(17))
             .when((size >= 1e-4) & (size < 1e-3), digits(22))
+            .when(F.isnan(column), "nan")
+            .when(size == float("inf"), F.when(column > 0, "inf").otherwise("-inf"))
             .when((size >= 1e16) | ((size < 1e-4) & (size > 0)), F.regexp_replace(exponent, r"e([+-])(\d)\z", "e$10$2"))
             .otherwise(text)
         )

@@ -48,7 +48,9 @@ class PublishGroup:
 def published(spark: SparkSession, folder: str) -> DataFrame:
     """Current output per name: the one published last."""
     log = spark.read.schema(PUBLISH_SCHEMA).json(f"{folder.rstrip('/')}/log")
-    latest = F.max_by(F.struct(*[c for c in log.columns if c != "name"]), F.struct("published_at", "group_id"))
+    # A group numbers its outputs in their paths, so of one name staged twice the later one wins.
+    latest = F.max_by(F.struct(*[c for c in log.columns if c != "name"]),
+                      F.struct("published_at", "group_id", F.regexp_extract("path", r"(\d+)/*\z", 1).cast("long")))
     return log.groupBy("name").agg(latest.alias("_last")).select("name", "_last.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 from typing import Any
@@ -12,6 +13,8 @@ from runweave.sources.files import scan_csv_strings, scan_parquet
 from runweave.sources.jdbc import scan_jdbc
 
 Targets = Mapping[str, Mapping[str, Any]]
+#: Session setting that names the views of the target registered last.
+VIEWS_CONF = "spark.runweave.targetViews"
 
 
 def resolve_target(targets: Targets, name: str) -> dict[str, Any]:
@@ -41,10 +44,15 @@ def target_table(spark: SparkSession, config: Mapping[str, Any], table: str) ->
 def register_target(spark: SparkSession, targets: Targets, name: str, mentioned_in: str | None = None) -> dict[str, Any]:
     """Make the target's tables available to SQL as temporary views; returns its settings.
 
-    With `mentioned_in`, tables whose name does not occur in that text are not opened.
+    With `mentioned_in`, tables whose name does not occur in that text are not opened. Views that an earlier
+    target left in this session are dropped, so that a query sees the tables of its own target only.
     """
     config = resolve_target(targets, name)
-    for table in config["tables"]:
-        if mentioned_in is None or re.search(rf"\b{re.escape(table)}\b", mentioned_in, re.IGNORECASE):
-            target_table(spark, config, table).createOrReplaceTempView(table)
+    for view in json.loads(spark.conf.get(VIEWS_CONF, "[]")):
+        spark.catalog.dropTempView(view)
+    opened = [t for t in config["tables"]
+              if mentioned_in is None or re.search(rf"\b{re.escape(t)}\b", mentioned_in, re.IGNORECASE)]
+    spark.conf.set(VIEWS_CONF, json.dumps(opened))
+    for table in opened:
+        target_table(spark, config, table).createOrReplaceTempView(table)
     return config

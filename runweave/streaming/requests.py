@@ -40,7 +40,7 @@ def classify_requests(lines: DataFrame) -> DataFrame:
     bad = F.col("_corrupt_record").isNotNull()
     stop = ~bad & F.coalesce(F.col("cmd") == "shutdown", F.lit(False))
     error = (
-        F.when(bad, F.concat(F.lit(BAD_JSON), F.left("_line", F.lit(200))))
+        F.when(bad, F.concat(F.lit(BAD_JSON), F.col("_line")))
         .when(~stop & (empty("sql_file") | empty("target") | empty("output")), F.lit(INCOMPLETE))
     )
     return (

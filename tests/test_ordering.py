@@ -78,6 +78,24 @@ def test_rows_without_a_key_are_kept(spark):
     assert sorted((r.s, r.seq) for r in number_rows(table, ["k"], "s").collect()) == [(1, 1), (1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("block_rows", [1, 2, 1 << 20])
+def test_rows_without_an_order_value_come_first(spark, block_rows):
+    table = spark.createDataFrame(
+        [(k, s, "a" if s is None or s < 3 else "b") for k in (None, 1) for s in (None, -4, 2, 3, 10**12)], "k int, s bigint, l string")
+    runs = consecutive_runs(table, ["k"], "s", F.col("l"), block_rows=block_rows)
+    wanted = [(None, 1, None), (-4, 1, None), (2, 1, None), (3, 2, 3), (10**12, 2, 3)]
+    numbered = number_rows(table, ["k"], "s", block_rows=block_rows)
+    for key in (F.col("k").isNull(), F.col("k") == 1):
+        assert {(r.s, r.run_no, r.run_start) for r in runs.where(key).collect()} == set(wanted) and runs.where(key).count() == 5
+        assert sorted((r.seq, r.s or 0) for r in numbered.where(key).collect()) == [(1, 0), (2, -4), (3, 2), (4, 3), (5, 10**12)]
+
+
+@pytest.mark.parametrize("block_rows", [1, 1 << 20])
+def test_the_order_must_be_an_integer(spark, block_rows):
+    with pytest.raises(ValueError, match="must be an integer"):
+        number_rows(spark.createDataFrame([(1, "x")], "k int, s string"), ["k"], "s", block_rows=block_rows)
+
+
 def test_attach_by_key_splits_heavy_keys_and_keeps_rows(spark, rows, table):
     facts = table.groupBy("k").agg(F.count("*").alias("n"), F.max("s").alias("last")).where("k <> 2")
     got = attach_by_key(table, facts, ["k"], rows_per_task=20)

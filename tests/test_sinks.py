@@ -125,3 +125,20 @@ def test_report_files_are_sorted_by_run(spark, tmp_path):
     runlog.sink_report(rows, str(tmp_path / "r"))
     runlog.sink_report(rows, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2000
+
+
+def test_nan_and_infinity_are_written_as_python_prints_them(spark):
+    table = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (0.5,)], "x double")
+    from runweave.sinks.files import python_text
+
+    assert {r[0] for r in table.select(python_text(table.x, table.schema["x"].dataType)).collect()} == {"nan", "inf", "-inf", "0.5"}
+
+
+def test_of_one_name_staged_twice_the_later_output_wins(spark, tmp_path):
+    from runweave.sinks.publish import PublishGroup, read_published
+
+    group = PublishGroup(spark, str(tmp_path))
+    for value in range(12):
+        group.stage("twice", spark.createDataFrame([(value,)], "v int"))
+    group.publish()
+    assert read_published(spark, str(tmp_path), "twice").first().v == 11

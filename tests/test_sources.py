@@ -115,3 +115,17 @@ def test_read_sql_file_refuses_several_files(spark, tmp_path):
     assert files.read_sql_file(spark, str(tmp_path / "a.sql")) == "SELECT 1"
     with pytest.raises(ValueError, match="more than one"):
         files.read_sql_file(spark, str(tmp_path))
+
+
+def test_a_target_does_not_see_tables_of_another(spark, tmp_path):
+    from runweave.runs.query import run_sql
+
+    for folder, value in (("a", 1), ("b", 2)):
+        spark.createDataFrame([(value,)], "v int").write.parquet(f"{tmp_path}/{folder}/both_have")
+    spark.createDataFrame([(3,)], "v int").write.parquet(f"{tmp_path}/a/only_a_has")
+    targets = {"A": {"path": f"{tmp_path}/a", "tables": ["both_have", "only_a_has"]}, "B": {"path": f"{tmp_path}/b", "tables": ["both_have"]}}
+    first = run_sql(spark, "SELECT both_have.v, only_a_has.v AS w FROM both_have, only_a_has", target="A", targets=targets).data
+    assert run_sql(spark, "SELECT v FROM both_have", target="B", targets=targets).data.first().v == 2
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        run_sql(spark, "SELECT v FROM only_a_has", target="B", targets=targets)
+    assert tuple(first.first()) == (1, 3)  # an earlier result stays readable
