@@ -21,26 +21,28 @@ from pyspark.sql import functions as F
 
 from runweave.llm.common import written
 
-LANES = 16
+LANES = 64
 #: Ends of paragraphs and of sentences.
 CUT = r"\n+|(?<=[.!?]) +"
 _MODULUS = 1 << 32
 
 
 def passages(text: Column) -> Column:
-    """Two hashes of each passage."""
-    cut = F.filter(F.split(text, CUT), lambda p: p != "")
-    return F.transform(cut, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(p, F.lit(1)).alias("b")))
+    return F.filter(F.split(text, CUT), lambda p: p != "")
 
 
-def lanes_of(hashed: Column) -> Column:
-    """Sums of the passages' elements, lane by lane, modulo 2^32. A passage adds at most 2^15, so a sum before the
-    modulus stays below 2^63 for any text."""
-    def element(h, lane):
-        return F.xxhash64(h["a"], h["b"], lane).bitwiseAND(F.lit(0xFFFF)) - 32768
-
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda lane: F.pmod(
-        F.aggregate(hashed, F.lit(0).cast("long"), lambda total, h: total + element(h, lane)), F.lit(_MODULUS)))
+def sums(df: DataFrame, text: str, *by: str) -> DataFrame:
+    """`by`, `copies` and `lanes` of the texts under each `by`, which are equal: one row for each passage, summed in the
+    task that has it before the shuffle. A passage adds at most 2^15 to a lane, so a sum stays below 2^63; what the
+    copies of a text add up to is divided by their number."""
+    rows = df.select(*by, F.posexplode_outer(passages(F.col(text))).alias("_at", "_passage"))
+    rows = rows.withColumn("_a", F.xxhash64("_passage")).withColumn("_b", F.xxhash64("_passage", F.lit(1)))
+    rows = rows.select(*by, "_at", *[F.xxhash64("_a", "_b", F.lit(i)).alias(f"_h{i}") for i in range(LANES // 4)])
+    pieces = [F.shiftrightunsigned(f"_h{i}", 16 * j).bitwiseAND(F.lit(0xFFFF)) - 32768 for i in range(LANES // 4) for j in range(4)]
+    totals = [F.sum(F.when(F.col("_at").isNotNull(), x).otherwise(0)).alias(f"_s{i}") for i, x in enumerate(pieces)]
+    summed = rows.groupBy(*by).agg(F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"), *totals)
+    lanes = [F.expr(f"pmod(_s{i} div copies, {_MODULUS}L)") for i in range(LANES)]
+    return summed.select(*by, "copies", F.array(*lanes).alias("lanes"))
 
 
 def hexadecimal(lanes: Column) -> Column:
@@ -68,15 +70,21 @@ def likeness(lanes: Column, other: Column) -> Column:
     return F.when(lanes == other, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
+def digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def with_lanes(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the lanes of a text. Hashes first, in a step of their own, so that they are computed once."""
-    return df.withColumn("_hashed", passages(F.col(text))).withColumn(name, lanes_of(F.col("_hashed"))).drop("_hashed")
+    """Add the lanes of a text, joined by its SHA-256; a null text is empty."""
+    named = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_sha", digest(F.col("_text")))
+    found = sums(named, "_text", "_sha").select(F.col("_sha").alias("_of"), F.col("lanes").alias(name))
+    return named.join(found, F.col("_sha") == F.col("_of")).drop("_text", "_sha", "_of")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and fingerprint of every text."""
-    named = docs.select(docs[key].alias(key), F.coalesce(docs[text], F.lit("")).alias("_text"))
-    return with_lanes(named, "_text", "_lanes").select(key, hexadecimal(F.col("_lanes")).alias("fingerprint"))
+    found = with_lanes(docs.select(docs[key].alias("key"), docs[text].alias("text")), "text", "lanes")
+    return found.select(F.col("key").alias(key), hexadecimal(F.col("lanes")).alias("fingerprint"))
 
 
 def followers(sizes: DataFrame) -> DataFrame:
@@ -94,21 +102,29 @@ def followers(sizes: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of the text with its last third replaced by the start of the next document,
     with likenesses to it and to that document."""
-    base = with_lanes(docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")), "text", "lanes")
-    after = followers(base.groupBy("key").agg(F.max(F.length("text")).alias("need")))
-    # The same rows by the same key as below: Spark hashes and shuffles the texts once.
+    base = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("sha", digest(F.col("text")))
+    own = written(sums(base, "text", "key", "sha").drop("copies"), "lanes")
+    after = followers(docs.groupBy(docs[key].alias("key")).agg(F.max(F.length(F.coalesce(docs[text], F.lit("")))).alias("need")))
+    # The same rows by the same key as below: Spark shuffles the texts once.
     other = base.join(after.select(F.col("key").alias("to"), "need", F.col("after").alias("key2")), F.col("key").eqNullSafe(F.col("key2")))
-    sent = other.withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256)).withColumn("prefix", F.expr("substring(text, 1, need div 3)"))
-    sent = sent.groupBy("to").agg(F.min(F.struct("_sha", "prefix", F.col("lanes").alias("next_lanes"))).alias("n"))
+    sent = other.groupBy("to").agg(F.min(F.struct("sha", F.expr("substring(text, 1, need div 3)").alias("prefix"), "key2")).alias("n"))
+    size = F.length("text").cast("long")
     rows = base.join(sent, F.col("key").eqNullSafe(F.col("to"))).select(
-        "key", "text", "lanes", F.length("text").cast("long").alias("n_chars"), "n")
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"),
-                      F.expr("substring(n.prefix, 1, cast(n_chars div 3 as int))"))
-    rows = with_lanes(rows.withColumn("edited", edited), "edited", "edited_lanes")
-    return rows.select(F.col("key").alias(key), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                       hexadecimal(F.col("lanes")).alias("fingerprint"), hexadecimal(F.col("edited_lanes")).alias("edited_fingerprint"),
-                       likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
-                       likeness(F.col("lanes"), F.col("n.next_lanes")).alias("near_next"))
+        "key", "sha", size.alias("n_chars"), F.col("n.key2").alias("next_key"), F.col("n.sha").alias("next_sha"),
+        F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"),
+                 F.expr("substring(n.prefix, 1, cast(length(text) div 3 as int))")).alias("edited"))
+    by = ("key", "sha", "n_chars", "next_key", "next_sha", "edited_sha")
+    rows = sums(rows.withColumn("edited_sha", digest(F.col("edited"))), "edited", *by).withColumnRenamed("lanes", "edited_lanes")
+    for side, name in (("", "own"), ("next_", "next")):
+        found = own.select(F.col("key").alias("_key"), F.col("sha").alias("_sha"), F.col("lanes").alias(f"{name}_lanes"))
+        same = F.col(f"{side}key").eqNullSafe(F.col("_key")) & (F.col(f"{side}sha") == F.col("_sha"))
+        rows = rows.join(found, same).drop("_key", "_sha")
+    lanes = F.col("own_lanes")
+    rows = rows.select(F.col("key").alias(key), "n_chars", F.col("edited_sha").alias("edited_sha256"),
+                       hexadecimal(lanes).alias("fingerprint"), hexadecimal(F.col("edited_lanes")).alias("edited_fingerprint"),
+                       likeness(lanes, F.col("edited_lanes")).alias("near_edited"),
+                       likeness(lanes, F.col("next_lanes")).alias("near_next"), "copies")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_copy", "copies")
 
 
 def op3_multiset_fingerprint(spark, sf_dir: str) -> DataFrame:
