@@ -16,12 +16,14 @@ the others. One document alone follows itself. Further columns are not read. Lon
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runweave.llm.common import written
 
-LANES = 64
+LANES = 32
 #: Ends of paragraphs and of sentences.
 CUT = r"\n+|(?<=[.!?]) +"
 _MODULUS = 1 << 32
@@ -31,18 +33,24 @@ def passages(text: Column) -> Column:
     return F.filter(F.split(text, CUT), lambda p: p != "")
 
 
-def sums(df: DataFrame, text: str, *by: str) -> DataFrame:
-    """`by`, `copies` and `lanes` of the texts under each `by`, which are equal: one row for each passage, summed in the
-    task that has it before the shuffle. A passage adds at most 2^15 to a lane, so a sum stays below 2^63; what the
-    copies of a text add up to is divided by their number."""
-    rows = df.select(*by, F.posexplode_outer(passages(F.col(text))).alias("_at", "_passage"))
-    rows = rows.withColumn("_a", F.xxhash64("_passage")).withColumn("_b", F.xxhash64("_passage", F.lit(1)))
-    rows = rows.select(*by, "_at", *[F.xxhash64("_a", "_b", F.lit(i)).alias(f"_h{i}") for i in range(LANES // 4)])
-    pieces = [F.shiftrightunsigned(f"_h{i}", 16 * j).bitwiseAND(F.lit(0xFFFF)) - 32768 for i in range(LANES // 4) for j in range(4)]
-    totals = [F.sum(F.when(F.col("_at").isNotNull(), x).otherwise(0)).alias(f"_s{i}") for i, x in enumerate(pieces)]
-    summed = rows.groupBy(*by).agg(F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"), *totals)
-    lanes = [F.expr(f"pmod(_s{i} div copies, {_MODULUS}L)") for i in range(LANES)]
-    return summed.select(*by, "copies", F.array(*lanes).alias("lanes"))
+def sums(df: DataFrame, texts: dict[str, str], *by: str) -> DataFrame:
+    """`by`, `copies` (rows with this `by`, whose texts are equal) and for each name in `texts` the lanes of that column:
+    one row for each passage, summed in the task that has it. A passage adds at most 2^15 to a lane, so a sum stays
+    below 2^63; what the copies of a text add up to is divided by their number."""
+    def piece(which: int, passage: Column) -> Column:
+        return F.struct(F.lit(which).alias("which"), passage.alias("passage"))
+
+    mark = F.array(piece(-1, F.lit("")))  # one for each row, also of an empty text
+    pieces = [F.transform(passages(F.col(c)), partial(piece, i)) for i, c in enumerate(texts.values())]
+    rows = df.select(*by, F.explode(F.concat(mark, *pieces)).alias("_p")).select(*by, "_p.which", "_p.passage")
+    rows = rows.select(*by, "which", F.xxhash64("passage").alias("_a"), F.xxhash64("passage", F.lit(1)).alias("_b"))
+    rows = rows.select(*by, "which", *[F.xxhash64("_a", "_b", F.lit(i)).alias(f"_h{i}") for i in range(LANES // 4)])
+    elements = [F.shiftrightunsigned(f"_h{i}", 16 * j).bitwiseAND(F.lit(0xFFFF)) - 32768 for i in range(LANES // 4) for j in range(4)]
+    totals = [F.sum(F.when(F.col("which") == n, x).otherwise(0)).alias(f"_{n}_{i}")
+              for n in range(len(texts)) for i, x in enumerate(elements)]
+    summed = rows.groupBy(*by).agg(F.sum(F.when(F.col("which") == -1, 1).otherwise(0)).alias("copies"), *totals)
+    lanes = {name: F.array(*[F.expr(f"pmod(_{n}_{i} div copies, {_MODULUS}L)") for i in range(LANES)]) for n, name in enumerate(texts)}
+    return summed.select(*by, "copies", *[x.alias(name) for name, x in lanes.items()])
 
 
 def hexadecimal(lanes: Column) -> Column:
@@ -77,7 +85,7 @@ def digest(text: Column) -> Column:
 def with_lanes(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add the lanes of a text, joined by its SHA-256; a null text is empty."""
     named = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_sha", digest(F.col("_text")))
-    found = sums(named, "_text", "_sha").select(F.col("_sha").alias("_of"), F.col("lanes").alias(name))
+    found = sums(named, {"lanes": "_text"}, "_sha").select(F.col("_sha").alias("_of"), F.col("lanes").alias(name))
     return named.join(found, F.col("_sha") == F.col("_of")).drop("_text", "_sha", "_of")
 
 
@@ -102,28 +110,30 @@ def followers(sizes: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of the text with its last third replaced by the start of the next document,
     with likenesses to it and to that document."""
-    base = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("sha", digest(F.col("text")))
-    own = written(sums(base, "text", "key", "sha").drop("copies"), "lanes")
+    def named(column: Column) -> Column:
+        """Never null, so that plain joins keep null keys and what was joined by it is grouped where it is."""
+        return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+    base = docs.select(named(docs[key]).alias("k"), docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    base = base.withColumn("sha", digest(F.col("text")))
     after = followers(docs.groupBy(docs[key].alias("key")).agg(F.max(F.length(F.coalesce(docs[text], F.lit("")))).alias("need")))
-    # The same rows by the same key as below: Spark shuffles the texts once.
-    other = base.join(after.select(F.col("key").alias("to"), "need", F.col("after").alias("key2")), F.col("key").eqNullSafe(F.col("key2")))
-    sent = other.groupBy("to").agg(F.min(F.struct("sha", F.expr("substring(text, 1, need div 3)").alias("prefix"), "key2")).alias("n"))
-    size = F.length("text").cast("long")
-    rows = base.join(sent, F.col("key").eqNullSafe(F.col("to"))).select(
-        "key", "sha", size.alias("n_chars"), F.col("n.key2").alias("next_key"), F.col("n.sha").alias("next_sha"),
+    # The same columns by the same key as below: Spark shuffles the texts once.
+    other = base.join(after.select(named(F.col("key")).alias("to"), "need", named(F.col("after")).alias("k2")), F.col("k") == F.col("k2"))
+    sent = other.groupBy("to").agg(F.min(F.struct("sha", F.expr("substring(text, 1, need div 3)").alias("prefix"), "key")).alias("n"))
+    rows = base.join(sent, F.col("k") == F.col("to")).select(
+        "k", "key", "sha", "text", F.length("text").cast("long").alias("n_chars"), named(F.col("n.key")).alias("next_k"),
+        F.col("n.sha").alias("next_sha"),
         F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"),
                  F.expr("substring(n.prefix, 1, cast(length(text) div 3 as int))")).alias("edited"))
-    by = ("key", "sha", "n_chars", "next_key", "next_sha", "edited_sha")
-    rows = sums(rows.withColumn("edited_sha", digest(F.col("edited"))), "edited", *by).withColumnRenamed("lanes", "edited_lanes")
-    for side, name in (("", "own"), ("next_", "next")):
-        found = own.select(F.col("key").alias("_key"), F.col("sha").alias("_sha"), F.col("lanes").alias(f"{name}_lanes"))
-        same = F.col(f"{side}key").eqNullSafe(F.col("_key")) & (F.col(f"{side}sha") == F.col("_sha"))
-        rows = rows.join(found, same).drop("_key", "_sha")
-    lanes = F.col("own_lanes")
+    by = ("k", "key", "sha", "n_chars", "next_k", "next_sha", "edited_sha")
+    both = sums(rows.withColumn("edited_sha", digest(F.col("edited"))), {"lanes": "text", "edited_lanes": "edited"}, *by)
+    both = written(both, "lanes")
+    following = both.select(F.col("k").alias("_k"), F.col("sha").alias("_sha"), F.col("lanes").alias("next_lanes"))
+    rows = both.join(following, (F.col("next_k") == F.col("_k")) & (F.col("next_sha") == F.col("_sha")))
     rows = rows.select(F.col("key").alias(key), "n_chars", F.col("edited_sha").alias("edited_sha256"),
-                       hexadecimal(lanes).alias("fingerprint"), hexadecimal(F.col("edited_lanes")).alias("edited_fingerprint"),
-                       likeness(lanes, F.col("edited_lanes")).alias("near_edited"),
-                       likeness(lanes, F.col("next_lanes")).alias("near_next"), "copies")
+                       hexadecimal(F.col("lanes")).alias("fingerprint"), hexadecimal(F.col("edited_lanes")).alias("edited_fingerprint"),
+                       likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+                       likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"), "copies")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_copy", "copies")
 
 
