@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from runweave.llm.common import chunks
 from runweave.llm.tokens import byte_of_character, encoder_of, cut_pieces
 
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 12 << 20
 CUT = ("block long, bucket int, first long, keys array<long>, sizes array<long>, payload binary")
 _CUT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("first", pa.int64()), ("keys", pa.list_(pa.int64())),
                   ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
