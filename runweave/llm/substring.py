@@ -17,8 +17,9 @@ go, except in the document with the smallest key.
 Texts are hashed in full, nothing is sampled from the result: every window has its vertex. Vertices meet by 64 bits;
 should two k-mers collide, the vertex branches and its windows are compared.
 
-Null texts are empty. Rows with the same key do not remove words from each other; rows without a key lose nothing and
-take nothing. Texts shorter than a window keep all words. An empty table gives an empty one. Further columns pass
+Null texts are empty. Paths and removed runs belong to a row, named by its key and a 64-bit hash of its whole text; equal
+rows are taken once and all get the result. Rows with the same key do not remove words from each other; rows without a
+key lose nothing and take nothing. Texts shorter than a window keep all words. An empty table gives an empty one. Further columns pass
 through if named; those named like a result give way to it.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runweave.llm.common import Spans, Words, chunks, mix, signed, slide, texts_of, written
@@ -67,20 +68,20 @@ class Vertices:
         return mix(self.spans(self.left, self.right) + place * SMALL)
 
 
-def _named(batch: pa.RecordBatch, most: int | None = None):
-    """Keys and texts of a batch, in parts that are hashed together."""
+def _named(batch: pa.RecordBatch):
+    """Keys, hashes (`id`) and texts of a batch, in parts that are hashed together."""
     texts = texts_of(batch.column("text"))
-    keys = batch.column("key").to_pylist()
+    keys, ids = batch.column("key").to_pylist(), batch.column("id").to_pylist()
     for low, high in chunks([len(t) for t in texts]):
-        yield low, keys[low:high], Words(texts[low:high])
+        yield low, keys[low:high], ids[low:high], Words(texts[low:high])
 
 
 def vertices(docs: DataFrame, window: int, places: bool) -> DataFrame:
-    """Vertex, key and either the edges' hash or its place, packed with the lengths of the edges."""
+    """Vertex, key and id of the row, and either the edges' hash or its place, packed with the lengths of the edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, keys, words in _named(batch):
+            for _, keys, ids, words in _named(batch):
                 found = Vertices(words, window)
                 if places:
                     inside = found.at - words.first[found.doc]
@@ -88,14 +89,14 @@ def vertices(docs: DataFrame, window: int, places: bool) -> DataFrame:
                 else:
                     last = signed(found.around(words))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(found.grams[found.at])), pa.array(np.array(keys, np.int64)[found.doc]), pa.array(last)],
-                    names=["vertex", "key", "last"])
+                    [pa.array(signed(found.grams[found.at])), pa.array(np.array(keys, np.int64)[found.doc]),
+                     pa.array(np.array(ids, np.int64)[found.doc]), pa.array(last)], names=["vertex", "key", "id", "last"])
 
-    return docs.filter("key is not null").select("key", "text").mapInArrow(run, "vertex long, key long, last long")
+    return docs.filter("key is not null").select("key", "id", "text").mapInArrow(run, "vertex long, key long, id long, last long")
 
 
 def paths(docs: DataFrame, window: int) -> DataFrame:
-    """Compacted repeated paths in each document, written: words from `low` to `high`, `plain` if it does not branch (else
+    """Compacted repeated paths in each row (`key`, `id`), written: words from `low` to `high`, `plain` if it does not branch (else
     a single vertex), the `source` and the places `at` of its vertices."""
     gram = min(GRAM, window)
     repeated = vertices(docs, window, places=False).groupBy("vertex").agg(
@@ -103,26 +104,29 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
     # A table of its own: an aggregate in the same stage would keep Spark from splitting a hot vertex in the join.
     repeated = written(repeated.filter("source < _most").drop("_most"), "vertices")
     here = vertices(docs, window, places=True).join(repeated, "vertex").select(
-        "key", "source", "plain", F.shiftright("last", 16).cast("int").alias("at"),
+        "key", "id", "source", "plain", F.shiftright("last", 16).cast("int").alias("at"),
         F.expr("cast((last >> 8) & 255 as int)").alias("left"), F.expr("cast(last & 255 as int)").alias("right"))
-    order = Window.partitionBy("key").orderBy("at")
+    order = Window.partitionBy("key", "id").orderBy("at")
+    # Equal rows have the same vertices at the same places: each is taken once, so that no place ties with itself.
+    here = here.withColumn("_before", F.lag("at").over(order)).filter("_before is null or _before < at").drop("_before")
     goes_on = F.col("plain") & F.lag("plain").over(order) & (F.lag(F.expr(f"at + right - {gram}")).over(order) == F.col("at"))
     path = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order)
-    # Grouped by document and path: as many vertices at most as the document has.
-    return written(here.withColumn("path", path).groupBy("key", "path").agg(
+    # Grouped by row and path: as many vertices at most as the text has.
+    return written(here.withColumn("path", path).groupBy("key", "id", "path").agg(
         F.min(F.expr("at - left")).alias("low"), F.max(F.expr("at + right")).alias("high"), F.first("plain").alias("plain"),
         F.min("source").alias("source"), F.collect_list("at").alias("at")).drop("path"), "paths")
 
 
 def open_windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """128 bits and place of each window that its path does not decide."""
-    by_key = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("low", "high", "plain", "at")).alias("paths"))
+    by_row = found.groupBy(F.col("key").alias("_key"), F.col("id").alias("_id")).agg(
+        F.collect_list(F.struct("low", "high", "plain", "at")).alias("paths"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mine = batch.filter(batch.column("paths").is_valid())
             listed = mine.column("paths").to_pylist()
-            for row, keys, words in _named(mine):
+            for row, keys, ids, words in _named(mine):
                 known = Vertices(words, window)
                 at, low, high, plain = [], [], [], []
                 for i, each in enumerate(listed[row:row + len(keys)]):
@@ -143,11 +147,15 @@ def open_windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
                 second = Spans(words.hashes(1), 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(known.spans(begin, begin + window))), pa.array(signed(second(begin, begin + window))),
-                     pa.array(np.array(keys, np.int64)[doc]), pa.array((begin - words.first[doc]).astype(np.int32))],
-                    names=["w1", "w2", "key", "at"])
+                     pa.array(np.array(keys, np.int64)[doc]), pa.array(np.array(ids, np.int64)[doc]),
+                     pa.array((begin - words.first[doc]).astype(np.int32))], names=["w1", "w2", "key", "id", "at"])
 
-    rows = docs.join(by_key, docs["key"] == F.col("_key"), "left").drop("_key")
-    return rows.mapInArrow(run, "w1 long, w2 long, key long, at int")
+    rows = docs.join(by_row, same_row(docs), "left").drop("_key", "_id")
+    return rows.mapInArrow(run, "w1 long, w2 long, key long, id long, at int")
+
+
+def same_row(docs: DataFrame) -> Column:
+    return (docs["key"] == F.col("_key")) & (docs["id"] == F.col("_id"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text",
@@ -157,21 +165,22 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text
     if not 2 <= window <= 200:
         raise ValueError(f"a window has 2 to 200 words, not {window}")
     rest = [c for c in keep if c not in (key, "n_words", "n_removed", "removed", "kept")]
-    base = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), *[docs[c].alias(f"keep_{c}") for c in rest])
+    base = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(docs[text]).alias("id"), docs[text].alias("text"),
+                       *[docs[c].alias(f"keep_{c}") for c in rest])
     found = paths(base, window)
     open_ = open_windows(base, found, window)
     least = open_.groupBy("w1", "w2").agg(F.min("key").alias("source"), F.max("key").alias("_most")).filter("source < _most").drop("_most")
     singles = open_windows(base, found, window).join(least, ["w1", "w2"]).filter("source < key")
-    gone = found.filter(f"plain and source < key and high - low >= {window}").select("key", "low", "high").unionByName(
-        singles.select("key", F.col("at").alias("low"), (F.col("at") + window).alias("high")))
-    # Grouped by document: as many runs at most as it has words.
-    by_key = gone.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    gone = found.filter(f"plain and source < key and high - low >= {window}").select("key", "id", "low", "high").unionByName(
+        singles.select("key", "id", F.col("at").alias("low"), (F.col("at") + window).alias("high")))
+    # Grouped by row, as a set because equal rows have equal runs: as many at most as the text has words.
+    by_row = gone.groupBy(F.col("key").alias("_key"), F.col("id").alias("_id")).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     schema = base.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs").to_pylist()
-            for row, keys, words in _named(batch):
+            for row, keys, _, words in _named(batch):
                 edge = np.zeros(len(words.doc) + 1, np.int64)
                 for i, each in enumerate(runs[row:row + len(keys)]):
                     if each:
@@ -194,7 +203,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text
 
     columns = ["key long", "n_words long", "n_removed long", "removed array<array<long>>", "kept string",
                *(f"`keep_{c}` {schema[f'keep_{c}'].dataType.simpleString()}" for c in rest)]
-    rows = base.join(by_key, base["key"] == F.col("_key"), "left").drop("_key").mapInArrow(run, ", ".join(columns))
+    rows = base.join(by_row, same_row(base), "left").drop("_key", "_id").mapInArrow(run, ", ".join(columns))
     return rows.withColumnsRenamed({"key": key} | {f"keep_{c}": c for c in rest})
 
 

@@ -94,6 +94,26 @@ def test_substring_repeated_and_missing_keys(spark):
     assert sorted((r[0] or 0, r[1]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 70)]
 
 
+def test_substring_rows_that_share_a_key(spark):
+    start, other, tail = words(400, 41), words(300, 42), words(45, 43)
+    rows = [(1, start + " " + tail), (2, words(60, 44) + " " + start), (2, words(60, 44) + " " + start), (3, other), (3, words(55, 45)),
+            (4, words(20, 46) + " " + other + " " + tail), (4, words(55, 45)), (4, "short"), (4, words(20, 46) + " " + other + " " + tail),
+            (5, words(10, 47) + " " + start + " " + other), (5, start), (5, start), (5, start), (5, words(70, 48)), (None, start)]
+    first, want = {}, []
+    for key, text in rows:
+        found = text.split()
+        for w in (tuple(found[i:i + 50]) for i in range(len(found) - 49)):
+            first[w] = min(first.get(w, 99), key or 99)
+    for key, text in rows:
+        found, gone = text.split(), set()
+        for i in range(len(found) - 49):
+            if key and first[tuple(found[i:i + 50])] < key:
+                gone.update(range(i, i + 50))
+        want.append((key or 0, len(found), len(gone), " ".join(w for i, w in enumerate(found) if i not in gone)))
+    got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("removed").collect()
+    assert sorted((r[0] or 0, *r[1:]) for r in got) == sorted(want)
+
+
 def shingles(text):
     found = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(found[i:i + 5]) for i in range(len(found) - 4)} or ({tuple(found)} if found else set())
