@@ -110,3 +110,16 @@ def test_report(spark):
     assert (second.seq, second.rendered_sql_file, second.parallel_degree, second.bottleneck) == (2, "rendered/02_ab çé 1.sql", 1, "Unknown")
     series = report.report_series(report.report_rows(df, "n"), points=1).orderBy("part").collect()
     assert [(r.part, r.names, r.durations) for r in series] == [(0, ["Test CPU Task"], [1.5]), (1, ["a/b: çé #1"], [0.0])]
+
+
+@pytest.mark.parametrize("parsed", [False, True])
+def test_counters_count_the_same_at_any_depth(spark, parsed):
+    node = {"Node Type": "Gather", "Workers Launched": 2.0, "Shared Read Blocks": 10.0, "Local Read Blocks": "10", "Temp Read Blocks": "none",
+            "Shared Hit Blocks": 3e1, "Local Hit Blocks": True, "I/O Read Time": "0.5", "I/O Write Time": [1]}
+    docs = []
+    for depth in (1, 8, 17, 18, 30):
+        plan = node
+        for _ in range(depth - 1):
+            plan = {"Node Type": "Sort", "Plans": [plan, {"Node Type": "Scan", "Temp Read Blocks": None, "Plans": "odd"}]}
+        docs.append(json.dumps([{"Plan": plan, "Execution Time": "1.5"}]))
+    assert metrics(spark, docs, parsed) == [(1.5, 20, 30, 0.5, 2)] * len(docs)
