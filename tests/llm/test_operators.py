@@ -278,6 +278,26 @@ def test_mixing_reaches_its_targets(spark, none):
     assert mixing.mix(none).collect() == []
 
 
+def test_mixing_reaches_given_targets(spark):
+    rows = [(i, words(20 + i % 7, i), ("en", "de", None)[i % 3], f"s{min(i % 10, 4)}", 3 + i % 5) for i in range(600)]
+    rows += [(600, None, "en", "s0", 0), (601, "", "en", "s4", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size int")
+    table = spark.createDataFrame([("en", 2.0), (None, 1.0), ("xx", 5.0)], "lang string, weight double")
+    wanted = {"source": {"s0": 5, "s1": 1, "s2": 4, "s3": 0, "none such": 7}, "lang": table}
+    for weight in (None, "size"):
+        rated = mixing.mix(df, sweeps=30, temper=1.0, targets=wanted, weight=weight)
+        assert rated.count() == 602
+        for name, shares in (("source", {"s0": 0.5, "s1": 0.1, "s2": 0.4, "s3": 0, "s4": 0}), ("lang", {"en": 2 / 3, None: 1 / 3, "de": 0})):
+            got = {r[0]: r[1] for r in rated.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
+            assert {k: v / sum(got.values()) for k, v in got.items()} == pytest.approx(shares, abs=1e-3)
+    chance = {r["doc_id"]: r["probability"] for r in rated.filter("doc_id >= 600").collect()}
+    assert chance[600] > 0 == chance[601]
+    assert mixing.mix(df, targets={"source": {"none such": 1}}).filter("kept").isEmpty()
+    for bad in ({"place": {"x": 1}}, {"source": {"s0": -1}}, {"source": {"s0": 0}}):
+        with pytest.raises(ValueError, match="targets"):
+            mixing.mix(df, targets=bad)
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(120, 9)).round(1) / 4
