@@ -109,19 +109,19 @@ def _sets(batch: pa.RecordBatch, salt: int):
 
 
 def members(docs: DataFrame, salt: int) -> DataFrame:
-    """Key, size of the set, its 64-bit `node` and a second hash; null for the empty set."""
+    """Key, `name`, size of the set, its 64-bit `node` and a second hash; null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, found in _sets(batch, salt):
                 size = [len(s) for s in found.sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(low, high - low), pa.array(size, pa.int64()),
+                    [*(batch.column(c).slice(low, high - low) for c in ("key", "name")), pa.array(size, pa.int64()),
                      pa.array([found.node(i) if n else None for i, n in enumerate(size)], pa.int64()),
                      pa.array([found.check(i) if n else None for i, n in enumerate(size)], pa.int64())],
-                    names=["key", "n", "node", "other"])
+                    names=["key", "name", "n", "node", "other"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, n long, node long, other long")
+    return docs.select("key", "name", "text").mapInArrow(run, "key long, name long, n long, node long, other long")
 
 
 def common_shingles(docs: DataFrame, salt: int) -> np.ndarray:
@@ -244,7 +244,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     """Whole sets of the wanted nodes (`node`, `key` of one document), written; a node is there once for each row that
-    repeats its key and text."""
+    repeats its key and text. A node of rows without a key is fetched by the `name` of one of its texts, equal texts once."""
 
     def run(batches):
         for batch in batches:
@@ -256,7 +256,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
                      pa.array([found.sets[i].tobytes() for i in keep], pa.binary())], names=["node", "n", "shingles"])
 
     rows = docs.join(wanted.select(F.col("node").alias("want"), F.col("key").alias("_key")), F.col("key") == F.col("_key"))
-    return written(rows.select("text", "want").mapInArrow(run, "node long, n long, shingles binary"), "sets")
+    unnamed = wanted.filter("key is null").select(F.col("node").alias("want"), F.col("name").alias("_name"))
+    texts = docs.filter("key is null").select("name", "text").distinct()
+    rows = rows.select("text", "want").unionByName(texts.join(unnamed, F.col("name") == F.col("_name")).select("text", "want"))
+    return written(rows.mapInArrow(run, "node long, n long, shingles binary"), "sets")
 
 
 def kept_lists(rows: DataFrame, label: str) -> DataFrame:
@@ -277,13 +280,16 @@ def leaders(lists: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, `n_shingles` and `component_id` (smallest key reachable by links) of every row."""
     base = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
+    # What a row without a key is fetched by.
+    base = base.withColumn("name", F.when(F.col("key").isNull(), F.xxhash64("text")))
     for salt in itertools.count():
         all_ = written(members(base, salt), "members")
         named = all_.filter("node is not null")
         # Different sets under one hash: hash again, so that equal nodes are equal sets.
         if named.groupBy("node").agg((F.min("other") != F.max("other")).alias("clash")).filter("clash").isEmpty():
             break
-    nodes = written(named.groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n")), "nodes")
+    nodes = written(named.groupBy("node").agg(
+        F.min("key").alias("key"), F.min("name").alias("name"), F.max("n").alias("n")), "nodes")
     sizes = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
     small = boundary(sizes)
 

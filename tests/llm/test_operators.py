@@ -147,6 +147,16 @@ def test_jaccard_near_copies_of_all_sizes(spark):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == linked_groups(dict(rows))
 
 
+def test_jaccard_links_over_rows_without_a_key(spark):
+    base, late = words(100, 61).split(), words(130, 62).split()
+    cut = [" ".join(x[i:]) for x in (base, late) for i in (0, 15, 30)]
+    rows = [(1, cut[0]), (None, cut[1]), (None, cut[1]), (2, cut[2]), (None, cut[3]), (None, cut[4]), (7, cut[5]), (None, words(90, 63)), (None, None)]
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(k, len(shingles(t)), c) for (k, t), c in zip(rows, [1, 1, 1, 1, 7, 7, 7, None, None], strict=True)]
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({}) == jaccard.LARGEST_SMALL
     assert 4 <= jaccard.boundary({n: 100 for n in range(1, 17)}) < jaccard.LARGEST_SMALL
