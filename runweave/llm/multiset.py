@@ -2,8 +2,8 @@
 
 A text is a multiset of passages: its paragraphs, cut further at sentence ends. A passage is hashed to a vector of
 `LANES` elements, each a signed 16-bit number; a document's fingerprint is the sum of those vectors modulo 2^32, in
-hexadecimal. So the order of passages does not matter, and a fingerprint follows an edit without the rest of the text:
-`combine` adds or takes away the fingerprint of what was inserted or deleted.
+hexadecimal. Between steps lanes are signed 32-bit integers. So the order of passages does not matter, and a fingerprint
+follows an edit without the rest of the text: `combine` adds or takes away the fingerprint of what was inserted or deleted.
 
 Equal multisets have equal fingerprints. The scalar product of two sums estimates how much two multisets share, so
 their cosine, cut at 0, is the likeness: 1 for equal fingerprints, and 0 if only one is empty. Hashes are not keyed;
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from runweave.llm.common import written
 
-LANES = 32
+LANES = 64
 #: Ends of paragraphs and of sentences.
 CUT = r"\n+|(?<=[.!?]) +"
 _MODULUS = 1 << 32
+#: A number modulo 2^32 as a 32-bit integer.
+WRAP = "cast(pmod({} + 2147483648L, 4294967296L) - 2147483648L as int)"
 
 
 def passages(text: Column) -> Column:
@@ -46,24 +48,28 @@ def sums(df: DataFrame, texts: dict[str, str], *by: str) -> DataFrame:
     rows = rows.select(*by, "which", F.xxhash64("passage").alias("_a"), F.xxhash64("passage", F.lit(1)).alias("_b"))
     rows = rows.select(*by, "which", *[F.xxhash64("_a", "_b", F.lit(i)).alias(f"_h{i}") for i in range(LANES // 4)])
     elements = [F.shiftrightunsigned(f"_h{i}", 16 * j).bitwiseAND(F.lit(0xFFFF)) - 32768 for i in range(LANES // 4) for j in range(4)]
-    totals = [F.sum(F.when(F.col("which") == n, x).otherwise(0)).alias(f"_{n}_{i}")
-              for n in range(len(texts)) for i, x in enumerate(elements)]
-    summed = rows.groupBy(*by).agg(F.sum(F.when(F.col("which") == -1, 1).otherwise(0)).alias("copies"), *totals)
-    lanes = {name: F.array(*[F.expr(f"pmod(_{n}_{i} div copies, {_MODULUS}L)") for i in range(LANES)]) for n, name in enumerate(texts)}
+    # Each text has its own row of sums, few enough columns for generated code, and a document's rows are where it is.
+    own = rows.groupBy(*by, "which").agg(F.count("*").alias("_rows"), *[F.sum(x).alias(f"_{i}") for i, x in enumerate(elements)])
+    own = own.select(*by, "which", "_rows", F.array(*[f"_{i}" for i in range(LANES)]).alias("_lanes"))
+    copies = F.max(F.when(F.col("which") == -1, F.col("_rows"))).alias("copies")
+    summed = own.groupBy(*by).agg(copies, *[F.first(F.when(F.col("which") == n, F.col("_lanes")), True).alias(f"_{n}") for n in range(len(texts))])
+    lanes = {name: F.expr(f"transform(coalesce(_{n}, array_repeat(0L, {LANES})), x -> {WRAP.format('x div copies')})")
+             for n, name in enumerate(texts)}
     return summed.select(*by, "copies", *[x.alias(name) for name, x in lanes.items()])
 
 
 def hexadecimal(lanes: Column) -> Column:
-    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(F.pmod(x.cast("long"), F.lit(_MODULUS)))), 8, "0")), "")
 
 
 def combine(lanes: Column, other: Column, sign: int = 1) -> Column:
     """Lanes after passages with the lanes `other` were added (sign 1) or taken away (-1)."""
-    return F.zip_with(lanes, other, lambda x, y: F.pmod(x + sign * y, F.lit(_MODULUS)))
+    half = F.lit(_MODULUS // 2)
+    return F.zip_with(lanes, other, lambda x, y: (F.pmod(x.cast("long") + sign * y.cast("long") + half, F.lit(_MODULUS)) - half).cast("int"))
 
 
 def _centred(lanes: Column) -> Column:
-    return F.transform(lanes, lambda x: F.when(x >= _MODULUS // 2, x - _MODULUS).otherwise(x).cast("double"))
+    return lanes.cast("array<double>")
 
 
 def _product(x: Column, y: Column) -> Column:

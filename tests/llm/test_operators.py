@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -179,6 +181,27 @@ def test_fingerprint_follows_edits(docs):
     assert rows[30]["fingerprint"] == rows[33]["fingerprint"] != rows[36]["fingerprint"]
 
 
+def test_likenesses_follow_the_multisets(spark):
+    rng, plain = random.Random(12), {}
+    for key in range(240):
+        found = [words(4, rng.randrange(10**9)) + "." for _ in range(rng.randrange(3, 40))]
+        plain[key] = " ".join(found[:2] * 2 + found)
+
+    def cosine(a, b):
+        a, b = (Counter(p for p in re.split(multiset.CUT, t) if p) for t in (a, b))
+        return sum(n * b[p] for p, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+    rows = by_id(multiset.edited_fingerprints(spark.createDataFrame(list(plain.items()), "doc_id long, text string").repartition(3)))
+    off_edited, off_next = [], []
+    for key, own in plain.items():
+        other, take = plain[(key - 1) % len(plain)], len(own) // 3
+        off_edited.append(rows[key]["near_edited"] - cosine(own, own[:len(own) - take] + other[:take]))
+        off_next.append(rows[key]["near_next"] - cosine(own, other))
+    # Half of the deviations of a cosine of 0 are cut off: sqrt(1 / 2 / lanes) is 0.088 for 64 lanes, 0.125 for 32.
+    assert np.sqrt(np.mean(np.square(off_next))) < 0.105 and np.max(np.abs(off_next)) < 0.5
+    assert np.sqrt(np.mean(np.square(off_edited))) < 0.105 and np.max(np.abs(off_edited)) < 0.4
+
+
 def test_fingerprint_is_homomorphic(spark):
     df = spark.createDataFrame([("One. Two.", "Three here.", "Three here. One. Two.")], "a string, b string, ab string")
     for c in ("a", "b", "ab"):
