@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("urls", "substring", "multiset", "huffman", "counts", "wordtable", "jaccard", "quality", "mixing", "topk")
+MODULES = ("urls", "substring", "multiset", "huffman", "counts", "wordtable", "jaccard", "quality", "mixing", "topk",
+           "resample", "whitening", "secrets")
 
 
 def collect(name: str) -> dict:
