@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.session import new_run_dir
@@ -28,13 +32,51 @@ _BYTES = np.random.default_rng(7).integers(0, 1 << 63, (2, 256), dtype=np.uint64
 _POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Bytes of an Arrow batch that Python functions get while a table is written.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Arrow batches of so many bytes for what runs inside; the session's own value comes back after it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, label: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The rows of `df`, stored below the shared folder: the lineage ends there and no executor holds it."""
     path = new_run_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession, batch_bytes):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(run: Callable) -> Callable:
+    """The same function of batches, which hands memory back at the end of its task: workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than that of Linux
+        pass
+
+
 def lower_ascii(column):
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runweave.llm.common import Spans, Words, chunks, mix, signed, texts_of, written
+from runweave.llm.common import Spans, Words, chunks, mix, released, signed, texts_of, written
 from runweave.llm.graph import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -121,7 +121,7 @@ def members(docs: DataFrame, salt: int) -> DataFrame:
                      pa.array([found.check(i) if n else None for i, n in enumerate(size)], pa.int64())],
                     names=["key", "name", "n", "node", "other"])
 
-    return docs.select("key", "name", "text").mapInArrow(run, "key long, name long, n long, node long, other long")
+    return docs.select("key", "name", "text").mapInArrow(released(run), "key long, name long, n long, node long, other long")
 
 
 def common_shingles(docs: DataFrame, salt: int) -> np.ndarray:
@@ -134,7 +134,7 @@ def common_shingles(docs: DataFrame, salt: int) -> np.ndarray:
                 values, often = np.unique(np.concatenate(rows), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(values[often > 1])), pa.array(often[often > 1])], names=["list", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(released(run), "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
     rows = counted.filter(F.col("n") > LIGHT).orderBy(F.desc("n"), "list").limit(COMMON).select("list").collect()
     return np.sort(np.array([r["list"] for r in rows], np.int64)).view(np.uint64)
 
@@ -161,7 +161,7 @@ def prefixes(docs: DataFrame, salt: int, small: int, common: np.ndarray) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(rows))), pa.array(np.concatenate(nodes))],
                                                      names=["list", "node"])
 
-    return docs.select("text").mapInArrow(run, "list long, node long")
+    return docs.select("text").mapInArrow(released(run), "list long, node long")
 
 
 def small_links(docs: DataFrame, salt: int, small: int) -> DataFrame:
@@ -189,7 +189,7 @@ def small_links(docs: DataFrame, salt: int, small: int) -> DataFrame:
                     [pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32()),
                      pa.array(highs, pa.int32())], names=["subset", "node", "n", "low", "high"])
 
-    rows = docs.select("text").mapInArrow(run, "subset long, node long, n int, low int, high int").distinct()
+    rows = docs.select("text").mapInArrow(released(run), "subset long, node long, n int, low int, high int").distinct()
     met = rows.groupBy("subset", "low", "high").agg(F.min("node").alias("a"), F.min("n").alias("_least"), F.max("n").alias("_most"))
     met = met.filter("_least = low and _most = high").select("subset", "low", "high", "a")
     return rows.join(met, ["subset", "low", "high"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
@@ -239,7 +239,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
@@ -259,7 +259,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     unnamed = wanted.filter("key is null").select(F.col("node").alias("want"), F.col("name").alias("_name"))
     texts = docs.filter("key is null").select("name", "text").distinct()
     rows = rows.select("text", "want").unionByName(texts.join(unnamed, F.col("name") == F.col("_name")).select("text", "want"))
-    return written(rows.mapInArrow(run, "node long, n long, shingles binary"), "sets")
+    return written(rows.mapInArrow(released(run), "node long, n long, shingles binary"), "sets")
 
 
 def kept_lists(rows: DataFrame, label: str) -> DataFrame:
