@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add `n_tokens`, `ids_sha256` and `decoded_sha256` of the byte-level BPE."""
     import public_tokenizers
 
-    coded = wordtable.digests(wordtable.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    coded = wordtable.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
     kept = [c for c in docs.columns if c not in names]
     # Rows that repeat a key have equal texts here or get each other's codes; one row of codes for each key and text.
