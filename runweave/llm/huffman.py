@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runweave.llm.common import chunks, written
+from runweave.llm.common import chunks, released, written
 from runweave.llm.tokens import encoder_of
 
 #: Longest code in bits; 7 more must fit into a 32-bit window.
@@ -119,39 +119,44 @@ class Codes:
 
 
 def encode_texts(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:
-    """Key, number of ids and packed ids of every text, with the end id."""
+    """Key, number of ids and packed ids of every text, with the end id. Each task adds one row with `n_tokens` -1: how often
+    it has seen each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         end = np.array([end_id], encoder.dtype).tobytes()
+        total = np.zeros(max(encoder.size, end_id + 1), np.int64)
         for batch in batches:
             text = batch.column("text")
             for low, high in chunks(pc.fill_null(pc.binary_length(text), 0).to_pylist(), ENCODED):
                 texts = [t or "" for t in text.slice(low, high - low).to_pylist()]
                 packed = [ids + end for ids in encoder.encode(texts)]
+                total += np.bincount(np.frombuffer(b"".join(packed), encoder.dtype), minlength=len(total))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(low, high - low),
                      pa.array([len(p) // encoder.dtype.itemsize for p in packed], pa.int64()),
                      pa.array(packed, pa.binary())], names=["key", "n_tokens", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()),
+                                          pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["key", "n_tokens", "ids"])
 
     return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(
-        run, "key long, n_tokens long, ids binary")
+        released(run), "key long, n_tokens long, ids binary")
 
 
-def count_ids(ids: DataFrame, size: int, dtype: str) -> np.ndarray:
-    """How often each id occurs; one row for each id and task is shuffled, as many as the vocabulary has are collected."""
+def count_ids(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs, from the tasks' counts; as many rows as the vocabulary has are collected."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            packed = batch.column(0).to_pylist()
-            for low, high in chunks([len(p) for p in packed], STRETCH):
-                total += np.bincount(np.frombuffer(b"".join(packed[low:high]), dtype), minlength=size)
+            for packed in batch.column(0).to_pylist():
+                total += np.frombuffer(packed, "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for row in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    told = ids.filter("n_tokens < 0").select("ids").mapInArrow(run, "id long, n long")
+    for row in told.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     return counts
 
@@ -161,8 +166,9 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, key
     spark = docs.sparkSession
     encoder = encoder_of(tokenizer)
     size, dtype = max(encoder.size, end_id + 1), encoder.dtype.str
-    ids = written(encode_texts(docs, tokenizer, end_id, key, text), "ids")
-    counts = count_ids(ids, size, dtype)
+    coded_texts = written(encode_texts(docs, tokenizer, end_id, key, text), "ids")
+    counts = count_ids(coded_texts, size)
+    ids = coded_texts.filter("n_tokens >= 0")
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id long, bits int").coalesce(1).write.parquet(
@@ -210,10 +216,10 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, key
         if rows:
             yield block()
 
-    dealt = ids.mapInArrow(coded, "shard int, key long, n_tokens long, payload binary, offsets binary").repartition(
+    dealt = ids.mapInArrow(released(coded), "shard int, key long, n_tokens long, payload binary, offsets binary").repartition(
         shards, "shard").sortWithinPartitions("shard", "key", "n_tokens", "payload")
     dealt.mapInArrow(
-        blocked, "shard int, block long, keys array<long>, n_tokens array<long>, payload binary, n_bytes array<long>, offsets binary"
+        released(blocked), "shard int, block long, keys array<long>, n_tokens array<long>, payload binary, n_bytes array<long>, offsets binary"
     ).write.partitionBy("shard").parquet(f"{folder}/blocks")
 
 
@@ -221,12 +227,14 @@ BLOCKS = ("block long, keys array<long>, n_tokens array<long>, payload binary, n
           "shard int")
 
 
-def read_ids(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """From the files alone, for each document: key, `start` (ids before it), `n_tokens`, `ids` packed as unsigned 32 bit."""
+def read_ids(spark: SparkSession, folder: str, key: str = "doc_id", checksum: bool = False) -> DataFrame:
+    """From the files alone, for each document: key, `start` (ids before it), `n_tokens`, `ids` packed as unsigned 32 bit,
+    or with `checksum` their unsigned CRC-32 as `ids_crc32`."""
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     book = {r["id"]: r["bits"] for r in spark.read.schema("id long, bits int").parquet(f"{folder}/codebook").collect()}
     lengths = np.zeros(max(book, default=0) + 1, np.uint8)
     lengths[list(book)] = list(book.values())
+    given, kind = ("ids_crc32", "long") if checksum else ("ids", "binary")
 
     def run(batches):
         codes = Codes(lengths)
@@ -245,11 +253,12 @@ def read_ids(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
                 most[last] = size - (stretches - 1) * CHECKPOINT
                 ids = codes.decode(b"".join(r[3] for r in part), begin, most).astype("<u4").tobytes()
                 at = np.concatenate([[0], np.cumsum(size)]) * 4
+                each = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for r in part for k in r[1]], pa.int64()),
                      pa.array([r[0] + int(s) for r in part for s in np.cumsum([0, *r[2][:-1]])], pa.int64()), pa.array(size),
-                     pa.array([ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
-                    names=["key", "start", "n_tokens", "ids"])
+                     pa.array(map(zlib.crc32, each), pa.int64()) if checksum else pa.array(each, pa.binary())],
+                    names=["key", "start", "n_tokens", given])
 
     size = blocks.select("shard", "block", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
     shards = size.groupBy("shard").agg(F.sum("n").alias("n"))
@@ -259,7 +268,7 @@ def read_ids(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame
     starts = written(inside.join(begin, "shard").select("shard", "block", (F.col("_shard_start") + F.col("_in")).alias("start")), "starts")
     # Joined to the blocks before they are decoded: coded ids are what may be shuffled.
     placed = blocks.join(starts, ["shard", "block"]).select("start", "keys", "n_tokens", "payload", "n_bytes", "offsets")
-    return placed.mapInArrow(run, "key long, start long, n_tokens long, ids binary").withColumnRenamed("key", key)
+    return placed.mapInArrow(released(run), f"key long, start long, n_tokens long, {given} {kind}").withColumnRenamed("key", key)
 
 
 def op4_huffman_ids(spark, sf_dir: str) -> DataFrame:
@@ -269,16 +278,7 @@ def op4_huffman_ids(spark, sf_dir: str) -> DataFrame:
 
     folder = new_run_dir(spark, "huffman")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), folder)
-    back = read_ids(spark, folder)
-
-    def summed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")),
-                 pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return back.mapInArrow(summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_ids(spark, folder, checksum=True)
 
 
 QUERIES = {"op4_huffman_ids": op4_huffman_ids}

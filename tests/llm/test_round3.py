@@ -203,3 +203,38 @@ def test_states_merge_where_frequencies_agree():
     total = sum(math.exp(found.score(w)) for n in range(1, 5) for w in ("ab" * n, "a" * n))
     assert 0 < total < 1 and found.mean_score("abab") == found.score("abab") / 5
     assert grammar.infer([]).score("a") < 0
+
+
+def test_digests_of_blocks_are_those_of_the_texts(spark):
+    import public_tokenizers
+
+    from runweave.llm import tokens, wordtable
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [prose(40, i % 7) for i in range(30)] + [None, "", "é" * 40, "a  b\n\n c <|endoftext|>", prose(4000, 1)]
+    docs = spark.createDataFrame([(i % 33 if i else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string").coalesce(2)
+    library = tokens.tokenizer_of(path)
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[(i % 33 if i else None, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+              hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
+    assert Counter(map(tuple, wordtable.encode_digests(docs, path).collect())) == want
+    assert Counter(map(tuple, wordtable.digests(wordtable.encode_decode(docs, path, buckets=3)).collect())) == want
+    assert wordtable.encode_digests(docs.limit(0), path).count() == 0
+
+
+def test_registered_token_files_like_the_library(spark, tmp_path):
+    import public_tokenizers
+
+    from runweave.llm import huffman, tokens
+
+    rows = [(i * 7 % 41, prose(10 + i, i)) for i in range(41)] + [(100, None), (101, ""), (None, "b c"), (102, prose(3000, 3)), (103, "x"), (103, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    library = tokens.tokenizer_of(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert Counter(map(tuple, huffman.op4_huffman_ids(spark, str(tmp_path)).collect())) == Counter(want)
