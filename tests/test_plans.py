@@ -123,3 +123,21 @@ def test_counters_count_the_same_at_any_depth(spark, parsed):
             plan = {"Node Type": "Sort", "Plans": [plan, {"Node Type": "Scan", "Temp Read Blocks": None, "Plans": "odd"}]}
         docs.append(json.dumps([{"Plan": plan, "Execution Time": "1.5"}]))
     assert metrics(spark, docs, parsed) == [(1.5, 20, 30, 0.5, 2)] * len(docs)
+
+
+def test_repeated_keys_count_the_same_at_any_depth(spark):
+    text = '{"Node Type": "Gather", "Workers Launched": 9, "Workers Launched": 3, "Shared Read Blocks": 1, "Shared Read Blocks": 7}'
+    docs = []
+    for depth in (1, 3, 16, 17, 120):
+        plan = text
+        for _ in range(depth - 1):
+            plan = '{"Node Type": "Sort", "Plans": [null, 5, %s]}' % plan
+        docs.append('[{"Plan": %s, "Execution Time": 2}]' % plan)
+    assert metrics(spark, docs) == [(2.0, 7, 0, 0.0, 3)] * len(docs)
+
+
+def test_counters_that_do_not_fit_count_nothing(spark):
+    node = ('{"Shared Read Blocks": 9223372036854775808, "Local Read Blocks": 9223372036854775807, "Temp Read Blocks": 1e400, '
+            '"Shared Hit Blocks": -4, "Local Hit Blocks": 5.99, "I/O Read Time": 1e999999999, "I/O Write Time": "NaN"}')
+    assert metrics(spark, ['[{"Plan": %s, "Execution Time": "x"}]' % node, None, '[{"Plan": {"Shared Read Blocks": NaN}}]']) == [
+        (0.0, 2**63 - 1, 1, 0.0, None), (None,) * 5, (None,) * 5]
