@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.sqltext import fragment_body
-from runweave.operators.ordering import BLOCK_ROWS, attach_by_key, consecutive_runs
+from runweave.operators.ordering import BLOCK_ROWS, consecutive_runs
 
 # Fixed value: seconds above which a step or fused group is reported.
 ALERT_SECONDS = 5
@@ -82,15 +82,11 @@ def summary_line(task_no: Column, transaction_group: Column, first_step: Column,
 def even_split(steps: DataFrame, walls: DataFrame, keys: list[str], wall: str = "wall") -> DataFrame:
     """Give each step of a fused group an equal share of the group's wall time.
 
-    The group size comes from a partial aggregate that is joined back, not from a window over the
-    group, and the steps of a very large group are dealt over several tasks.
+    The group size comes from a partial aggregate that is joined back, not from a window over the group; the steps of a
+    very large group lie on the long side of a left join, which AQE splits.
     """
     sizes = steps.groupBy(*keys).agg(F.count("*").alias("group_steps")).join(walls.select(*keys, wall), keys, "left")
-    return (
-        attach_by_key(steps, sizes, keys)
-        .withColumn("duration", F.col(wall) / F.col("group_steps"))
-        .drop(wall)
-    )
+    return steps.join(sizes, keys, "left").withColumn("duration", F.col(wall) / F.col("group_steps")).drop(wall)
 
 
 def alerting_steps(steps: DataFrame) -> DataFrame:

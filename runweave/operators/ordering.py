@@ -1,18 +1,21 @@
 """Order-dependent operators that stay parallel when one key owns most of the rows.
 
-A window over a whole key sorts that key in one task, which is right for keys of up to `block_rows`
-rows. The heavier keys are cut into blocks of `block_rows` order values: the window runs inside a
-block, and only one summary row per block goes through a window over the whole key.
-
-The order column must be an integer that is unique within its key, so a block never holds more than
-`block_rows` rows. A row without an order value comes first, a null key is a key. Where order values are sparse (times, say), pass the width of a block in their
-unit. The input is read once to count the keys and once per way its keys take; write it out first
-when it is costly to compute.
+A segmented scan: a window over a whole key sorts that key in one task, which is right for keys of up to `block_rows` rows.
+The rows of all heavier keys are cut together into ranges of equal row count, by key and order value, whatever the
+distances between order values are. The window runs inside each key's part of a range, and one row for each part, with
+what it carries over to the next, goes through a window over the key.
+
+The rules are the same for every key. The order column is an integer. A row without an order value comes first, a null key
+is a key. Rows with equal order values are ordered by their other columns (those that can be ordered), so the result
+does not depend on how the rows are dealt; rows that share key and order value lie in one range.
+
+The keys are counted by a job of its own when the operator is called, and the heavier ones are written to
+the checkpoint folder once, with their range: a range is never computed twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -20,26 +23,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runweave.session import shared_dir
+
 BLOCK_ROWS = 1 << 20
 BROADCAST_ROWS = 50_000
 
 
-def _block(order: str, block_rows: int) -> Column:
-    return F.expr(f"`{order}` div {int(block_rows)}")
-
-
-def _by_weight(
-    df: DataFrame, keys: Sequence[str], block_rows: int,
-    light: Callable[[DataFrame], DataFrame], heavy: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Light keys through one way, heavy keys through the other.
-
-    The list of heavy keys is broadcast: it holds at most total rows / `block_rows` entries. When it
-    turns out empty, AQE drops the heavy way and the anti join.
-    """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counted.where(F.col("_n") > block_rows).select(*keys))
-    return light(_join(df, hot, keys, "left_anti")).unionByName(heavy(_join(df, hot, keys, "left_semi")))
+def _cut_heavy(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the keys of up to `block_rows` rows, and the others, if any, with their range as `_block`."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows)
+    rows = hot.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return df, None
+    hot = hot.select(*keys)
+    ranges = _join(df, hot, keys, "left_semi").repartitionByRange(max(2, -(-rows // block_rows)), *keys, order)
+    shared_dir(df.sparkSession)
+    return _join(df, hot, keys, "left_anti"), ranges.withColumn("_block", F.spark_partition_id()).checkpoint()
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -55,36 +54,47 @@ def _integer(df: DataFrame, order: str) -> None:
         raise ValueError(f"order column {order!r} must be an integer, not {kind.simpleString()}")
 
 
+def _can_order(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_can_order(field.dataType) for field in kind)
+    if isinstance(kind, T.ArrayType):
+        return _can_order(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _places(df: DataFrame, keys: Sequence[str], order: str) -> list[str]:
+    """The columns that place a row within its key: the order column, then every other that can be ordered."""
+    return [order, *[f.name for f in df.schema if f.name not in (*keys, order) and _can_order(f.dataType)]]
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: str, out: str = "seq", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Number the rows of each key from 1 in `order`."""
-
-    def light(rows: DataFrame) -> DataFrame:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-        return rows.select(*df.columns, number.cast("long").alias(out))
-
-    def heavy(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_block", _block(order, block_rows))
-        within = Window.partitionBy(*keys, "_block").orderBy(order)
-        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-            .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-        )
-        return (
-            rows.withColumn("_local", F.row_number().over(within))
-            .transform(_join, offsets, [*keys, "_block"])
-            .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(out))
-        )
-
     _integer(df, order)
-    return _by_weight(df, keys, block_rows, light, heavy)
+    places = _places(df, keys, order)
+    light, heavy = _cut_heavy(df, keys, order, block_rows)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*places))
+    numbered = light.select(*df.columns, number.cast("long").alias(out))
+    if heavy is None:
+        return numbered
+    within = Window.partitionBy(*keys, "_block").orderBy(*places)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        heavy.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+        .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    blocked = (
+        heavy.withColumn("_local", F.row_number().over(within))
+        .transform(_join, offsets, [*keys, "_block"])
+        .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(out))
+    )
+    return numbered.unionByName(blocked)
 
 
-def _number_runs(rows: DataFrame, keys: Sequence[str], order: str, head: Column) -> DataFrame:
+def _number_runs(rows: DataFrame, keys: Sequence[str], places: Sequence[str], head: Column) -> DataFrame:
     """Add `_run`, the number of the row's run of one `_label` within `keys`, and `_head` of the run's first row."""
-    within = Window.partitionBy(*keys).orderBy(order)
+    within = Window.partitionBy(*keys).orderBy(*places)
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn("_starts", F.when(F.lag("_label").over(within) == F.col("_label"), 0).otherwise(1))
@@ -108,65 +118,42 @@ def consecutive_runs(
     Adds `out` (1, 2, … per key), `run_start` (order value of the run's first row) and, for each
     column in `carry`, `run_<column>` with its value in the run's first row.
     """
+    _integer(df, order)
+    places = _places(df, keys, order)
     head = F.struct(F.col(order).alias("run_start"), *[F.col(c).alias(f"run_{c}") for c in carry])
-
-    def light(rows: DataFrame) -> DataFrame:
-        numbered = _number_runs(rows.withColumn("_label", label), keys, order, head)
-        return numbered.select(*df.columns, F.col("_run").alias(out), "_head.*")
-
-    def heavy(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_label", label).withColumn("_block", _block(order, block_rows))
-        local = _number_runs(rows, [*keys, "_block"], order, head)
-        over_blocks = Window.partitionBy(*keys).orderBy("_block")
-        before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
-        place = F.struct(order)  # a row without an order value counts, and comes first
-        # One row per block: does its first run continue the run that closed the block before?
-        blocks = (
-            local.groupBy(*keys, "_block").agg(
-                F.max("_run").alias("_runs"),
-                F.min_by("_label", place).alias("_first"),
-                F.max_by("_label", place).alias("_last"),
-                F.max_by("_head", place).alias("_last_head"),
-            )
-            .withColumn("_joins", F.when(F.lag("_last").over(over_blocks) == F.col("_first"), 1).otherwise(0))
-            .withColumn("_own", F.when((F.col("_runs") > 1) | (F.col("_joins") == 0), F.col("_last_head")))
-            .withColumn("_open", F.last("_own", ignorenulls=True).over(over_blocks))
-            .withColumn("_inherited", F.when(F.col("_joins") == 1, F.lag("_open").over(over_blocks)))
-            .withColumn("_before", F.coalesce(F.sum(F.col("_runs") - F.col("_joins")).over(before), F.lit(0)))
-            .select(*keys, "_block", (F.col("_before") - F.col("_joins")).alias("_base"), "_inherited")
-        )
-        first_run = F.when(F.col("_run") == 1, F.col("_inherited"))
-        return (
-            _join(local, blocks, [*keys, "_block"])
-            .withColumn(out, F.col("_base") + F.col("_run"))
-            .withColumn("_head", F.coalesce(first_run, F.col("_head")))
-            .select(*df.columns, out, "_head.*")
+    light, heavy = _cut_heavy(df, keys, order, block_rows)
+    numbered = _number_runs(light.withColumn("_label", label), keys, places, head).select(
+        *df.columns, F.col("_run").alias(out), "_head.*")
+    if heavy is None:
+        return numbered
+
+    local = _number_runs(heavy.withColumn("_label", label), [*keys, "_block"], places, head)
+    over_blocks = Window.partitionBy(*keys).orderBy("_block")
+    before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*places)  # a row without an order value counts, and comes first
+    # One row per block: does its first run continue the run that closed the block before?
+    blocks = (
+        local.groupBy(*keys, "_block").agg(
+            F.max("_run").alias("_runs"),
+            F.min_by("_label", place).alias("_first"),
+            F.max_by("_label", place).alias("_last"),
+            F.max_by("_head", place).alias("_last_head"),
         )
-
-    _integer(df, order)
-    return _by_weight(df, keys, block_rows, light, heavy)
-
-
-def attach_by_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], rows_per_task: int = BLOCK_ROWS) -> DataFrame:
-    """Left join one row of facts per key to the rows, splitting the keys heavier than `rows_per_task`.
-
-    A heavy key is dealt over several parts by a hash of the row, and its facts are copied once per
-    part. The list of heavy keys is broadcast: it holds at most total rows / `rows_per_task` entries.
-    """
-    heavy = F.broadcast(
-        rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
-    )
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = (
-        rows.withColumn("_spread", F.xxhash64(*rows.columns)).join(heavy, list(keys), "left")
-        .withColumn("_part", F.pmod(F.col("_spread"), parts).cast("int")).drop("_spread", "_parts")
+        .withColumn("_joins", F.when(F.lag("_last").over(over_blocks) == F.col("_first"), 1).otherwise(0))
+        .withColumn("_own", F.when((F.col("_runs") > 1) | (F.col("_joins") == 0), F.col("_last_head")))
+        .withColumn("_open", F.last("_own", ignorenulls=True).over(over_blocks))
+        .withColumn("_inherited", F.when(F.col("_joins") == 1, F.lag("_open").over(over_blocks)))
+        .withColumn("_before", F.coalesce(F.sum(F.col("_runs") - F.col("_joins")).over(before), F.lit(0)))
+        .select(*keys, "_block", (F.col("_before") - F.col("_joins")).alias("_base"), "_inherited")
     )
-    copies = (
-        facts.join(heavy, list(keys), "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    first_run = F.when(F.col("_run") == 1, F.col("_inherited"))
+    blocked = (
+        _join(local, blocks, [*keys, "_block"])
+        .withColumn(out, F.col("_base") + F.col("_run"))
+        .withColumn("_head", F.coalesce(first_run, F.col("_head")))
+        .select(*df.columns, out, "_head.*")
     )
-    return dealt.join(copies, [*keys, "_part"], "left").drop("_part")
+    return numbered.unionByName(blocked)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

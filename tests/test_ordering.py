@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.operators.ordering import attach_by_key, consecutive_runs, number_rows, spread_nulls
+from runweave.operators import ordering
+from runweave.operators.ordering import consecutive_runs, number_rows, spread_nulls
 
 
 @pytest.fixture(scope="module")
@@ -96,12 +97,45 @@ def test_the_order_must_be_an_integer(spark, block_rows):
         number_rows(spark.createDataFrame([(1, "x")], "k int, s string"), ["k"], "s", block_rows=block_rows)
 
 
-def test_attach_by_key_splits_heavy_keys_and_keeps_rows(spark, rows, table):
-    facts = table.groupBy("k").agg(F.count("*").alias("n"), F.max("s").alias("last")).where("k <> 2")
-    got = attach_by_key(table, facts, ["k"], rows_per_task=20)
-    assert got.count() == len(rows)
-    assert got.where("k = 2 and n is not null or k <> 2 and n is null").isEmpty()
-    assert {(r.k, r.n) for r in got.where("k <> 2").select("k", "n").distinct().collect()} == {(r.k, r.n) for r in facts.collect()}
+def brute_runs(rows):
+    """Runs and numbers by a plain loop; ties of the order value go by label, then by `x`."""
+    rank = lambda v: (v is not None, v if v is not None else 0)
+    out = []
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: (rank(r[0]), rank(r[1]), (r[2] is not None, r[2] or ""), rank(r[3]))), key=lambda r: r[0]):
+        run, last, start = 0, None, None
+        for number, r in enumerate(group, 1):
+            if r[2] is None or r[2] != last:
+                run, start = run + 1, r[1]
+            last = r[2]
+            out.append((*r, number, run, start))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 7, 1 << 40])
+def test_one_rule_at_every_block_size(spark, block_rows):
+    """Null, negative, sparse and repeated order values, null keys and labels, rows that are equal."""
+    rng = random.Random(11)
+    orders = [None, None, -(2**62), -5, -5, -5, 0, 3, 3, 10**9, 2**62]
+    rows = [(key, rng.choice(orders), rng.choice(["a", "a", "b", None]), x % 9) for key in (None, 1, 2) for x in range(40)] + [(7, 1, "a", 0)]
+    table = spark.createDataFrame(rows, "k int, s bigint, l string, x int").repartition(3)
+    table = table.withColumn("m", F.create_map(F.lit("p"), F.col("x")))  # cannot be ordered
+    runs = consecutive_runs(table, ["k"], "s", F.col("l"), block_rows=block_rows).drop("m")
+    numbers = number_rows(table, ["k"], "s", block_rows=block_rows).drop("m")
+    want = brute_runs(rows)
+    assert sorted((tuple(r[c] for c in ("k", "s", "l", "x", "run_no", "run_start")) for r in runs.collect()), key=repr) == sorted(
+        ((*w[:4], *w[5:]) for w in want), key=repr)
+    assert sorted((tuple(r[c] for c in ("k", "s", "l", "x", "seq")) for r in numbers.collect()), key=repr) == sorted((w[:5] for w in want), key=repr)
+
+
+def test_sparse_order_values_make_full_ranges(spark):
+    """Ranges follow the counted rows: far apart order values do not give each row a range of its own."""
+    table = spark.range(0, 4_000).select(F.lit(1).alias("k"), (F.col("id") * 10**9 + F.col("id") % 3).alias("s"))
+    _, ranges = ordering._cut_heavy(table, ["k"], "s", 500)
+    sizes = [r["count"] for r in ranges.groupBy("_block").count().collect()]
+    assert sum(sizes) == 4_000 and len(sizes) <= 8 and max(sizes) <= 1_000
+    numbered = number_rows(table, ["k"], "s", block_rows=500)
+    assert "broadcast" not in numbered._jdf.queryExecution().analyzed().toString().lower()
+    assert numbered.where("seq <> s div 1000000000 + 1").isEmpty() and numbered.count() == 4_000
 
 
 def test_spread_nulls_never_matches(spark):
