@@ -11,6 +11,7 @@ from runweave.session import new_run_dir
 from runweave.sinks.files import sink_csv
 from runweave.sinks.runlog import append_json
 from runweave.sources.files import scan_csv_strings, scan_parquet, scan_report_tasks, scan_run_log, scan_sql_files
+from runweave.sources.quoted import scan_csv_quoted
 from runweave.sources.targets import register_target
 
 
@@ -25,6 +26,14 @@ def scan_csv_strings_query(spark, sf_dir):
     return scan_csv_strings(spark, path)
 
 
+def scan_csv_quoted_query(spark, sf_dir):
+    """Notes with line breaks, quotes and commas, written to one file and read in byte ranges."""
+    path = new_run_dir(spark, "quoted")
+    note = F.expr("""concat(o_orderstatus, '\n said "', o_orderpriority, '",\n\n', o_custkey)""").alias("note")
+    sink_csv(table(spark, sf_dir, "orders").select("o_orderkey", note, "o_orderstatus").coalesce(1), path)
+    return scan_csv_quoted(spark, path)
+
+
 def scan_target(spark, sf_dir):
     targets = {"WAREHOUSE": {"transport": "parquet", "path": sf_dir, "suffix": ".parquet", "tables": derived.TABLES}}
     names = register_target(spark, targets, "WAREHOUSE")["tables"]
@@ -81,6 +90,7 @@ def scan_sql_corpus(spark, sf_dir):
 QUERIES = {
     "scan_parquet_filename": scan_parquet_filename,
     "scan_csv_strings": scan_csv_strings_query,
+    "scan_csv_quoted": scan_csv_quoted_query,
     "scan_target": scan_target,
     "scan_provenance": scan_provenance,
     "scan_report_tasks": scan_report_tasks_query,
@@ -92,6 +102,9 @@ ORACLE = {
     "scan_parquet_filename": "SELECT o_orderkey, o_orderstatus, 'orders.parquet' AS filename FROM orders",
     "scan_csv_strings": "SELECT CAST(o_orderkey AS varchar) AS o_orderkey, CAST(o_custkey AS varchar) AS o_custkey, "
                         "o_orderstatus, o_orderpriority FROM orders",
+    "scan_csv_quoted": """
+        SELECT CAST(o_orderkey AS varchar) AS o_orderkey, o_orderstatus,
+               concat(o_orderstatus, chr(10), ' said "', o_orderpriority, '",', chr(10), chr(10), o_custkey) AS note FROM orders""",
     "scan_target": " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n FROM {name}" for name in derived.TABLES),
     "scan_provenance": derived.RUN_RECORDS_SQL,
     "scan_report_tasks": """

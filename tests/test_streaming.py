@@ -1,4 +1,5 @@
 import json
+import os
 
 from runweave.sources.files import scan_csv_strings
 from runweave.streaming import requests
@@ -45,3 +46,52 @@ def test_classified_stream_survives_a_restart(spark, tmp_path):
         requests.write_classified(requests.request_lines(spark, str(folder)), *paths).awaitTermination()
     rows = spark.read.parquet(paths[0]).orderBy("id").collect()
     assert [(r.id, r.kind, r.limit) for r in rows] == [(1, "run", 5), (2, "error", None)]
+
+
+def local(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,)], "id int").write.mode("overwrite").parquet(str(tmp_path / "db" / "t"))
+    sql = tmp_path / "q.sql"
+    sql.write_text("SELECT id FROM t")
+    known = {"LOCAL": {"path": str(tmp_path / "db"), "tables": ["t"]}}
+    number = iter(range(1000))
+
+    def ask(**r):
+        return json.dumps({"sql_file": str(sql), "target": "LOCAL", "output": str(tmp_path / f"csv{next(number)}"), **r})
+
+    return known, ask
+
+
+def test_shutdown_cuts_by_position_without_an_id_and_over_restarts(spark, tmp_path):
+    known, ask = local(spark, tmp_path)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    files = [[ask(id=50), ask(id=3)], [ask(id=2), '{"cmd": "shutdown"}', ask(id=1), "not json"], [ask(id=0)]]
+    for i, lines in enumerate(files):
+        (folder / f"{i}.jsonl").write_text("\n".join(lines) + "\n")
+        os.utime(folder / f"{i}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+
+    def run(batches=None):
+        query = requests.serve_requests(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "checkpoint"), known, max_files=1)
+        query.awaitTermination()
+        return sorted(r.id for r in requests.read_responses(spark, str(tmp_path / "out")).collect())
+
+    assert run() == [2, 3, 50]
+    # A file that was there before the stop shows up only now: behind the request, so it stays unanswered.
+    (folder / "9.jsonl").write_text(ask(id=7) + "\n")
+    os.utime(folder / "9.jsonl", (1_700_000_009, 1_700_000_009))
+    assert run() == [2, 3, 50]
+    (folder / "later.jsonl").write_text(ask(id=8) + "\n" + '{"cmd": "shutdown", "id": 1}\n' + ask(id=9) + "\n")
+    assert run() == [2, 3, 8, 50]
+
+
+def test_any_id_is_echoed_and_bad_limits_fail(spark, tmp_path):
+    known, ask = local(spark, tmp_path)
+    lines = [ask(id="abc", limit=2), ask(id=1.5), ask(id={"a": [1, None]}), ask(id=None), ask(id=True, limit="1"), ask(id=6, limit="zz"),
+             ask(id=7, limit=2.9), ask(id=8, limit=0), ask(id=9, limit=""), ask(id=10, limit=[1]), '{"id": "x", "target": "LOCAL"}']
+    serve(spark, tmp_path, lines, known)
+    got = {r.id: (r.ok, r.rows, r.error) for r in requests.read_responses(spark, str(tmp_path / "out"), "string").collect()}
+    assert got == {
+        "abc": (True, 2, None), "1.5": (True, 3, None), '{"a":[1,null]}': (True, 3, None), None: (True, 3, None), "true": (True, 1, None),
+        "6": (False, 0, requests.BAD_LIMIT + "zz"), "7": (True, 2, None), "8": (True, 3, None), "9": (True, 3, None),
+        "10": (False, 0, requests.BAD_LIMIT + "[1]"), "x": (False, 0, requests.INCOMPLETE)}
+    assert '"id":"abc"' in "".join(p.read_text() for p in (tmp_path / "out").rglob("part-*"))
