@@ -47,6 +47,18 @@ def stat_delta(spark, sf_dir):
     return monitor.stat_delta(lines.where("l_linestatus = 'F'"), lines.where("l_linestatus = 'O'"), ["l_suppkey", "l_returnflag"])
 
 
+def step_deltas(spark, sf_dir):
+    """Users are sessions: views are snapshots, some without one of the counters, purchases are steps of up to ten hours."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    snapshots = events.where("event_type = 'view'").select(
+        F.col("user_id").alias("sid"), F.col("ts").alias("at"),
+        F.map_filter(F.create_map(F.lit(monitor.CPU_STAT), F.expr("event_id * 3"), F.lit(monitor.IO_STAT), F.expr("if(event_id % 3 = 0, null, event_id % 1000)")),
+                     lambda _, v: v.isNotNull()).alias("stats"))
+    steps = events.where("event_type = 'purchase'").select(
+        F.col("user_id").alias("sid"), "event_id", F.col("ts").alias("started"), F.expr("ts + make_dt_interval(0, 0, cast(event_id % 600 as int))").alias("ended"))
+    return monitor.step_deltas(steps, snapshots).select("sid", "event_id", "db_cpu_ms", "db_io_ms")
+
+
 def duration_backfill(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber",
@@ -81,6 +93,7 @@ QUERIES = {
     "sql_monitor_agg": sql_monitor_agg,
     "session_stats": session_stats,
     "stat_delta": stat_delta,
+    "step_deltas": step_deltas,
     "duration_backfill": duration_backfill,
     "bottleneck": bottleneck,
     "report_rows": report_rows,
@@ -124,6 +137,15 @@ ORACLE = {
         SELECT l_suppkey, l_returnflag,
                CAST(10 * sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) WHEN l_linestatus = 'F' THEN -CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS delta_ms
         FROM lineitem WHERE l_linestatus IN ('O', 'F') GROUP BY l_suppkey, l_returnflag""",
+    "step_deltas": """
+        WITH snapshots AS (
+          SELECT user_id AS sid, ts AS at, event_id * 3 AS cpu, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 1000 END AS io
+          FROM events WHERE event_type = 'view'),
+        steps AS (
+          SELECT user_id AS sid, event_id, ts AS started, ts + to_minutes(CAST(event_id % 600 AS INT)) AS ended FROM events WHERE event_type = 'purchase')
+        SELECT s.sid, s.event_id, 10 * (coalesce(e.cpu, 0) - coalesce(b.cpu, 0)) AS db_cpu_ms, 10 * (coalesce(e.io, 0) - coalesce(b.io, 0)) AS db_io_ms
+        FROM steps s ASOF LEFT JOIN snapshots b ON s.sid = b.sid AND s.started >= b.at
+        ASOF LEFT JOIN snapshots e ON s.sid = e.sid AND s.ended >= e.at""",
     "duration_backfill": """
         SELECT l_orderkey, l_partkey, l_linenumber,
                CASE WHEN l_discount = 0 OR l_discount = 0.05::DOUBLE THEN l_quantity * 1000 ELSE l_discount END AS duration_ms FROM lineitem""",

@@ -87,7 +87,11 @@ def run_script(spark, sf_dir):
 
 
 def fuse_fragments(spark, sf_dir):
-    return grouping.fuse_fragments(derived.steps(spark, sf_dir)).drop("joint")
+    return grouping.fuse_fragments(derived.steps(spark, sf_dir), segment_rows=256).drop("joint")
+
+
+def fragment_rows(spark, sf_dir):
+    return grouping.fragment_rows(derived.steps(spark, sf_dir))
 
 
 def fuse_fragments_run(spark, sf_dir):
@@ -182,6 +186,7 @@ QUERIES = {
     "lower_headers": lower_headers,
     "run_script": run_script,
     "fuse_fragments": fuse_fragments,
+    "fragment_rows": fragment_rows,
     "fuse_fragments_run": fuse_fragments_run,
     "run_steps": run_steps,
     "python_step": python_step,
@@ -239,6 +244,17 @@ ORACLE = {
                CASE WHEN glue = 'raw' THEN string_agg(sql_text, chr(10) ORDER BY seq)
                     ELSE string_agg(concat('SELECT ', seq, ' AS k ', chr(10), ';'), concat(chr(10), chr(10)) ORDER BY seq) END AS sql_text
         FROM glued GROUP BY manifest, run_no, joined_group, glue, seq // 256""",
+    "fragment_rows": f"""
+        WITH steps AS ({derived.STEPS_SQL}),
+        {RUNS_SQL.format(label="joined_group", steps="steps")},
+        glued AS (
+          SELECT *, coalesce(first_value(joined_glue) OVER (PARTITION BY manifest, run_no ORDER BY seq), 'statement') AS glue,
+                 row_number() OVER (PARTITION BY manifest, run_no ORDER BY seq) AS place
+          FROM runs WHERE joined_group IS NOT NULL)
+        SELECT manifest, run_no, joined_group, glue, seq,
+               CASE WHEN place = 1 THEN '' WHEN glue = 'raw' THEN chr(10) ELSE concat(chr(10), chr(10)) END AS joint,
+               CASE WHEN glue = 'raw' THEN sql_text ELSE concat('SELECT ', seq, ' AS k ', chr(10), ';') END AS piece
+        FROM glued""",
     "fuse_fragments_run": """
         SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey

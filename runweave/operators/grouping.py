@@ -10,8 +10,6 @@ from runweave.operators.ordering import BLOCK_ROWS, consecutive_runs
 
 # Fixed value: seconds above which a step or fused group is reported.
 ALERT_SECONDS = 5
-# Fragments per row of fused text; a longer group continues in the next row.
-SEGMENT_ROWS = 256
 
 STATEMENT_JOINT = "\n\n"
 RAW_JOINT = "\n"
@@ -116,30 +114,40 @@ def mixed_groups(steps: DataFrame) -> DataFrame:
     )
 
 
-def fuse_fragments(steps: DataFrame, sql: str = "sql_text", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """One SQL text per fused group, glued as the group's first step says.
+def fragment_rows(steps: DataFrame, sql: str = "sql_text") -> DataFrame:
+    """The fused text of every group, one row per fragment: `joint` (what stands before it, empty for the first) and `piece`.
 
-    `statement` glue ends every fragment as a statement of its own, `raw` glue joins pieces of one
-    statement. A group longer than `segment_rows` fragments continues in further rows, numbered by
-    `segment`; `joint` is what stands between their texts. No row grows with the group.
+    The glue is that of the group's first step: `statement` ends every fragment as a statement of its own, `raw` joins pieces
+    of one statement. Joints and pieces in the order of `seq` are the whole text; no row grows with the group.
     """
-    glue = F.coalesce("run_joined_glue", F.lit("statement"))
-    pieces = (
+    raw = F.col("glue") == "raw"
+    joint = F.when(F.col("seq").eqNullSafe(F.col("run_start")), "").when(raw, RAW_JOINT).otherwise(STATEMENT_JOINT)
+    return (
         consecutive_runs(steps, ["manifest"], "seq", F.col("joined_group"), carry=["joined_glue"])
         .where("joined_group is not null")
-        .withColumn("glue", glue)
-        .withColumn("_piece", F.when(F.col("glue") == "raw", F.col(sql)).otherwise(
-            F.concat(fragment_body(F.col(sql)), F.lit("\n;"))))
+        .withColumn("glue", F.coalesce("run_joined_glue", F.lit("statement")))
+        .select(
+            "manifest", "run_no", "joined_group", "glue", "seq", joint.alias("joint"),
+            F.when(raw, F.col(sql)).otherwise(F.concat(fragment_body(F.col(sql)), F.lit("\n;"))).alias("piece"))
     )
+
+
+def fuse_fragments(steps: DataFrame, sql: str = "sql_text", segment_rows: int | None = None) -> DataFrame:
+    """One SQL text per fused group, from `fragment_rows`.
+
+    A caller that must bound its rows names `segment_rows`: the text is then cut at multiples of it in `seq`, in further rows
+    numbered by `segment`, and `joint` is what stands between their texts.
+    """
+    segment = F.lit(0) if segment_rows is None else F.expr(f"seq div {int(segment_rows)}")
     fused = (
-        pieces.groupBy("manifest", "run_no", "joined_group", "glue", F.expr(f"seq div {int(segment_rows)}").alias("segment"))
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "_piece"))).alias("_pieces"))
+        fragment_rows(steps, sql).groupBy("manifest", "run_no", "joined_group", "glue", segment.cast("long").alias("segment"))
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("_pieces"))
     )
     joint = F.when(F.col("glue") == "raw", RAW_JOINT).otherwise(STATEMENT_JOINT)
     return fused.select(
         "manifest", "run_no", "joined_group", "glue", "segment",
         F.size("_pieces").alias("fragments"),
         joint.alias("joint"),
-        F.when(F.col("glue") == "raw", F.array_join("_pieces._piece", RAW_JOINT))
-        .otherwise(F.array_join("_pieces._piece", STATEMENT_JOINT)).alias("sql_text"),
+        F.when(F.col("glue") == "raw", F.array_join("_pieces.piece", RAW_JOINT))
+        .otherwise(F.array_join("_pieces.piece", STATEMENT_JOINT)).alias("sql_text"),
     )

@@ -156,6 +156,46 @@ def consecutive_runs(
     return numbered.unionByName(blocked)
 
 
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Replace nulls in `columns` by the last value before them, within `keys` in `order`."""
+    _integer(df, order)
+    places = _places(df, keys, order)
+    light, heavy = _cut_heavy(df, keys, order, block_rows)
+
+    def filled(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        running = Window.partitionBy(*by).orderBy(*places).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({c: F.last(c, ignorenulls=True).over(running) for c in columns})
+
+    out = filled(light, keys)
+    if heavy is None:
+        return out
+    place = F.struct(*places)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each block: the last value in it, then the last one of the blocks before.
+    last = heavy.groupBy(*keys, "_block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_last_{c}") for c in columns])
+    carried = last.select(*keys, "_block", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_from_{c}") for c in columns])
+    local = _join(filled(heavy, [*keys, "_block"]), carried, [*keys, "_block"])
+    return out.unionByName(local.select(*[F.coalesce(c, f"_from_{c}").alias(c) if c in columns else c for c in df.columns]))
+
+
+def as_of(
+    rows: DataFrame, series: DataFrame, keys: Sequence[str], at: str, series_at: str, value: str, out: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add `out`: `value` of the newest row of `series` with the same keys and a time that is not after the row's.
+
+    Both go through one ordered scan as a union, so nothing is joined by range. Times are timestamps; a row without one gets
+    null, and so does a row before the first of the series. Of series rows at one time any may be taken.
+    """
+    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
+    points = series.where(F.col(series_at).isNotNull()).select(*keys, (micros(series_at) * 2).alias("_at"), F.struct(F.col(value).alias("value")).alias("_seen"))
+    asking = rows.withColumn("_at", micros(at) * 2 + 1).withColumn("_asks", F.lit(True))
+    both = asking.unionByName(points, allowMissingColumns=True)
+    found = carry_forward(both, keys, "_at", ["_seen"], block_rows).where("_asks")
+    return found.select(*rows.columns, F.when(F.col("_at").isNotNull(), F.col("_seen.value")).alias(out))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for narrow rows counted to be few; beyond that the join is left to Catalyst.
 

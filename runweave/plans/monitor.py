@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runweave.operators.ordering import BLOCK_ROWS, as_of
+
 # The two session counters a run is measured by, in centiseconds.
 CPU_STAT = "CPU used by this session"
 IO_STAT = "user I/O wait time"
@@ -55,6 +59,24 @@ def stat_delta(before: DataFrame, after: DataFrame, keys: list[str], value: str
     return signed.groupBy(*keys).agg((F.coalesce(F.sum("_v"), F.lit(0)) * 10).alias("delta_ms"))
 
 
+def step_deltas(
+    steps: DataFrame, snapshots: DataFrame, keys: Sequence[str] = ("sid",), started: str = "started", ended: str = "ended",
+    at: str = "at", stats: str = "stats", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Add `db_cpu_ms` and `db_io_ms` of each step from a series of snapshots (`stats`: name to value in centiseconds).
+
+    Each end of a step takes the newest snapshot of its session that is not after it; a counter that is missing there, or a
+    snapshot that is, counts 0.
+    """
+    keys = list(keys)
+    values = F.struct(*[F.coalesce(F.try_element_at(stats, F.lit(name)), F.lit(0)).cast("long").alias(f"s{i}") for i, name in enumerate(SESSION_STATS)])
+    series = snapshots.select(*keys, at, values.alias("_values"))
+    told = as_of(steps, series, keys, started, at, "_values", "_before", block_rows)
+    told = as_of(told, series, keys, ended, at, "_values", "_after", block_rows)
+    delta = lambda i: (F.coalesce(F.col(f"_after.s{i}"), F.lit(0)) - F.coalesce(F.col(f"_before.s{i}"), F.lit(0))) * 10
+    return told.select(*steps.columns, delta(SESSION_STATS.index(CPU_STAT)).alias("db_cpu_ms"), delta(SESSION_STATS.index(IO_STAT)).alias("db_io_ms"))
+
+
 def duration_backfill(duration_ms: Column, wall_seconds: Column) -> Column:
     """Measured duration, or the wall clock when the engine reported none."""
     return F.when(F.coalesce(duration_ms, F.lit(0.0)) == 0, wall_seconds * 1000.0).otherwise(duration_ms)

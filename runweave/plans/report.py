@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from runweave.operators.ordering import BLOCK_ROWS, number_rows
 from runweave.plans.monitor import bottleneck
 
-# Points per row of a chart series; a longer run continues in the next row.
-SERIES_POINTS = 1000
-
 METRICS = {
     "duration_ms": "double", "db_cpu_ms": "double", "db_io_ms": "double",
     "io_requests": "long", "cache_hits": "long", "parallel_degree": "int",
@@ -49,7 +46,7 @@ def report_rows(tasks: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> D
     )
 
 
-def report_series(rows: DataFrame, points: int = SERIES_POINTS) -> DataFrame:
+def report_series(rows: DataFrame, points: int) -> DataFrame:
     """Ordered arrays per run for charts, at most `points` long; `part` numbers the rows of a run from 0."""
     series = {
         "names": "task_name", "durations": "execution_time_sec", "cpu_times": "cpu_time_sec",

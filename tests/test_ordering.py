@@ -1,11 +1,12 @@
 import itertools
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from runweave.operators import ordering
-from runweave.operators.ordering import consecutive_runs, number_rows, spread_nulls
+from runweave.operators.ordering import as_of, consecutive_runs, number_rows, spread_nulls
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +143,15 @@ def test_spread_nulls_never_matches(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "i int, k string")
     keys = {r.i: r.x for r in df.select("i", spread_nulls(F.col("k"), F.col("i")).alias("x")).collect()}
     assert keys[1] == "a" and len({keys[2], keys[3], "a"}) == 3
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 1 << 20])
+def test_as_of_takes_the_newest_point_that_is_not_later(spark, block_rows):
+    day = lambda n: None if n is None else datetime(2024, 1, 1) + timedelta(days=n)
+    series = [(None, 1, "a"), (None, 5, "b"), (1, 2, "c"), (1, 4, None), (1, None, "x"), (2, 3, "d"), *((3, i, f"p{i}") for i in range(0, 60, 2))]
+    asked = [(key, t) for key in (None, 1, 2, 4) for t in (None, 0, 2, 3, 4, 9)] + [(3, i) for i in range(40)] * 2
+    points = spark.createDataFrame([(k, day(t), v) for k, t, v in series], "k int, at timestamp, v string").repartition(3)
+    rows = spark.createDataFrame([(k, day(t)) for k, t in asked], "k int, t timestamp").repartition(3).withColumn("m", F.create_map(F.lit(1), "k"))
+    got = sorted(((r.k, r.t, r.found) for r in as_of(rows, points, ["k"], "t", "at", "v", "found", block_rows).collect()), key=repr)
+    newest = lambda k, t: max(((at, v) for key, at, v in series if key == k and at is not None and t is not None and at <= t), default=(0, None))[1]
+    assert got == sorted(((k, day(t), newest(k, t)) for k, t in asked), key=repr)

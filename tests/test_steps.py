@@ -152,6 +152,16 @@ def test_fuse_fragments(make):
     assert cut[-1].joint.join(r.sql_text for r in cut if r.joined_group == "b") == whole["b"]
 
 
+def test_fragment_rows_make_the_whole_text(make):
+    table = make(*[{"type": "psql", "joined_group": "long", "joined_glue": "raw" if i else None, "sql_text": f"S{i};"} for i in range(300)],
+                 *[{"type": "psql", "joined_group": "r", "joined_glue": "raw", "sql_text": t} for t in ("a", "b")])
+    texts = {}
+    for r in grouping.fragment_rows(table).orderBy("seq").collect():
+        texts[r.joined_group] = texts.get(r.joined_group, "") + r.joint + r.piece
+    assert texts == {"long": "\n\n".join(f"S{i}\n;" for i in range(300)), "r": "a\nb"}
+    assert {r.joined_group: r.sql_text for r in grouping.fuse_fragments(table).collect()} == texts
+
+
 def test_mixed_groups(make):
     table = make({"type": "psql", "joined_group": "ok"}, {"type": "psql", "joined_group": "bad"}, {"type": "sql", "joined_group": "bad"})
     assert [(r.joined_group, r.types) for r in grouping.mixed_groups(table).collect()] == [("bad", ["psql", "sql"])]
