@@ -12,7 +12,10 @@ link if intersection / union >= `numerator` / `denominator`. Equal sets are one
   their own and only what is frequent in a task is summed.
 * Lists with at least two sets are kept. Light lists (up to `LIGHT` sets) are scanned for pairs; the lists that two sets
   share bound their intersection, and only pairs that can still reach the threshold are candidates. What is heavy is a
-  large group of near copies: each set is compared with one leader, and then only sets of different components are.
+  large group of near copies: each set is compared with one leader, and then only sets of different components are. Such
+  a pair shares no light list, so its heavy lists alone must suffice; and each set has a parity sketch, `PARITIES` longs in
+  which every shingle flips one bit: two sketches differ in no more bits than the sets do in shingles, so pairs whose
+  sketches differ in more than a link allows are left out where the lists are scanned, and are not shuffled.
 * Candidates are verified on the whole sets, first one for each set, then those that are not connected by these.
 
 Links that join what is connected already are not tested, so a group of m copies costs about m comparisons. No links are
@@ -43,6 +46,8 @@ LIGHT = 32
 COMMON = 1 << 18
 #: What a place in a list costs against a subset, and the largest set that is considered for enumeration.
 LIST_COST, LARGEST_SMALL = 8, 16
+#: Longs of a parity sketch; more tell larger sets apart, any number gives the same links.
+PARITIES = 16
 
 
 def ceil_div(a: int, b: int) -> int:
@@ -98,6 +103,11 @@ class Sets:
         size = np.array([len(mine)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return int(signed(mix(total.sum(keepdims=True) + size))[0])
 
+    def parities(self, i: int) -> list[int]:
+        """A bit for each residue of the set's shingles: whether an odd number of them has it."""
+        odd = np.bincount((mix(self.sets[i]) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
     def check(self, i: int) -> int:
         return int(signed(np.array([np.bitwise_xor.reduce(mix(self.sets[i] + np.uint64(0x5851F42D4C957F2D)))]))[0])
 
@@ -195,15 +205,29 @@ def small_links(docs: DataFrame, salt: int, small: int) -> DataFrame:
     return rows.join(met, ["subset", "low", "high"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def pairs_of(lists: DataFrame, different: Column | None = None) -> DataFrame:
-    """Pairs of nodes (`a` < `b`) in common lists, how many, and what else of the lists is named `x_...`."""
+def met(lists: DataFrame) -> DataFrame:
+    """Each two nodes (`a` < `b`) of a list; what else the lists have is named `a_...` and `b_...`."""
     extra = [c for c in lists.columns if c not in ("list", "node")]
     left = lists.select("list", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in extra])
     right = lists.select("list", F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in extra])
-    same = left.join(right, "list").filter(F.col("a") < F.col("b"))
-    if different is not None:
-        same = same.filter(different)
-    return same.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return left.join(right, "list").filter(F.col("a") < F.col("b"))
+
+
+def pairs_of(lists: DataFrame) -> DataFrame:
+    """Pairs of nodes in common lists and how many these are."""
+    return met(lists).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def pairs_across(lists: DataFrame) -> DataFrame:
+    """Pairs of different components (`label`) in heavy lists, without those that cannot link by size (`n`), parity sketch
+    (`p0` ...) or number of common lists."""
+    na, nb = F.col("a_n"), F.col("b_n")
+    apart = sum((F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))) for i in range(PARITIES)), F.lit(0))
+    # Linked sets have `common` shingles or more in common, all others are in one of them alone.
+    common = F.ceil((na + nb) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    rows = met(lists).filter((F.col("a_label") != F.col("b_label")) & can_link(na, nb) & (apart <= na + nb - 2 * common))
+    counted = rows.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"))
+    return counted.filter(F.col("shared") >= shared_needed(na, nb)).select("a", "b")
 
 
 def can_link(na: Column, nb: Column) -> Column:
@@ -243,8 +267,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
-    """Whole sets of the wanted nodes (`node`, `key` of one document), written; a node is there once for each row that
-    repeats its key and text. A node of rows without a key is fetched by the `name` of one of its texts, equal texts once."""
+    """Whole sets of the wanted nodes (`node`, `key` of one document) and their parity sketches, written; a node is there once
+    for each row that repeats its key and text. A node of rows without a key is fetched by the `name` of one of its texts, equal texts once."""
 
     def run(batches):
         for batch in batches:
@@ -253,13 +277,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
                 keep = [i for i, mine in enumerate(found.sets) if len(mine) and found.node(i) == want[low + i]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([want[low + i] for i in keep], pa.int64()), pa.array([len(found.sets[i]) for i in keep], pa.int64()),
-                     pa.array([found.sets[i].tobytes() for i in keep], pa.binary())], names=["node", "n", "shingles"])
+                     pa.array([found.sets[i].tobytes() for i in keep], pa.binary()),
+                     pa.array([found.parities(i) for i in keep], pa.list_(pa.int64()))], names=["node", "n", "shingles", "parities"])
 
     rows = docs.join(wanted.select(F.col("node").alias("want"), F.col("key").alias("_key")), F.col("key") == F.col("_key"))
     unnamed = wanted.filter("key is null").select(F.col("node").alias("want"), F.col("name").alias("_name"))
     texts = docs.filter("key is null").select("name", "text").distinct()
     rows = rows.select("text", "want").unionByName(texts.join(unnamed, F.col("name") == F.col("_name")).select("text", "want"))
-    return written(rows.mapInArrow(released(run), "node long, n long, shingles binary"), "sets")
+    return written(rows.mapInArrow(released(run), "node long, n long, shingles binary, parities array<long>"), "sets")
 
 
 def kept_lists(rows: DataFrame, label: str) -> DataFrame:
@@ -313,9 +338,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # Of the heavy lists only those that still join different components.
     parts = labelled(heavy, "node", "label")
     mixed = parts.groupBy("list").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("list")
-    sized = parts.join(mixed, "list").join(nodes.select("node", "n"), "node")
-    across = (F.col("a_label") != F.col("b_label")) & can_link(F.col("a_n"), F.col("b_n"))
-    late = written(rest.unionByName(pairs_of(sized, across).select("a", "b")).distinct(), "late")
+    sketch = sets.select("node", "n", *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)]).dropDuplicates(["node"])
+    sized = parts.join(mixed, "list").join(sketch, "node")
+    late = written(rest.unionByName(pairs_across(sized)).distinct(), "late")
     late = verified(late, sets).distinct()
     final = components(written(linked.unionByName(late), "linked"))
 

@@ -149,6 +149,30 @@ def test_jaccard_near_copies_of_all_sizes(spark):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == linked_groups(dict(rows))
 
 
+def test_jaccard_heavy_group_of_copies_that_mostly_do_not_link(spark, monkeypatch):
+    rng, base, rows = random.Random(8), words(150, 71).split(), []
+    for _ in range(110):
+        found = list(base)
+        for _ in range(rng.choice([2, 4, 5])):
+            found[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(found)))
+    table, want = spark.createDataFrame(rows, "doc_id long, text string"), linked_groups(dict(rows))
+    assert 5 < len({c for _, c in want.values()}) < 100
+    for parities in (1, 16):
+        monkeypatch.setattr(jaccard, "PARITIES", parities)
+        assert {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(jaccard.groups(table)).items()} == want
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_sets():
+    texts = [words(n, n % 3).encode() for n in (5, 20, 21, 60, 61, 900, 901)] + [b"", b"a b"]
+    found = jaccard.Sets(texts, 0)
+    sketches = [sum((v % (1 << 64)) << (64 * i) for i, v in enumerate(found.parities(k))) for k in range(len(texts))]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        apart = len(set(found.sets[i].tolist()) ^ set(found.sets[j].tolist()))
+        bits = (sketches[i] ^ sketches[j]).bit_count()
+        assert bits <= apart and (apart - bits) % 2 == 0
+
+
 def test_jaccard_links_over_rows_without_a_key(spark):
     base, late = words(100, 61).split(), words(130, 62).split()
     cut = [" ".join(x[i:]) for x in (base, late) for i in (0, 15, 30)]
