@@ -8,6 +8,8 @@ from checks import derived
 from checks.derived import table
 from checks.running import RUNS_SQL
 from runweave.operators import grouping, jobs, steps as step_ops
+from runweave.session import new_run_dir
+from runweave.streaming import jobs as live
 
 
 def enabled_filter(spark, sf_dir):
@@ -143,6 +145,17 @@ def job_status_newest(spark, sf_dir):
     return status.unionByName(jobs.latest_log_lines(all_jobs, lines))
 
 
+def job_status_live(spark, sf_dir):
+    """The log lines and the ends of the jobs as a stream of files, followed in several micro-batches."""
+    folder = new_run_dir(spark, "live")
+    ended = derived.jobs(spark, sf_dir).where("not alive").selectExpr("job_id", "timestamp_seconds(1700086400) AS ts", "CAST(NULL AS string) AS line", "true AS ended")
+    lines = derived.log_lines(spark, sf_dir).selectExpr("job_id", "timestamp_seconds(1700000000 + line_no) AS ts", "line", "false AS ended")
+    lines.unionByName(ended).repartition(4, F.xxhash64("job_id", "ts")).write.parquet(f"{folder}/in")
+    changes = live.follow_jobs(live.job_events(spark, f"{folder}/in", max_files=2), late="2 days")
+    live.write_changes(changes, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return live.current_status(spark, f"{folder}/out")
+
+
 QUERIES = {
     "enabled_filter": enabled_filter,
     "resolve_sql_id": resolve_sql_id,
@@ -159,6 +172,7 @@ QUERIES = {
     "resume_pending": resume_pending,
     "job_status": job_status,
     "job_status_newest": job_status_newest,
+    "job_status_live": job_status_live,
 }
 
 _STEPS = f"({derived.STEPS_SQL}) s"
@@ -258,6 +272,11 @@ ORACLE = {
         FROM ({derived.JOBS_SQL}) j LEFT JOIN (
           SELECT job_id AS id, bool_or(contains(line, 'CRITICAL') OR contains(line, 'failed after')) AS failed
           FROM ({derived.LOG_LINES_SQL}) l GROUP BY job_id) f ON j.job_id = f.id""",
+    "job_status_live": f"""
+        SELECT job_id, CASE WHEN alive THEN 'RUNNING' WHEN failed THEN 'FAILED' ELSE 'FINISHED' END AS status
+        FROM ({derived.JOBS_SQL}) j LEFT JOIN (
+          SELECT job_id AS id, bool_or(contains(line, 'CRITICAL') OR contains(line, 'failed after')) AS failed
+          FROM ({derived.LOG_LINES_SQL}) l GROUP BY job_id) f ON j.job_id = f.id""",
     "job_status_newest": f"""
         WITH newest AS (SELECT * FROM ({derived.JOBS_SQL}) j ORDER BY started DESC LIMIT 5), lines AS ({derived.LOG_LINES_SQL})
         SELECT job_id, CAST(-1 AS BIGINT) AS line_no, CASE WHEN alive THEN 'RUNNING'

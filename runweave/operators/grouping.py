@@ -52,12 +52,14 @@ def plan_listing(steps: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.upper("only.type"), F.lit(": "), F.col("only.name"), F.coalesce(cleanup, F.lit(""))))
     )
     text = F.coalesce(F.concat(F.lit("\n     "), F.col("description")), F.lit(""))
-    lines = items.select("manifest", "item_no", F.concat(F.lit("["), F.col("item_no"), F.lit("] "), title, text).alias("line"))
-    totals = items.groupBy("manifest").agg(F.count("*").alias("n"), F.sum("steps").alias("s")).select(
-        "manifest", (F.col("n") + 1).alias("item_no"),
-        F.concat(F.lit("--- "), F.col("n"), F.lit(" tasks ("), F.col("s"), F.lit(" steps) ---")).alias("line"),
-    )
-    return lines.unionByName(totals)
+    lines = items.select("manifest", "item_no", F.concat(F.lit("["), F.col("item_no"), F.lit("] "), title, text).alias("line"), "steps")
+    # Lines are groups of one item; the set without the item is the total, so items are made once.
+    listed = lines.groupingSets([["manifest", "item_no", "line"], ["manifest"]], "manifest", "item_no", "line").agg(
+        F.grouping("item_no").alias("_total"), F.count("*").alias("_n"), F.sum("steps").alias("_steps"))
+    total = F.concat(F.lit("--- "), F.col("_n"), F.lit(" tasks ("), F.col("_steps"), F.lit(" steps) ---"))
+    return listed.select(
+        "manifest", F.when(F.col("_total") == 1, F.col("_n") + 1).otherwise(F.col("item_no")).alias("item_no"),
+        F.when(F.col("_total") == 1, total).otherwise(F.col("line")).alias("line"))
 
 
 def group_durations(steps: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 import json
 import os
+from datetime import datetime, timedelta
 
 from runweave.sources.files import scan_csv_strings
-from runweave.streaming import requests
+from runweave.streaming import jobs, requests
 
 
 def serve(spark, tmp_path, lines, known, **how):
@@ -95,3 +96,30 @@ def test_any_id_is_echoed_and_bad_limits_fail(spark, tmp_path):
         "6": (False, 0, requests.BAD_LIMIT + "zz"), "7": (True, 2, None), "8": (True, 3, None), "9": (True, 3, None),
         "10": (False, 0, requests.BAD_LIMIT + "[1]"), "x": (False, 0, requests.INCOMPLETE)}
     assert '"id":"abc"' in "".join(p.read_text() for p in (tmp_path / "out").rglob("part-*"))
+
+
+def test_live_job_status_follows_ends_late_lines_and_drops_state(spark, tmp_path):
+    at = lambda second: datetime(2024, 1, 1) + timedelta(seconds=second)
+    (tmp_path / "in").mkdir()
+    changes = jobs.follow_jobs(jobs.job_events(spark, str(tmp_path / "in")), late="60 seconds")
+
+    def run(*rows):
+        spark.createDataFrame(rows, jobs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = jobs.write_changes(changes, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        held = query.lastProgress.stateOperators[0].numRowsTotal
+        return {r.job_id: r.status for r in jobs.current_status(spark, str(tmp_path / "out")).collect()}, held
+
+    got, _ = run((1, at(0), "start", False), (2, at(1), "CRITICAL x", None), (3, at(1), None, False), (None, at(1), "lost", True), (5, None, "lost", True))
+    assert got == {1: "RUNNING", 2: "RUNNING", 3: "RUNNING"}
+    got, held = run((1, at(10), None, True), (2, at(10), None, True), (3, at(10), "go on", False))
+    assert got == {1: "FINISHED", 2: "FAILED", 3: "RUNNING"} and held == 3
+    got, _ = run((1, at(9), "step failed after 3 retries", False))
+    assert got[1] == "FAILED"
+    # The watermark passes the ended jobs: only what runs is held, and what comes too late changes nothing.
+    got, held = run((3, at(1000), "still here", False))
+    assert got == {1: "FAILED", 2: "FAILED", 3: "RUNNING"} and held == 1
+    got, held = run((2, at(5), "too late", False), (3, at(1001), None, True), (3, at(1001), None, True))
+    assert got == {1: "FAILED", 2: "FAILED", 3: "FINISHED"} and held == 1
+    versions = [(r.job_id, r.version) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("job_id", "version").collect()]
+    assert versions == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 2)]
