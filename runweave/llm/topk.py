@@ -9,6 +9,10 @@ from each list. Candidates lie in blocks, and every block of queries visits ever
    score of cutoff / lists or more, so those rows are sufficient; ties are among them.
 3. Resolve: the missing partial scores of these rows alone are added up, and what reaches the cutoff competes.
 
+Products are summed as 64-bit floats. Where a block's numbers are too large for these to be exact, the cutoff is lowered and
+the bounds are widened by the greatest error, and phase 3 adds up what is left as whole numbers of any length. A score
+beyond a long is given as the nearest long, and such scores tie.
+
 Vectors that are null or hold null, NaN or infinite components take no part. Shorter vectors count as if filled up with
 zeros. Equal rows (key and vector) count once; different vectors under one key are candidates each, never for a query of
 the same key. Ties go to the smaller key. With fewer than k candidates all are returned, an empty table gives an empty
@@ -29,13 +33,15 @@ from runweave.llm.common import written
 LISTS = 2
 #: Rows in a block of candidates and of queries.
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+#: Whole numbers below this are exact as doubles; larger doubles are whole.
+EXACT, LONG = 2.0**53, 2**63
 
 
 def integers(vector: Column, factor: int) -> Column:
-    """Components times the factor, rounded down; null if a component is null or not finite."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
+    """Components times the factor, rounded down, as doubles; null if a component is null or the product not finite."""
+    wide = F.transform(vector, lambda x: x.cast("double") * factor)
     bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(wide, lambda x: F.floor(x * factor)))
+    return F.when(~bad, F.transform(wide, lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)))
 
 
 def packed(rows: DataFrame, block: Column, width: int, extra: str = "") -> DataFrame:
@@ -67,6 +73,18 @@ def _read(row: dict, width: int):
     return keys, vectors, np.frombuffer(row["q_keys"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, width)
 
 
+def _error(vectors: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How far each query's sums may be from the exact ones, for all candidates of a block; 0 where all sums are exact."""
+    width = vectors.shape[1]
+    most = np.abs(wanted).max(axis=1, initial=0.0) * np.abs(vectors).max(initial=0.0) * width
+    return np.where(most < EXACT, 0.0, most * (width + LISTS + 2) * 2.0**-51)
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> int:
+    total = sum(int(a) * int(b) for a, b in zip(x.tolist(), y.tolist(), strict=True))
+    return max(-LONG, min(LONG - 1, total))
+
+
 def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", factor: int = 256,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`query_id`, `rank` (from 1), key and `score` of the k highest integer inner products of each query row."""
@@ -96,6 +114,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
                 found = [(i, j) for i, js in enumerate(best) for j in js]
                 at = np.array(found, np.int64).reshape(-1, 2)
                 total = sum(p[at[:, 0], at[:, 1]] for p in parts) if found else np.empty(0)
+                total = np.nan_to_num(total - _error(vectors, wanted)[at[:, 0]], nan=-np.inf, posinf=float(LONG), neginf=-np.inf)
                 order = np.lexsort((-total, at[:, 0]))
                 at, total = at[order], total[order]
                 first = np.arange(len(at)) - np.searchsorted(at[:, 0], at[:, 0]) < k
@@ -111,20 +130,26 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
         for batch in batches:
             for row in batch.to_pylist():
                 keys, vectors, asks, wanted = _read(row, width)
-                limit = np.frombuffer(row["q_cutoff"])
+                # Scores beyond a long tie, so no cutoff lies there.
+                limit = np.minimum(np.frombuffer(row["q_cutoff"]), LONG * (1 - 2.0**-52))
+                limit = np.where(limit <= -LONG * (1 - 2.0**-52), -np.inf, limit)
+                error = _error(vectors, wanted)
                 parts = partial(vectors, wanted)
                 enough = np.zeros(parts[0].shape, bool)
                 for part in parts:
-                    enough |= part >= (limit / LISTS)[:, None]
+                    enough |= ~(part < (limit / LISTS - error)[:, None])
                 q, c = np.nonzero(enough)
                 total = sum(p[q, c] for p in parts)
-                stay = (total >= limit[q]) & (asks[q] != keys[c])
+                stay = ~(total < (limit - error)[q]) & (asks[q] != keys[c])
                 q, c, total = q[stay], c[stay], total[stay]
-                order = np.lexsort((keys[c], -total, q))
-                q, c, total = q[order], c[order], total[order]
+                whole = error[q] == 0
+                score = np.where(whole, total, 0).astype(np.int64)
+                score[~whole] = [_exact(wanted[i], vectors[j]) for i, j in zip(q[~whole], c[~whole], strict=True)]
+                order = np.lexsort((keys[c], ~score, q))
+                q, c, score = q[order], c[order], score[order]
                 first = np.arange(len(q)) - np.searchsorted(q, q) < k
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(asks[q[first]]), pa.array(keys[c[first]]), pa.array(total[first].astype(np.int64))],
+                    [pa.array(asks[q[first]]), pa.array(keys[c[first]]), pa.array(score[first])],
                     names=["query_id", "key", "score"])
 
     asked_blocks = packed(told, F.pmod(F.col("ask"), F.lit(asked)), width, "cutoff")

@@ -370,6 +370,18 @@ def test_top_k_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("size", [100.0, 3e6, 1e9, 1e30, 1e300])
+def test_top_k_scores_beyond_doubles_are_exact(spark, size):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(40)]) for i in range(60)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, block_rows=16).collect()]
+    ints, want = {i: [math.floor(256 * x) for x in v] for i, v in rows}, []
+    for q in (0, 20, 40):
+        scores = {i: max(-2**63, min(2**63 - 1, sum(x * y for x, y in zip(ints[q], v, strict=True)))) for i, v in ints.items() if i != q}
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted((-s, i) for i, s in scores.items())[:5], 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
