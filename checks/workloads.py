@@ -69,6 +69,16 @@ def update_scores(spark, sf_dir):
     return spark.read.parquet(path).select("c_custkey", "c_name", "c_acctbal")
 
 
+def update_scores_partitions(spark, sf_dir):
+    """Customers by nation; only nations with a matched customer are rewritten."""
+    path = new_run_dir(spark, "nations")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey").write.partitionBy("c_nationkey").parquet(path)
+    scores = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_totalprice > 499000").groupBy(
+        F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("score"))
+    workloads.update_partitions(spark, path, scores, "c_custkey", "c_acctbal", "c_nationkey")
+    return spark.read.parquet(path).select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+
+
 def big_group_join(spark, sf_dir):
     return workloads.big_group_join(*[table(spark, sf_dir, name) for name in ("lineitem", "orders", "customer")])
 
@@ -81,6 +91,7 @@ QUERIES = {
     "sales_aggregates": sales_aggregates,
     "archive_old": archive_old,
     "update_scores": update_scores,
+    "update_scores_partitions": update_scores_partitions,
     "big_group_join": big_group_join,
 }
 
@@ -101,6 +112,10 @@ ORACLE = {
     "update_scores": """
         SELECT c_custkey, c_name, coalesce(score, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (
           SELECT o_custkey, round(sum(o_totalprice), 2) AS score FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON o_custkey = c_custkey""",
+    "update_scores_partitions": """
+        SELECT c_custkey, c_name, coalesce(score, c_acctbal) AS c_acctbal, c_nationkey FROM customer LEFT JOIN (
+          SELECT o_custkey, round(sum(o_totalprice), 2) AS score FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 499000
+          GROUP BY o_custkey) ON o_custkey = c_custkey""",
     "big_group_join": """
         SELECT c_mktsegment, CAST(year(o_orderdate) AS INT) AS order_year,
                round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS line_count

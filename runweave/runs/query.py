@@ -6,6 +6,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Mapping
+from contextlib import nullcontext
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.functions.sqltext import GUARDED_KEYWORDS, WHITESPACE
+from runweave.runs.measure import measured
+from runweave.runs.parsed import has_named_parameter, parse, tables_named, writing_command
 from runweave.sinks.files import sink_csv, sink_parquet
 from runweave.sinks.runlog import append_run_log, run_record
-from runweave.sources.targets import Targets, register_target
+from runweave.sources.targets import Targets, listed, resolve_target, target_views
 
 GUARD = re.compile(rf"^[^\S\n]*+({'|'.join(GUARDED_KEYWORDS)})\b", re.IGNORECASE | re.MULTILINE)
 
@@ -29,10 +32,29 @@ def check_dql(sql: str) -> None:
     match = GUARD.search(sql)
     if match:
         raise DqlOnlyError(f"read-only mode: a line starts with '{match.group(1)}'")
-    if sum(1 for part in sql.split(";") if part.strip()) > 1:
+    if len(script_statements(sql)) > 1:
         raise DqlOnlyError("read-only mode: more than one statement")
 
 
+def check_reads(spark: SparkSession, sql: str) -> None:
+    """Raise when Spark parses the text as a command that changes something, wherever its keyword stands."""
+    command = writing_command(spark, parse(spark, sql))
+    if command:
+        raise DqlOnlyError(f"read-only mode: the statement is a {command}")
+
+
+def target_tables(spark: SparkSession, sql: str, config: Mapping[str, Any], params: Mapping[str, Any] | None) -> list[str]:
+    """Tables of a target that a statement reads, by its parsed plan; one that the target does not list raises."""
+    plan = parse(spark, sql)
+    named = {".".join(name) for name in tables_named(plan)}
+    lost = sorted(name for name in named if not listed(config, [name]))
+    if lost:
+        raise ValueError(f"[TABLE_OR_VIEW_NOT_FOUND] the target lists no table {', '.join(lost)}")
+    if has_named_parameter(plan):
+        named |= {value for value in (params or {}).values() if isinstance(value, str)}
+    return listed(config, named)
+
+
 def hash_text(sql: str) -> str:
     return hashlib.sha256(sql.encode("utf-8")).hexdigest()[:16]
 
@@ -102,24 +124,29 @@ def run_sql(
     """Analyse a SQL text and return its lazy result.
 
     Tables come from a named target, from `tables`, or from the session. `:name` marks in the text
-    are bound to `params`. With `log_dir`, a record is appended when the result runs, or at once
+    are bound to `params`. A statement over a target sees the target's own tables only, which are views
+    while it is analysed. With `log_dir`, a record is appended when the result runs, or at once
     when the text fails analysis.
     """
     if dql_only:
         check_dql(sql)
     if target is not None and tables is not None:
         raise ValueError("`target` and `tables` exclude each other")
-    transport = "session"
-    if target is not None:
-        mentioned_in = " ".join([sql, *map(str, (params or {}).values())])
-        transport = register_target(spark, targets or {}, target, mentioned_in).get("transport", "parquet")
+    config = None if target is None else resolve_target(targets or {}, target)
+    transport = "session" if config is None else config.get("transport", "parquet")
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
 
     sql_hash = hash_text(f"SELECT * FROM ({sql}) sub LIMIT {int(limit)}" if limit else sql)
     start = time.monotonic()
     try:
-        data = limit_wrap(spark.sql(sql, args=dict(params) if params else None), limit)
+        if dql_only:
+            check_reads(spark, sql)
+        views = nullcontext()
+        if config is not None:
+            views = target_views(spark, targets, target, target_tables(spark, sql, config, params))
+        with views:
+            data = limit_wrap(spark.sql(sql, args=dict(params) if params else None), limit)
     except Exception as exc:
         if log_dir:
             elapsed = int((time.monotonic() - start) * 1000)
@@ -153,16 +180,14 @@ def run_script(spark: SparkSession, text: str, params: Mapping[str, Any] | None
 
 
 def profile_query(spark: SparkSession, sql: str) -> DataFrame:
-    """Run a query without keeping its rows; one row with plan text, rows, milliseconds and parallelism."""
+    """Run a query without keeping its rows; one row with the executed plan, rows, milliseconds and what its tasks took."""
     sql = sql.strip(WHITESPACE).rstrip(";")
-    plan = spark.sql(f"EXPLAIN FORMATTED {sql}").first()[0]
-    seen = Observation()
-    start = time.monotonic()
-    spark.sql(sql).observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
-    duration_ms = (time.monotonic() - start) * 1000.0
+    result, seen = spark.sql(sql), Observation()
+    with measured(spark) as took:
+        result.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame(
-        [(hash_text(sql), plan, seen.get["rows"], duration_ms, spark.sparkContext.defaultParallelism)],
-        "sql_hash string, plan_content string, rows bigint, duration_ms double, parallel_degree int",
+        [(hash_text(sql), took.plan, seen.get["rows"], took.duration_ms, took.parallel_degree, took.db_cpu_ms, took.db_io_ms,
+          took.tasks, took.rows_read, took.bytes_read, took.spilled_bytes)],
+        "sql_hash string, plan_content string, rows bigint, duration_ms double, parallel_degree int, db_cpu_ms double, "
+        "db_io_ms double, tasks bigint, rows_read bigint, bytes_read bigint, spilled_bytes bigint",
     )
-
-

@@ -8,38 +8,54 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from itertools import count, groupby
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from runweave.functions.sqltext import PLACEHOLDER_REGEX, WHITESPACE
 from runweave.functions.text import failure_body
-from runweave.operators.grouping import RAW_JOINT, STATEMENT_JOINT
+from runweave.operators.grouping import RAW_JOINT, STATEMENT_JOINT, plan_listing
 from runweave.operators.jobs import resume_pending
-from runweave.operators.steps import CatalogError, resolve_sql_ids, typed_steps, unresolved_sql_ids, validate_catalog, validate_steps
+from runweave.operators.steps import (
+    CatalogError, dialect_folder, resolve_sql_ids, resolve_variants, typed_steps, unresolved_sql_ids, validate_catalog, validate_steps)
 from runweave.plans.report import report_rows
-from runweave.runs.query import GUARD, hash_text, run_script, script_statements
+from runweave.runs.measure import Measured, measured
+from runweave.runs.query import hash_text, run_script
 from runweave.sinks.publish import PublishGroup
 from runweave.sinks.runlog import ERROR_CHARS, append_json, append_run_log, sink_report
 from runweave.sinks.tables import drop_table, truncate_table
-from runweave.sources.files import read_sql_file, scan_manifests
+from runweave.sources.files import read_sql_file, scan_catalog, scan_manifests
 
 STEP_LOG_SCHEMA = (
     "manifest string, seq bigint, name string, type string, `group` string, "
     "duration double, ts string, status string, error string"
 )
 REPORT_TASK_SCHEMA = (
-    "run_id string, task_no bigint, task_name string, db_type string, duration_ms double, plan_content string, rendered_sql string"
+    "run_id string, task_no bigint, task_name string, db_type string, duration_ms double, db_cpu_ms double, db_io_ms double, "
+    "parallel_degree int, plan_content string, rendered_sql string"
 )
 
 # Plan text of steps that have no plan of their own.
 NO_PLAN = "(profiling disabled for this step)"
 FUSED_PLAN = "(part of joined_group '{}', {} fragments)"
 
+# Name of the catalog beside a manifest, seconds from which a completion is told unasked, and message texts.
+CATALOG_FILE = "sql-catalog.yaml"
+TOLD_SECONDS = 5
+STEP_COMPLETED = ("Step Completed", "Step '{}' completed in {:.2f}s.{}")
+GROUP_COMPLETED = ("Joined Group Completed", "joined_group '{}' ({} steps) completed in {:.2f}s.")
+JOB_FINISHED = ("Job Finished", "Job finished successfully.\n\n**Total Duration:** {:.2f}s\n\n**Executed tasks:**\n{}")
+JOB_FAILED = ("Job Failed", "Job execution stopped.\n\n**Failed Step:** {}\n**Total Duration:** {:.2f}s\n\n**Executed tasks:**\n{}"
+                            "\n\n**Failed at:** `{}`\n**Error:** {}")
+
+#: Messages of a run name so many flaws, and say how many there are.
+NAMED_FLAWS = 10
+
 
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
     """Typed steps of a YAML manifest; the first broken rule raises. `manifest` is the path as given."""
@@ -53,10 +69,22 @@ def read_steps(spark: SparkSession, path: str) -> DataFrame:
 class StepFailed(RuntimeError):
     """A step of a manifest failed; `failed_step` names it and `body` is the alert text."""
 
-    def __init__(self, failed_step: str, cause: Exception, body: str) -> None:
+    def __init__(self, failed_step: str, cause: Exception, body: str, error: str | None = None) -> None:
         super().__init__(f"step {failed_step!r} failed: {cause}")
         self.failed_step = failed_step
         self.body = body
+        self.error = str(cause)[:ERROR_CHARS] if error is None else error
+
+
+def _summary(records: list[dict[str, Any]]) -> str:
+    """A numbered line per step that ran, or per run of steps of one group, with its seconds."""
+    alone = count()
+    lines = []
+    for label, unit in groupby(records, key=lambda r: ("group", r["group"]) if r["group"] is not None else ("step", next(alone))):
+        unit = list(unit)
+        title = f"Group {label[1]} ({len(unit)} steps)" if label[0] == "group" else unit[0]["name"]
+        lines.append(f"Task {len(lines) + 1} - {title} - time taken: {sum(r['duration'] for r in unit):.2f}s")
+    return "\n".join(lines) or "None"
 
 
 def render_sql(text: str, params: Mapping[str, Any] | None) -> str:
@@ -83,6 +111,9 @@ class StepRunner:
     `sql_texts` maps a file name to its text; other names are read as files. A python step names a
     function in `functions`, called with the session and the step's params; a DataFrame it returns
     is an output of the step.
+
+    With `dialect`, a SQL step reads the dialect's translation of its file where `sql_texts` or the folder `variants_dir`
+    has one. `tell`, if given, is called with subject and text when a slow or marked step, a fused group or the run ends.
     """
 
     spark: SparkSession
@@ -91,6 +122,9 @@ class StepRunner:
     sql_texts: Mapping[str, str] = field(default_factory=dict)
     functions: Mapping[str, Callable[..., DataFrame | None]] = field(default_factory=dict)
     catalog: DataFrame | None = None
+    dialect: str | None = None
+    variants_dir: str | None = None
+    tell: Callable[[str, str], None] | None = None
     report_dir: str | None = None
     report_tasks: list[dict[str, Any]] = field(default_factory=list)
     run_id: str = field(default_factory=lambda: time.strftime("%Y%m%d_%H%M%S"))
@@ -100,19 +134,30 @@ class StepRunner:
 
         With `report_dir`, the report rows of the run are appended there, also when a step fails.
         """
+        ran: list[dict[str, Any]] = []
+        start = time.monotonic()
         try:
-            return self._run(steps, manifest, enable_all)
+            for records in self._run(steps, manifest, enable_all):
+                ran += records
+            self._tell(JOB_FINISHED, time.monotonic() - start, _summary(ran))
+            return ran
+        except StepFailed as exc:
+            self._tell(JOB_FAILED, exc.failed_step, time.monotonic() - start, _summary(ran), exc.failed_step, exc.error)
+            raise
         finally:
             if self.report_dir and self.report_tasks:
                 tasks = self.spark.createDataFrame(self.report_tasks, REPORT_TASK_SCHEMA)
                 sink_report(report_rows(tasks, "task_no"), self.report_dir)
                 self.report_tasks = []
 
-    def _run(self, steps: DataFrame, manifest: str, enable_all: bool) -> list[dict[str, Any]]:
-        records: list[dict[str, Any]] = []
-        for unit in self._units(self._queue(steps, manifest, enable_all)):
-            records += self._run_unit(steps, unit, enable_all)
-        return records
+    def listing(self, steps: DataFrame, manifest: str, enable_all: bool = False) -> DataFrame:
+        """What `run` would do now, as lines: catalog and step log are read, no step runs."""
+        pending = self._pending(steps, manifest, enable_all)
+        return plan_listing(pending if "description" in pending.columns else pending.withColumn("description", F.lit(None).cast("string")))
+
+    def _run(self, steps: DataFrame, manifest: str, enable_all: bool) -> Iterator[list[dict[str, Any]]]:
+        for unit in self._units(list(self._pending(steps, manifest, enable_all).orderBy("seq").toLocalIterator())):
+            yield self._run_unit(steps, unit, enable_all)
 
     # A group is a run of steps with one joined label, else one transaction label; a step with
     # neither is a group of its own.
@@ -122,21 +167,44 @@ class StepRunner:
             ("group", s["transaction_group"]) if s["transaction_group"] else ("step", next(alone)))
         return [list(unit) for _, unit in groupby(queue, key=label)]
 
-    def _queue(self, steps: DataFrame, manifest: str, enable_all: bool) -> list[Row]:
+    def _pending(self, steps: DataFrame, manifest: str, enable_all: bool) -> DataFrame:
         own = steps.where(F.col("manifest") == manifest)
         if self.catalog is not None:
-            flaws = validate_catalog(self.catalog).limit(10).collect()
-            if flaws:
-                raise CatalogError(f"catalog: {sorted(f'{r.problem} {r.sql_id}' for r in flaws)}")
-            lost = unresolved_sql_ids(own, self.catalog).select("sql_id").distinct().limit(10).collect()
-            if lost:
-                raise CatalogError(f"sql_id not found in catalog: {sorted(r.sql_id for r in lost)}")
+            flaws = validate_catalog(self.catalog)
+            self._refuse("catalog", flaws.select(F.concat_ws(" ", "problem", "sql_id").alias("flaw")))
+            lost = unresolved_sql_ids(own, self.catalog)
+            self._refuse("sql_id not found in catalog", lost.select(F.col("sql_id").alias("flaw")).distinct())
             own = resolve_sql_ids(own, self.catalog)
-        if enable_all:
-            pending = own
-        else:
-            pending = resume_pending(own, self._step_log())
-        return list(pending.orderBy("seq").toLocalIterator())
+        if self.dialect and dialect_folder(self.dialect):
+            own = self._translated(own, dialect_folder(self.dialect))
+        return own if enable_all else resume_pending(own, self._step_log())
+
+    def _refuse(self, what: str, flaws: DataFrame) -> None:
+        """Raise where there are flaws, naming the first and telling how many there are."""
+        named = sorted(row["flaw"] for row in flaws.orderBy("flaw").limit(NAMED_FLAWS).collect())
+        if named:
+            total = len(named) if len(named) < NAMED_FLAWS else flaws.count()
+            raise CatalogError(f"{what}: {named}" + (f" and {total - len(named)} more" if total > len(named) else ""))
+
+    def _translated(self, own: DataFrame, folder: str) -> DataFrame:
+        """Steps with the file that holds the dialect's translation, where there is one."""
+        index = self.spark.createDataFrame([(name,) for name in self.sql_texts], "path string")
+        if self.variants_dir:
+            root = f"{self.variants_dir.rstrip('/')}/{folder}"
+            try:
+                found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+            except AnalysisException as exc:
+                if exc.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                # What follows the last place of the folder's name is the path inside it.
+                index = index.unionByName(found.select(F.concat(F.lit(f"{folder}/"), F.substring_index("path", f"/{folder}/", -1)).alias("path")))
+        at = F.col("resolved")
+        if self.variants_dir:
+            in_texts = at.isin(*self.sql_texts) if self.sql_texts else F.lit(False)
+            at = F.when(in_texts | at.eqNullSafe(F.col("file")), at).otherwise(F.concat(F.lit(f"{self.variants_dir.rstrip('/')}/"), at))
+        file = F.when(F.col("type").isin("python", "manifest"), F.col("file")).otherwise(at)
+        return resolve_variants(own, index, self.dialect).withColumn("file", file).drop("resolved")
 
     def _step_log(self) -> DataFrame:
         try:
@@ -157,13 +225,17 @@ class StepRunner:
                     start = time.monotonic()
                     self._run_step(steps, step, outputs, enable_all)
                     records.append(self._record(step, time.monotonic() - start))
+                    more = step.asDict()
+                    if more.get("notify") or records[-1]["duration"] > TOLD_SECONDS:
+                        about = f"\n{more['description']}" if more.get("description") else ""
+                        self._tell(STEP_COMPLETED, step["name"], records[-1]["duration"], about)
             outputs.publish()
         except Exception as exc:
             outputs.discard()
             inner = getattr(exc, "failed_step", None)
             failed = self._record(step, 0.0, "error", str(exc)[:ERROR_CHARS])
             append_run_log(self.spark, self.log_dir, [failed], STEP_LOG_SCHEMA)
-            raise StepFailed(inner or step["name"], exc, self._failure_body(step, exc)) from exc
+            raise StepFailed(inner or step["name"], exc, self._failure_body(step, exc), getattr(exc, "error", None)) from exc
         # Resuming relies on these rows, so a failure to write them is an error.
         append_json(self.spark.createDataFrame(records, STEP_LOG_SCHEMA).coalesce(1), self.log_dir)
         return records
@@ -176,13 +248,12 @@ class StepRunner:
         for step in unit:
             self._cleanup(step)
         text = fuse_sql([render_sql(self._read(s["file"]), s["params"]) for s in unit], unit[0]["joined_glue"])
-        start = time.monotonic()
-        result = run_script(self.spark, text)
-        if unit[-1]["output_file"] and result is not None and result.columns:
-            outputs.stage(unit[-1]["output_file"], result, "csv_plain")
-        share = (time.monotonic() - start) / len(unit)
+        took = self._run_text(text, unit[-1], outputs)
+        share = took.duration_ms / 1000.0 / len(unit)
         for step in unit:
-            self._report(step, share, FUSED_PLAN.format(label, len(unit)), text)
+            self._report(step, took, FUSED_PLAN.format(label, len(unit)), text, len(unit))
+        if took.duration_ms > TOLD_SECONDS * 1000.0:
+            self._tell(GROUP_COMPLETED, label, len(unit), took.duration_ms / 1000.0)
         return [self._record(s, share) for s in unit]
 
     def _run_step(self, steps: DataFrame, step: Row, outputs: PublishGroup, enable_all: bool) -> None:
@@ -190,7 +261,8 @@ class StepRunner:
         kind, file, params = step["type"], step["file"], step["params"]
         if kind == "manifest":
             as_file = file.endswith((".yaml", ".yml"))
-            self._run(read_steps(self.spark, file) if as_file else steps, file, enable_all)
+            for _ in self._run(read_steps(self.spark, file) if as_file else steps, file, enable_all):
+                pass
         elif kind == "python":
             if file not in self.functions:
                 raise FileNotFoundError(f"Python function not found: {file}")
@@ -203,25 +275,40 @@ class StepRunner:
                 for statement in filter(None, (s.strip(WHITESPACE) for s in text.split(";"))):
                     self.spark.sql(statement)
                 return
+            took = self._run_text(text, step, outputs)
+            self._report(step, took, took.plan or NO_PLAN if step.asDict().get("profile") else NO_PLAN, text)
+
+    def _run_text(self, text: str, step: Row, outputs: PublishGroup) -> Measured:
+        """Run a script; its last result is staged, or only run where the step is profiled and has no output."""
+        if not self.report_dir:
             start = time.monotonic()
-            result = run_script(self.spark, text)
-            if step["output_file"] and result is not None and result.columns:
-                outputs.stage(step["output_file"], result, "csv_plain")
-            self._report(step, time.monotonic() - start, self._plan_of(step, text), text)
-
-    def _plan_of(self, step: Row, text: str) -> str:
-        """Plan of the step's last statement when the step asks for it and it is a query."""
-        statements = script_statements(text)
-        if not step.asDict().get("profile") or not statements or GUARD.search(statements[-1]):
-            return NO_PLAN
-        return self.spark.sql(f"EXPLAIN FORMATTED {statements[-1]}").first()[0]
-
-    def _report(self, step: Row, seconds: float, plan: str, text: str) -> None:
+            self._run_script(text, step, outputs)
+            return Measured(duration_ms=(time.monotonic() - start) * 1000.0)
+        with measured(self.spark) as took:
+            self._run_script(text, step, outputs)
+        return took
+
+    def _run_script(self, text: str, step: Row, outputs: PublishGroup) -> None:
+        result = run_script(self.spark, text)
+        if result is None or not result.columns:
+            return
+        if step["output_file"]:
+            outputs.stage(step["output_file"], result, "csv_plain")
+        elif self.report_dir and step.asDict().get("profile"):
+            result.write.format("noop").mode("overwrite").save()
+
+    def _report(self, step: Row, took: Measured, plan: str, text: str, steps: int = 1) -> None:
+        """Note what a step took; steps that ran as one statement share it equally."""
         self.report_tasks.append({
             "run_id": self.run_id, "task_no": len(self.report_tasks) + 1, "task_name": step["name"], "db_type": "SPARK",
-            "duration_ms": seconds * 1000.0, "plan_content": plan, "rendered_sql": text,
+            "duration_ms": took.duration_ms / steps, "db_cpu_ms": took.db_cpu_ms / steps, "db_io_ms": took.db_io_ms / steps,
+            "parallel_degree": took.parallel_degree, "plan_content": plan, "rendered_sql": text,
         })
 
+    def _tell(self, message: tuple[str, str], *values: Any) -> None:
+        if self.tell:
+            self.tell(message[0], message[1].format(*values))
+
     def _cleanup(self, step: Row) -> None:
         target = step["cleanup_target"]
         if target and step["cleanup_mode"] == "truncate":
@@ -257,9 +344,31 @@ def run_steps(
     return StepRunner(spark, publish_dir, log_dir, **how).run(steps, manifest, enable_all)
 
 
-def run_manifest(spark: SparkSession, path: str, publish_dir: str, log_dir: str, *, enable_all: bool = False, **how: Any) -> list[dict[str, Any]]:
-    """Run a YAML manifest file."""
-    return run_steps(spark, read_steps(spark, path), path, publish_dir, log_dir, enable_all=enable_all, **how)
+def beside_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The SQL catalog in the folder of a manifest, if there is one."""
+    folder, _, _ = path.rpartition("/")
+    try:
+        return scan_catalog(spark, f"{folder}/{CATALOG_FILE}" if folder else CATALOG_FILE)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def run_manifest(
+    spark: SparkSession, path: str, publish_dir: str, log_dir: str, *, enable_all: bool = False, dry_run: bool = False, **how: Any
+) -> list[dict[str, Any]]:
+    """Run a YAML manifest file, with the catalog beside it unless `catalog` names one.
+
+    With `dry_run`, print what would run and run nothing.
+    """
+    how.setdefault("catalog", beside_manifest(spark, path))
+    steps = read_steps(spark, path)
+    if not dry_run:
+        return run_steps(spark, steps, path, publish_dir, log_dir, enable_all=enable_all, **how)
+    for row in StepRunner(spark, publish_dir, log_dir, **how).listing(steps, path, enable_all).orderBy("item_no").toLocalIterator():
+        print(row["line"])
+    return []
 
 
 def apply_step(df: DataFrame, function: Callable[..., DataFrame], params: Mapping[str, Any] | None = None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Mapping
+import threading
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,8 @@ from runweave.sources.files import scan_csv_strings, scan_parquet
 from runweave.sources.jdbc import scan_jdbc
 
 Targets = Mapping[str, Mapping[str, Any]]
-#: Session setting that names the views of the target registered last.
-VIEWS_CONF = "spark.runweave.targetViews"
+# Views belong to the session, so only one target at a time has its own there.
+_VIEWS = threading.RLock()
 
 
 def resolve_target(targets: Targets, name: str) -> dict[str, Any]:
@@ -41,18 +41,40 @@ def target_table(spark: SparkSession, config: Mapping[str, Any], table: str) ->
     raise ValueError(f"Unknown transport: {transport!r}")
 
 
-def register_target(spark: SparkSession, targets: Targets, name: str, mentioned_in: str | None = None) -> dict[str, Any]:
+def register_target(spark: SparkSession, targets: Targets, name: str, only: Iterable[str] | None = None) -> dict[str, Any]:
     """Make the target's tables available to SQL as temporary views; returns its settings.
 
-    With `mentioned_in`, tables whose name does not occur in that text are not opened. Views that an earlier
-    target left in this session are dropped, so that a query sees the tables of its own target only.
+    With `only`, other tables are not opened. The views stay, and replace views of the same names; `target_views` is for
+    views that are there for one statement.
     """
     config = resolve_target(targets, name)
-    for view in json.loads(spark.conf.get(VIEWS_CONF, "[]")):
-        spark.catalog.dropTempView(view)
-    opened = [t for t in config["tables"]
-              if mentioned_in is None or re.search(rf"\b{re.escape(t)}\b", mentioned_in, re.IGNORECASE)]
-    spark.conf.set(VIEWS_CONF, json.dumps(opened))
-    for table in opened:
+    for table in listed(config, only):
         target_table(spark, config, table).createOrReplaceTempView(table)
     return config
+
+
+def listed(config: Mapping[str, Any], names: Iterable[str] | None = None) -> list[str]:
+    """Tables of a target, of these names in any case if there are some."""
+    wanted = None if names is None else {n.lower() for n in names}
+    return [table for table in config["tables"] if wanted is None or table.lower() in wanted]
+
+
+@contextmanager
+def target_views(spark: SparkSession, targets: Targets, name: str, only: Iterable[str] | None = None) -> Iterator[dict[str, Any]]:
+    """The target's tables as temporary views inside the block; after it, views that had these names are there again.
+
+    Spark binds tables when a statement is analysed, so a result made inside may run later. What a caller has cached under one
+    of the names is computed anew.
+    """
+    with _VIEWS:
+        own = listed(resolve_target(targets, name), only)
+        views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary} if own else set()
+        before = {table: spark.table(table) for table in own if table.lower() in views}
+        try:
+            yield register_target(spark, targets, name, own)
+        finally:
+            for table in own:
+                if table in before:
+                    before[table].createOrReplaceTempView(table)
+                else:
+                    spark.catalog.dropTempView(table)

@@ -60,6 +60,25 @@ def update_scores(rows: DataFrame, scores: DataFrame, key: str, column: str) ->
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_score", column)).drop("_score")
 
 
+def update_partitions(spark: SparkSession, path: str, scores: DataFrame, key: str, column: str, partition: str) -> list:
+    """Replace a column by new scores in a partitioned folder, rewriting only partitions that hold a matched key.
+
+    Returns the values of the rewritten partitions, which are few against the rows; the rest keeps its files. The rows are
+    read from the folder that is overwritten: Spark writes them aside and moves them when all tasks have ended.
+    """
+    rows = spark.read.parquet(path)
+    touched = rows.select(key, partition).join(scores.select(key), key, "left_semi").select(partition).distinct()
+    values = [row[partition] for row in touched.toLocalIterator()]
+    if values:
+        known = [v for v in values if v is not None]
+        inside = F.col(partition).isin(known) if known else F.lit(False)
+        if len(known) < len(values):
+            inside = inside | F.col(partition).isNull()
+        changed = update_scores(rows.where(inside), scores, key, column).select(rows.columns)
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return values
+
+
 def big_group_join(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Revenue per market segment and order year: two joins and an aggregate.
 

@@ -89,7 +89,7 @@ def test_targets(spark, tmp_path):
         targets.resolve_target(known, "NOPE")
     with pytest.raises(ValueError, match="none"):
         targets.resolve_target({}, "NOPE")
-    targets.register_target(spark, known, "LOCAL", mentioned_in="SELECT * FROM things")
+    targets.register_target(spark, known, "LOCAL", only=["THINGS"])
     assert spark.table("things").count() == 3
     with pytest.raises(ValueError, match="Unknown transport"):
         targets.target_table(spark, {"transport": "pigeon"}, "t")
