@@ -171,7 +171,7 @@ def plan_listing(spark, sf_dir):
 def profile_query(spark, sf_dir):
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("profile_lineitem")
     profiled = profile(spark, "SELECT l_returnflag, l_linestatus, count(*) AS n FROM profile_lineitem GROUP BY ALL;")
-    return profiled.select("rows", F.contains("plan_content", F.lit("HashAggregate")).alias("aggregates"), (F.col("duration_ms") > 0).alias("timed"))
+    return profiled.select("rows", "rows_read", F.contains("plan_content", F.lit("HashAggregate")).alias("aggregates"), (F.col("duration_ms") > 0).alias("timed"))
 
 
 QUERIES = {
@@ -269,7 +269,7 @@ ORACLE = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
     "profile_query": """
-        SELECT count(*) AS rows, TRUE AS aggregates, TRUE AS timed
+        SELECT count(*) AS rows, (SELECT count(*) FROM lineitem) AS rows_read, TRUE AS aggregates, TRUE AS timed
         FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)""",
     "plan_listing": f"""
         WITH steps AS (
