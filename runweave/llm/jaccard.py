@@ -12,10 +12,11 @@ link if intersection / union >= `numerator` / `denominator`. Equal sets are one
   their own and only what is frequent in a task is summed.
 * Lists with at least two sets are kept. Light lists (up to `LIGHT` sets) are scanned for pairs; the lists that two sets
   share bound their intersection, and only pairs that can still reach the threshold are candidates. What is heavy is a
-  large group of near copies: each set is compared with one leader, and then only sets of different components are. Such
-  a pair shares no light list, so its heavy lists alone must suffice; and each set has a parity sketch, `PARITIES` longs in
-  which every shingle flips one bit: two sketches differ in no more bits than the sets do in shingles, so pairs whose
-  sketches differ in more than a link allows are left out where the lists are scanned, and are not shuffled.
+  large group of near copies: each set is compared with one leader, then with the likest of some sets of its lists, and then
+  only sets of different components are. Each set has a parity sketch, `PARITIES` longs in which every shingle flips one
+  bit: two sketches differ in no more bits than the sets do in shingles, so pairs whose sketches differ in more than a link
+  allows are left out where the lists are scanned, and are not shuffled. The smaller set of a pair looks up the first ninth
+  of its shingles only, as the first one that both have must leave the others behind it.
 * Candidates are verified on the whole sets, first one for each set, then those that are not connected by these.
 
 Links that join what is connected already are not tested, so a group of m copies costs about m comparisons. No links are
@@ -218,16 +219,56 @@ def pairs_of(lists: DataFrame) -> DataFrame:
     return met(lists).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def pairs_across(lists: DataFrame) -> DataFrame:
-    """Pairs of different components (`label`) in heavy lists, without those that cannot link by size (`n`), parity sketch
-    (`p0` ...) or number of common lists."""
+def placed_lists(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """List, node, size and place (from 0, in the order that all sets agree on) of the shingles that go to lists."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [common_last(np.frombuffer(x, np.uint64), common) for x in batch.column("shingles").to_pylist()]
+            often = np.array([len(r) for r in rows], np.int64)
+            if often.sum():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(np.concatenate(rows))), *(pa.array(np.repeat(batch.column(c).to_numpy(), often)) for c in ("node", "n")),
+                     pa.array(np.concatenate([np.arange(n) for n in often]))], names=["list", "node", "n", "place"])
+
+    return sets.select("node", "n", "shingles").mapInArrow(released(run), "list long, node long, n long, place long")
+
+
+def meetings(lists: DataFrame, key: str) -> DataFrame:
+    """Pairs of different components (`label`) that meet under a key of lists and may link by size (`n`), place and parity
+    sketch (`p0` ...), with `apart`, the bits in which the sketches differ. Of two linked sets the first common shingle has
+    all others behind it, in both: that leaves the smaller set a ninth of its shingles to meet it by, the larger one a fifth."""
+    extra = ["n", "label", "place", *[f"p{i}" for i in range(PARITIES)]]
+    side = lambda rows, s: rows.select(key, F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in extra])
     na, nb = F.col("a_n"), F.col("b_n")
     apart = sum((F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))) for i in range(PARITIES)), F.lit(0))
+    first = lists.filter(F.col("n") - F.col("place") >= common_of(F.col("n"), F.col("n")))
     # Linked sets have `common` shingles or more in common, all others are in one of them alone.
-    common = F.ceil((na + nb) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    rows = met(lists).filter((F.col("a_label") != F.col("b_label")) & can_link(na, nb) & (apart <= na + nb - 2 * common))
-    counted = rows.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"))
-    return counted.filter(F.col("shared") >= shared_needed(na, nb)).select("a", "b")
+    common = common_of(na, nb)
+    rows = side(first, "a").join(side(lists, "b"), key).filter(
+        ((na < nb) | (na == nb) & (F.col("a") < F.col("b"))) & (F.col("a_label") != F.col("b_label")) & (nb * NUMERATOR <= na * DENOMINATOR)
+        & (na - F.col("a_place") >= common) & (nb - F.col("b_place") >= common) & (apart <= na + nb - 2 * common))
+    return rows.select("a", "b", apart.alias("apart"))
+
+
+def pairs_across(lists: DataFrame) -> DataFrame:
+    """Pairs of different components in heavy lists that may link."""
+    return meetings(lists, "list").select("a", "b").distinct()
+
+
+def near_ones(lists: DataFrame) -> DataFrame:
+    """For each node the one of another component that has the likest sketch of those it meets in parts of its lists,
+    `LIGHT` sets on average. This only finds links early, so that fewer components are left for `pairs_across`."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("f") / LIGHT))
+    dealt = lists.withColumn("part", F.struct("list", F.pmod(F.xxhash64("list", "node"), parts).alias("number")))
+    rows = written(meetings(dealt, "part"), "near")
+    best = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("x")
+    return rows.groupBy("a").agg(best).select("x.*").unionByName(rows.groupBy("b").agg(best).select("x.*")).distinct()
+
+
+def common_of(na: Column, nb: Column) -> Column:
+    """`common_needed` of columns."""
+    return F.ceil((na + nb) * NUMERATOR / (NUMERATOR + DENOMINATOR))
 
 
 def can_link(na: Column, nb: Column) -> Column:
@@ -266,6 +307,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
+def needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that few pairs ask for, so that no others are shuffled to them."""
+    return sets.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
     """Whole sets of the wanted nodes (`node`, `key` of one document) and their parity sketches, written; a node is there once
     for each row that repeats its key and text. A node of rows without a key is fetched by the `name` of one of its texts, equal texts once."""
@@ -318,7 +364,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     sizes = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
     small = boundary(sizes)
 
-    lists = kept_lists(prefixes(base, salt, small, common_shingles(base, salt)), "lists")
+    common = common_shingles(base, salt)
+    lists = kept_lists(prefixes(base, salt, small, common), "lists")
     light, heavy = lists.filter(F.col("f") <= LIGHT).drop("f"), lists.filter(F.col("f") > LIGHT).drop("f")
     slack = written(heavy.groupBy("node").agg(F.count("*").alias("slack")), "slack")
     close = written(reachable(pairs_of(light), nodes, slack), "close")
@@ -334,19 +381,29 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         other = label.select(F.col("node").alias(node), F.col("label").alias(name))
         return rows.join(other, node, "left").withColumn(name, F.coalesce(name, F.col(node)))
 
+    # Once for each node: the sets themselves are not shuffled for it.
+    often = heavy.groupBy("list").agg(F.count("*").alias("f"))
+    whole = sets.join(slack.select("node"), "node", "left_semi")
+    sketch = written(whole.select("node", *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)]).dropDuplicates(["node"]), "sketch")
+    placed = written(placed_lists(whole, common).join(often, "list").dropDuplicates(["list", "node"]), "placed")
+
+    def mixed() -> DataFrame:
+        """Of the heavy lists only those that still join different components."""
+        parts = labelled(placed, "node", "label")
+        kept = parts.groupBy("list").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("list")
+        return parts.join(kept, "list").join(sketch, "node")
+
+    early = written(near_ones(mixed()), "early")
+    linked = written(linked.unionByName(verified(early, needed(early, sets))), "linked")
+    label = components(linked)
     rest = labelled(labelled(close, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b")
-    # Of the heavy lists only those that still join different components.
-    parts = labelled(heavy, "node", "label")
-    mixed = parts.groupBy("list").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("list")
-    sketch = sets.select("node", "n", *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)]).dropDuplicates(["node"])
-    sized = parts.join(mixed, "list").join(sketch, "node")
-    late = written(rest.unionByName(pairs_across(sized)).distinct(), "late")
-    late = verified(late, sets).distinct()
+    late = written(rest.unionByName(pairs_across(mixed())).distinct(), "late")
+    late = verified(late, needed(late, sets))
     final = components(written(linked.unionByName(late), "linked"))
 
-    placed = all_.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    root = placed.filter("label is not null").groupBy("label").agg(F.min("key").alias("component_id"))
-    return placed.join(root, "label", "left").select(
+    told = all_.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    root = told.filter("label is not null").groupBy("label").agg(F.min("key").alias("component_id"))
+    return told.join(root, "label", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("key")).alias("component_id"))
 
 

@@ -395,3 +395,19 @@ def test_empty_tables(none):
 
 def test_crc_of_the_registered_query_is_of_32_bit_ids():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\0\0\0")
+
+
+def test_sets_in_a_heavy_list_meet_by_their_first_shingles_only(spark):
+    rng = np.random.default_rng(5)
+    core = np.sort(rng.integers(1, 1 << 62, 110, dtype=np.uint64))
+    sets = [np.sort(np.concatenate([core[i % 3:], rng.integers(1, 1 << 62, own, dtype=np.uint64)])) for i, own in enumerate([14] * 60 + [13] * 6 + [2, 3, 9, 20])]
+    rows = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "node long, n long, shingles binary")
+    lists = jaccard.placed_lists(rows, core).join(spark.createDataFrame([(int(x),) for x in core.view(np.int64)], "list long"), "list")
+    lists = lists.withColumn("label", F.col("node")).withColumn("f", F.lit(len(sets)))
+    lists = lists.select("*", *[F.lit(0).cast("long").alias(f"p{i}") for i in range(jaccard.PARITIES)])  # sketches that leave out nothing
+    links = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if (len(sets[a]), a) < (len(sets[b]), b)
+             and 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - both)}
+    met = {tuple(r) for r in jaccard.pairs_across(lists).collect()}
+    assert links and links <= met
+    assert len(met) < 6 * len(sets)  # not all pairs of the list
+    assert {tuple(r) for r in jaccard.near_ones(lists).collect()} <= met
