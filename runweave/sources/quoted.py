@@ -7,7 +7,7 @@ byte ranges, as Spark splits any text. A line starts a record when the number of
 2. One row for each range (parity, and how many records start in it under either parity before it) goes through a window
    over the file: a prefix XOR of the parities, and a prefix sum of the starts.
 3. Joined back, they tell each line its record. A record of one line is complete where it is; only lines of records with
-   line breaks are put together, by file and record number. `from_csv` parses the records.
+   line breaks are put together, where their byte range is; those that cross the end of one by file and record number. `from_csv` parses the records.
 
 Quotes must be as RFC 4180 has them: a field with a quote is quoted, and quotes inside are doubled. A file that leaves a quote
 open has one last record from there on, as for any reader. Blank lines between records are skipped.
@@ -47,18 +47,24 @@ def records(lines: DataFrame) -> DataFrame:
             F.sum("quotes").alias("quotes"), F.max("even").alias("even"), F.max("odd").alias("odd"))
         .withColumn("open", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
         .withColumn("starts", F.when(F.col("open") == 0, F.col("even")).otherwise(F.col("odd")))
-        .select("file", "range_start", "open", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("records"))
+        .select("file", "range_start", "open", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("records"),
+                "starts", ((F.col("open") + F.col("quotes")) % 2 == 1).alias("goes_on"))
     )
+    record = F.col("records") + F.when(F.col("open") == 0, F.col("even")).otherwise(F.col("odd"))
+    crosses = (F.col("open") == 1) & (record == F.col("records")) | F.col("goes_on") & (record == F.col("records") + F.col("starts"))
     placed = local.join(summed, ["file", "range_start"]).select(
-        "file", "range_start", "n", "line",
-        (F.col("records") + F.when(F.col("open") == 0, F.col("even")).otherwise(F.col("odd"))).alias("record"),
+        "file", "range_start", "n", "line", record.alias("record"), crosses.alias("crosses"),
         ((F.col("inside") + F.col("open") + F.col("quotes")) % 2 == 1).alias("open_after"),
         ((F.col("inside") + F.col("open")) % 2 == 1).alias("open_before"),
     )
     whole = ~F.col("open_before") & ~F.col("open_after")
-    parts = placed.where(~whole).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("range_start", "n", "line"))).alias("lines"))
+    # Dealt by range already: only what crosses the end of a range is dealt anew, a record or two for each range.
+    parts = placed.where(~whole).groupBy("file", "range_start", "record", "crosses").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("n", "line")))["line"], "\n").alias("text"))
+    crossing = parts.where("crosses").groupBy("file", "record").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("range_start", "text")))["text"], "\n").alias("text"))
     return placed.where(whole).select("file", "record", F.col("line").alias("text")).unionByName(
-        parts.select("file", "record", F.array_join("lines.line", "\n").alias("text")))
+        parts.where(~F.col("crosses")).select("file", "record", "text")).unionByName(crossing)
 
 
 def scan_csv_quoted(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -75,3 +75,14 @@ def test_other_line_ends_blank_lines_and_empty_files(spark, tmp_path, ranges):
     assert ("1", "2") in [tuple(r) for r in scan_csv_quoted(spark, str(tmp_path / "open.csv")).collect()]
     (tmp_path / "none.csv").write_text("")
     assert scan_csv_quoted(spark, str(tmp_path / "none.csv")).collect() == []
+
+
+def test_only_records_across_ranges_are_dealt_by_record(spark, tmp_path, ranges):
+    path = str(tmp_path / "one.csv")
+    write(path, random_rows(3, 200))
+    ranges("200")
+    plan = records(numbered_lines(spark, [path]))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "hashpartitioning(file" in line and "record#" in line]
+    assert dealt and not any("range_start" in line for line in dealt) and "crosses" in plan
+    multi = records(numbered_lines(spark, [path])).where("text like '%\n%'").count()
+    assert multi == sum(any("\n" in v for v in row) for row in random_rows(3, 200))
