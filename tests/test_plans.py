@@ -141,3 +141,15 @@ def test_counters_that_do_not_fit_count_nothing(spark):
             '"Shared Hit Blocks": -4, "Local Hit Blocks": 5.99, "I/O Read Time": 1e999999999, "I/O Write Time": "NaN"}')
     assert metrics(spark, ['[{"Plan": %s, "Execution Time": "x"}]' % node, None, '[{"Plan": {"Shared Read Blocks": NaN}}]']) == [
         (0.0, 2**63 - 1, 1, 0.0, None), (None,) * 5, (None,) * 5]
+
+
+def test_plain_counters_take_the_short_way(monkeypatch):
+    from runweave.plans import explain
+
+    plan = '[{"Plan": {"Shared Read Blocks": 7, "Local Hit Blocks": "5", "I/O Write Time": 0.5, "I/O Read Time": 2, "Plans": [{"Temp Read Blocks": 3}]}, "Execution Time": 1.25}]'
+    want = {"time": 1.25, "read_blocks": 10, "hit_blocks": 5, "db_io_ms": 2.5, "parallel_degree": None}
+    odd = plan.replace(" 7,", ' " 7e0",')
+    assert explain.walk_plan(plan) == want == explain.walk_plan(odd)
+    monkeypatch.setattr(explain, "_whole", None)
+    monkeypatch.setattr(explain, "_decimal", None)
+    assert explain.walk_plan(plan) == want
