@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,19 @@ def _pieces(text: str, sizes):
             start += 1
 
 
+#: Rows that are Python strings at one time; Arrow holds the rest of a batch.
+ROWS = 256
+
+
+def _in_slices(split: Callable, *columns: pa.Array) -> pa.Array:
+    """The chunks of each row, null where a value is null."""
+    kind, out = pa.list_(pa.string()), []
+    for low in range(0, len(columns[0]), ROWS):
+        rows = zip(*(c.slice(low, ROWS).to_pylist() for c in columns))
+        out.append(pa.array([None if None in row else split(*row) for row in rows], kind))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 def chunk_text(text: Column, limit: int = PLAIN_LIMIT) -> Column:
     """Chunks of at most `limit` characters, as an array."""
 
@@ -37,9 +52,9 @@ def chunk_text(text: Column, limit: int = PLAIN_LIMIT) -> Column:
             return [text]
         return list(_pieces(text, iter(lambda: limit, None)))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(split, na_action="ignore")
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def chunks(texts: pa.Array) -> pa.Array:
+        return _in_slices(split, texts)
 
     return chunks(text)
 
@@ -61,10 +76,8 @@ def chunk_text_header(header: Column, body: Column, limit: int = HEADED_LIMIT) -
 
         return [(later if i else first) + piece for i, piece in enumerate(_pieces(body, sizes()))]
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunks(headers: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if h is None or b is None else split(h, b) for h, b in zip(headers, bodies)
-        ])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def chunks(headers: pa.Array, bodies: pa.Array) -> pa.Array:
+        return _in_slices(split, headers, bodies)
 
     return chunks(header, body)

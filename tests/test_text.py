@@ -112,3 +112,14 @@ def test_header_without_room_is_an_error(spark):
     df = spark.createDataFrame([("h" * 2000, "body")], "h string, b string")
     with pytest.raises(Exception, match="leaves no room"):
         df.select(chunking.chunk_text_header(F.col("h"), F.col("b"))).collect()
+
+
+def test_chunks_are_made_a_slice_at_a_time():
+    import pyarrow as pa
+
+    from runweave.functions import chunking
+
+    texts = pa.array([None if i % 7 == 0 else "x" * i for i in range(2 * chunking.ROWS + 3)])
+    got = chunking._in_slices(lambda h, b: [h, b], pa.array(["h"] * len(texts)), texts)
+    assert got.to_pylist() == [None if t is None else ["h", t] for t in texts.to_pylist()]
+    assert chunking._in_slices(lambda t: [t], pa.array([], pa.string())).to_pylist() == []
