@@ -15,7 +15,8 @@ link if intersection / union >= `numerator` / `denominator`. Equal sets are one
   large group of near copies: each set is compared with one leader, then with the likest of some sets of its lists, and then
   only sets of different components are. Each set has a parity sketch, `PARITIES` longs in which every shingle flips one
   bit: two sketches differ in no more bits than the sets do in shingles, so pairs whose sketches differ in more than a link
-  allows are left out where the lists are scanned, and are not shuffled. The smaller set of a pair looks up the first ninth
+  allows are left out where heavy lists are scanned, and are not shuffled; other candidates are left out by them before any
+  set is fetched. The smaller set of a pair looks up the first ninth
   of its shingles only, as the first one that both have must leave the others behind it.
 * Candidates are verified on the whole sets, first one for each set, then those that are not connected by these.
 
@@ -175,32 +176,29 @@ def prefixes(docs: DataFrame, salt: int, small: int, common: np.ndarray) -> Data
     return docs.select("text").mapInArrow(released(run), "list long, node long")
 
 
-def small_links(docs: DataFrame, salt: int, small: int) -> DataFrame:
+def small_links(sets: DataFrame, small: int) -> DataFrame:
     """Links (`a`, `b`) among sets up to the boundary, by common subsets."""
 
     def run(batches):
         for batch in batches:
-            for _, _, found in _sets(batch, salt):
-                keys, nodes, sizes, lows, highs = [], [], [], [], []
-                for i, mine in enumerate(found.sets):
-                    n = len(mine)
-                    if not 0 < n <= small:
-                        continue
-                    values = [int(v) for v in mix(mine)]
-                    for m in partner_sizes(n):
-                        if m <= small:
-                            low, high = min(n, m), max(n, m)
-                            for subset in itertools.combinations(values, common_needed(n, m)):
-                                keys.append((sum(subset) * 0x9E3779B97F4A7C15 + low * 1000 + high) & ((1 << 63) - 1))
-                                nodes.append(found.node(i))
-                                sizes.append(n)
-                                lows.append(low)
-                                highs.append(high)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32()),
-                     pa.array(highs, pa.int32())], names=["subset", "node", "n", "low", "high"])
-
-    rows = docs.select("text").mapInArrow(released(run), "subset long, node long, n int, low int, high int").distinct()
+            keys, nodes, sizes, lows, highs = [], [], [], [], []
+            for node, n, mine in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shingles")), strict=True):
+                values = [int(v) for v in mix(np.frombuffer(mine, np.uint64))]
+                for m in partner_sizes(n):
+                    if m <= small:
+                        low, high = min(n, m), max(n, m)
+                        for subset in itertools.combinations(values, common_needed(n, m)):
+                            keys.append((sum(subset) * 0x9E3779B97F4A7C15 + low * 1000 + high) & ((1 << 63) - 1))
+                            nodes.append(node)
+                            sizes.append(n)
+                            lows.append(low)
+                            highs.append(high)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32()),
+                 pa.array(highs, pa.int32())], names=["subset", "node", "n", "low", "high"])
+
+    few = sets.filter(F.col("n") <= small).select("node", "n", "shingles")
+    rows = few.mapInArrow(released(run), "subset long, node long, n int, low int, high int").distinct()
     met = rows.groupBy("subset", "low", "high").agg(F.min("node").alias("a"), F.min("n").alias("_least"), F.max("n").alias("_most"))
     met = met.filter("_least = low and _most = high").select("subset", "low", "high", "a")
     return rows.join(met, ["subset", "low", "high"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
@@ -220,18 +218,39 @@ def pairs_of(lists: DataFrame) -> DataFrame:
 
 
 def placed_lists(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """List, node, size and place (from 0, in the order that all sets agree on) of the shingles that go to lists."""
+    """List, node, size and place (from 0, in the order that all sets agree on) of the shingles that go to lists; of those
+    that a column `lists` names, if there is one."""
+    named = "lists" in sets.columns
 
     def run(batches):
         for batch in batches:
             rows = [common_last(np.frombuffer(x, np.uint64), common) for x in batch.column("shingles").to_pylist()]
-            often = np.array([len(r) for r in rows], np.int64)
+            places = [np.arange(len(r)) for r in rows]
+            if named:
+                only = (x.values.to_numpy() for x in batch.column("lists"))
+                places = [np.flatnonzero(np.isin(signed(r), x)) for r, x in zip(rows, only, strict=True)]
+            often = np.array([len(p) for p in places], np.int64)
             if often.sum():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(rows))), *(pa.array(np.repeat(batch.column(c).to_numpy(), often)) for c in ("node", "n")),
-                     pa.array(np.concatenate([np.arange(n) for n in often]))], names=["list", "node", "n", "place"])
+                    [pa.array(signed(np.concatenate([r[p] for r, p in zip(rows, places, strict=True)]))),
+                     *(pa.array(np.repeat(batch.column(c).to_numpy(), often)) for c in ("node", "n")), pa.array(np.concatenate(places))],
+                    names=["list", "node", "n", "place"])
+
+    columns = ["node", "n", "shingles", *(["lists"] if named else [])]
+    return sets.select(*columns).mapInArrow(released(run), "list long, node long, n long, place long")
+
+
+def bits_apart() -> Column:
+    """Bits in which the sketches `a_p0` ... and `b_p0` ... differ."""
+    return sum((F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))) for i in range(PARITIES)), F.lit(0))
 
-    return sets.select("node", "n", "shingles").mapInArrow(released(run), "list long, node long, n long, place long")
+
+def alike(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs whose sketches (`node`, `n`, `p0` ...) differ in no more bits than linked sets may in shingles."""
+    for side in "ab":
+        pairs = pairs.join(sketch.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketch.columns if c != "node"]), side)
+    na, nb = F.col("a_n"), F.col("b_n")
+    return pairs.filter(bits_apart() <= na + nb - 2 * common_of(na, nb)).select("a", "b")
 
 
 def meetings(lists: DataFrame, key: str) -> DataFrame:
@@ -241,7 +260,7 @@ def meetings(lists: DataFrame, key: str) -> DataFrame:
     extra = ["n", "label", "place", *[f"p{i}" for i in range(PARITIES)]]
     side = lambda rows, s: rows.select(key, F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in extra])
     na, nb = F.col("a_n"), F.col("b_n")
-    apart = sum((F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))) for i in range(PARITIES)), F.lit(0))
+    apart = bits_apart()
     first = lists.filter(F.col("n") - F.col("place") >= common_of(F.col("n"), F.col("n")))
     # Linked sets have `common` shingles or more in common, all others are in one of them alone.
     common = common_of(na, nb)
@@ -302,19 +321,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(DENOMINATOR * both >= NUMERATOR * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
+    def side(node: str, shingles: str) -> DataFrame:
+        """The sets that pairs ask for on one side. What they ask for is a table of its own, so that its size is known and few
+        nodes do not have all sets shuffled to them."""
+        asked = written(pairs.select(F.col(node).alias("node")).distinct(), "asked")
+        return sets.join(asked, "node", "left_semi").select(F.col("node").alias(node), F.col("shingles").alias(shingles))
 
-
-def needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sets that few pairs ask for, so that no others are shuffled to them."""
-    return sets.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+    rows = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
-    """Whole sets of the wanted nodes (`node`, `key` of one document) and their parity sketches, written; a node is there once
-    for each row that repeats its key and text. A node of rows without a key is fetched by the `name` of one of its texts, equal texts once."""
+    """Whole sets of the wanted nodes (`node`, `key` of one document) and their parity sketches, with the `lists` of the wanted
+    row, written; a node is there once for each row that repeats its key and text. A node of rows without a key is fetched by the
+    `name` of one of its texts, equal texts once."""
 
     def run(batches):
         for batch in batches:
@@ -324,13 +344,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([want[low + i] for i in keep], pa.int64()), pa.array([len(found.sets[i]) for i in keep], pa.int64()),
                      pa.array([found.sets[i].tobytes() for i in keep], pa.binary()),
-                     pa.array([found.parities(i) for i in keep], pa.list_(pa.int64()))], names=["node", "n", "shingles", "parities"])
+                     pa.array([found.parities(i) for i in keep], pa.list_(pa.int64())),
+                     batch.column("lists").take(pa.array([low + i for i in keep], pa.int64()))],
+                    names=["node", "n", "shingles", "parities", "lists"])
 
-    rows = docs.join(wanted.select(F.col("node").alias("want"), F.col("key").alias("_key")), F.col("key") == F.col("_key"))
-    unnamed = wanted.filter("key is null").select(F.col("node").alias("want"), F.col("name").alias("_name"))
+    fetched = ("text", "want", "lists")
+    rows = docs.join(wanted.select(F.col("node").alias("want"), "lists", F.col("key").alias("_key")), F.col("key") == F.col("_key"))
+    unnamed = wanted.filter("key is null").select(F.col("node").alias("want"), "lists", F.col("name").alias("_name"))
     texts = docs.filter("key is null").select("name", "text").distinct()
-    rows = rows.select("text", "want").unionByName(texts.join(unnamed, F.col("name") == F.col("_name")).select("text", "want"))
-    return written(rows.mapInArrow(released(run), "node long, n long, shingles binary, parities array<long>"), "sets")
+    rows = rows.select(*fetched).unionByName(texts.join(unnamed, F.col("name") == F.col("_name")).select(*fetched))
+    return written(rows.mapInArrow(released(run), "node long, n long, shingles binary, parities array<long>, lists array<long>"), "sets")
 
 
 def kept_lists(rows: DataFrame, label: str) -> DataFrame:
@@ -370,35 +393,38 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     slack = written(heavy.groupBy("node").agg(F.count("*").alias("slack")), "slack")
     close = written(reachable(pairs_of(light), nodes, slack), "close")
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(
-        slack.select("node")).distinct()
-    sets = sets_of(base, nodes.join(wanted, "node"), salt)
-
-    one = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(leaders(heavy)).distinct(), "one")
-    linked = written(verified(one, sets).unionByName(small_links(base, salt, small)), "linked")
+        slack.select("node")).unionByName(nodes.filter(F.col("n") <= small).select("node")).distinct()
+    # Grouped by node: as many lists at most as its set has shingles.
+    own = heavy.groupBy("node").agg(F.collect_list("list").alias("lists"))
+    sets = sets_of(base, nodes.join(wanted, "node").join(own, "node", "left"), salt)
+
+    # Once for each node: the sets themselves are not shuffled for pairs that their sketches rule out.
+    sketch = written(sets.select("node", "n", *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)]).dropDuplicates(["node"]), "sketch")
+    close = written(alike(close, sketch), "alike")
+    one = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(alike(leaders(heavy), sketch))
+    one = written(one.distinct(), "one")
+    linked = written(verified(one, sets).unionByName(small_links(sets, small)), "linked")
     label = components(linked)
 
     def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
         other = label.select(F.col("node").alias(node), F.col("label").alias(name))
         return rows.join(other, node, "left").withColumn(name, F.coalesce(name, F.col(node)))
 
-    # Once for each node: the sets themselves are not shuffled for it.
     often = heavy.groupBy("list").agg(F.count("*").alias("f"))
-    whole = sets.join(slack.select("node"), "node", "left_semi")
-    sketch = written(whole.select("node", *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)]).dropDuplicates(["node"]), "sketch")
-    placed = written(placed_lists(whole, common).join(often, "list").dropDuplicates(["list", "node"]), "placed")
+    placed = written(placed_lists(sets.filter("lists is not null"), common).join(often, "list").dropDuplicates(["list", "node"]), "placed")
 
     def mixed() -> DataFrame:
         """Of the heavy lists only those that still join different components."""
         parts = labelled(placed, "node", "label")
         kept = parts.groupBy("list").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("list")
-        return parts.join(kept, "list").join(sketch, "node")
+        return parts.join(kept, "list").join(sketch.drop("n"), "node")
 
     early = written(near_ones(mixed()), "early")
-    linked = written(linked.unionByName(verified(early, needed(early, sets))), "linked")
+    linked = written(linked.unionByName(verified(early, sets)), "linked")
     label = components(linked)
     rest = labelled(labelled(close, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b")
     late = written(rest.unionByName(pairs_across(mixed())).distinct(), "late")
-    late = verified(late, needed(late, sets))
+    late = verified(late, sets)
     final = components(written(linked.unionByName(late), "linked"))
 
     told = all_.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -163,6 +163,25 @@ def test_jaccard_heavy_group_of_copies_that_mostly_do_not_link(spark, monkeypatc
         assert {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(jaccard.groups(table)).items()} == want
 
 
+def test_only_named_lists_are_placed_and_sketches_leave_out_pairs_without_sets(spark):
+    rng = np.random.default_rng(6)
+    core = np.sort(rng.integers(1, 1 << 62, 200, dtype=np.uint64))
+    sets = [core, np.sort(np.concatenate([core[:-5], rng.integers(1, 1 << 62, 5, dtype=np.uint64)])), np.sort(rng.integers(1, 1 << 62, 200, dtype=np.uint64))]
+    rows = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "node long, n long, shingles binary")
+    every = {(r["node"], r["list"]): r["place"] for r in jaccard.placed_lists(rows, core[:0]).collect()}
+    heavy = [int(x) for x in core[3:7]]
+    named = jaccard.placed_lists(rows.withColumn("lists", F.array(*map(F.lit, heavy))), core[:0]).collect()
+    assert len(named) == 8 < len(every)
+    assert all(every[r["node"], r["list"]] == r["place"] and r["list"] in heavy for r in named)
+
+    found = jaccard.Sets([], 0)
+    found.sets = sets
+    sketch = spark.createDataFrame([(i, len(s), *found.parities(i)) for i, s in enumerate(sets)],
+                                   ", ".join(["node long, n long", *(f"p{i} long" for i in range(jaccard.PARITIES))]))
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert [tuple(r) for r in jaccard.alike(pairs, sketch).collect()] == [(0, 1)]
+
+
 def test_parity_sketches_differ_in_no_more_bits_than_sets():
     texts = [words(n, n % 3).encode() for n in (5, 20, 21, 60, 61, 900, 901)] + [b"", b"a b"]
     found = jaccard.Sets(texts, 0)
