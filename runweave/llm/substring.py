@@ -11,8 +11,10 @@ go, except in the document with the smallest key.
    back to each document, and neighbours that do not branch are compacted to one path: all documents of one vertex hold
    the whole path, so the path is repeated as a whole and its source decides.
 3. A window is within its path, and decided with it, unless its vertex branches or the window reaches over the path's
-   ends. Those windows alone are compared one by one: by 128 bits over their words at their place in each document, an
-   aggregate for the smallest key, and a join back.
+   ends. Those windows are taken in stretches, neighbours with the same vertex, up to `STRETCH`. Stretches with the same words have the same
+   windows, so a stretch that a document with a smaller key has too is repeated as a whole: by 128 bits over its words, an
+   aggregate for the smallest key, and a join back. Only in the document with the smallest key of each stretch the windows are
+   compared one by one, in the same way; of a group of copies that is one.
 
 Texts are hashed in full, nothing is sampled from the result: every window has its vertex. Vertices meet by 64 bits;
 should two k-mers collide, the vertex branches and its windows are compared.
@@ -35,6 +37,10 @@ from pyspark.sql import functions as F
 from runweave.llm.common import Spans, Words, chunks, mix, signed, slide, texts_of, written
 
 WINDOW, GRAM = 50, 16
+#: Windows in a stretch that is compared as a whole.
+STRETCH = 8
+#: Places of a stretch in a text: from the first to the last of a run.
+RUNS = "array<struct<first: int, last: int>>"
 SMALL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,8 +123,9 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
         F.min("source").alias("source"), F.collect_list("at").alias("at")).drop("path"), "paths")
 
 
-def open_windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """128 bits and place of each window that its path does not decide."""
+def open_stretches(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """Stretches of windows that their paths do not decide, written, once for each row: 128 bits (`s1`, `s2`) over the words of
+    each, its places `at`, its number of windows and the 128 bits of each window (`w1`, `w2`) in their order."""
     by_row = found.groupBy(F.col("key").alias("_key"), F.col("id").alias("_id")).agg(
         F.collect_list(F.struct("low", "high", "plain", "at")).alias("paths"))
 
@@ -142,16 +149,47 @@ def open_windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
                 own = fits & (known.low[np.where(fits, start, 0)] == known.grams[place][:, None]) if len(known.low) else fits & False
                 inside = np.array(plain, bool)[:, None] & (start >= np.array(low, np.int64)[:, None]) & (
                     start + window <= np.array(high, np.int64)[:, None])
-                begin = np.unique(start[own & ~inside])
+                rows, ahead = np.nonzero(own & ~inside)
+                begin, which = np.unique(start[rows, ahead], return_index=True)
+                ahead = ahead[which]
                 doc = words.doc[begin] if len(begin) else begin
                 second = Spans(words.hashes(1), 1)
+                # A stretch goes on as long as the next window follows and has the same vertex, `STRETCH` windows at most: it is cut
+                # at fixed distances before the vertex, so that an edit nearby leaves the other stretches as they are.
+                new = np.ones(len(begin), bool)
+                new[1:] = (np.diff(begin) != 1) | (np.diff(ahead) != -1) | (np.diff(ahead // STRETCH) != 0)
+                first = np.flatnonzero(new)
+                edge = np.append(first, len(begin))
+                low, high = begin[first], begin[edge[1:] - 1] + window
+                mine, s1, s2 = doc[first], known.spans(low, high), second(low, high)
+                # A stretch that a text repeats is one row, with its places as runs of at most a window between neighbours.
+                order = np.lexsort((low, s2, s1, mine))
+                other = np.ones(len(order), bool)
+                other[1:] = (np.diff(mine[order]) != 0) | (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+                place = (low - words.first[mine])[order].astype(np.int32)
+                far = other.copy()
+                far[1:] |= np.diff(place) > window
+                head, runs = np.flatnonzero(other), np.flatnonzero(far)
+                at = pa.StructArray.from_arrays([pa.array(place[runs]), pa.array(place[np.append(runs[1:], len(order))[:len(runs)] - 1])], names=["first", "last"])
+                kept = order[head]
+                n = np.diff(edge)[kept]
+                bound = np.concatenate([[0], np.cumsum(n)])
+                pick = begin[np.repeat(first[kept] - bound[:-1], n) + np.arange(bound[-1])]
+                both = [pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(signed(hashed(pick, pick + window))))
+                        for hashed in (known.spans, second)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(known.spans(begin, begin + window))), pa.array(signed(second(begin, begin + window))),
-                     pa.array(np.array(keys, np.int64)[doc]), pa.array(np.array(ids, np.int64)[doc]),
-                     pa.array((begin - words.first[doc]).astype(np.int32))], names=["w1", "w2", "key", "id", "at"])
+                    [pa.array(signed(s1[kept])), pa.array(signed(s2[kept])), pa.array(np.array(keys, np.int64)[mine[kept]]),
+                     pa.array(np.array(ids, np.int64)[mine[kept]]),
+                     pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(runs, head), len(runs)).astype(np.int32)), at),
+                     pa.array(n.astype(np.int32)), *both], names=["s1", "s2", "key", "id", "at", "n", "w1", "w2"])
 
     rows = docs.join(by_row, same_row(docs), "left").drop("_key", "_id")
-    return rows.mapInArrow(run, "w1 long, w2 long, key long, id long, at int")
+    return written(rows.mapInArrow(run, f"s1 long, s2 long, key long, id long, at {RUNS}, n int, w1 array<long>, w2 array<long>"), "stretches")
+
+
+def earlier(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The smallest key (`source`) of what more than one key has."""
+    return rows.groupBy(*by).agg(F.min("key").alias("source"), F.max("key").alias("_most")).filter("source < _most").drop("_most")
 
 
 def same_row(docs: DataFrame) -> Column:
@@ -168,11 +206,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text
     base = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(docs[text]).alias("id"), docs[text].alias("text"),
                        *[docs[c].alias(f"keep_{c}") for c in rest])
     found = paths(base, window)
-    open_ = open_windows(base, found, window)
-    least = open_.groupBy("w1", "w2").agg(F.min("key").alias("source"), F.max("key").alias("_most")).filter("source < _most").drop("_most")
-    singles = open_windows(base, found, window).join(least, ["w1", "w2"]).filter("source < key")
-    gone = found.filter(f"plain and source < key and high - low >= {window}").select("key", "id", "low", "high").unionByName(
-        singles.select("key", "id", F.col("at").alias("low"), (F.col("at") + window).alias("high")))
+    stretches = open_stretches(base, found, window)
+    shared = stretches.join(written(earlier(stretches, ["s1", "s2"]), "shared"), ["s1", "s2"], "left")
+    whole = shared.filter("source < key").select("key", "id", F.explode("at").alias("x"), "n").select(
+        "key", "id", F.col("x.first").alias("low"), F.expr(f"x.last + n - 1 + {window}").alias("high"))
+    # Whoever has a window has it in a stretch, and the smallest key of that stretch has it too.
+    each = shared.filter("source is null or source = key").select("key", "id", "at", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    each = written(each.select("w.w1", "w.w2", "key", "id", "at", "i"), "windows")
+    singles = each.join(earlier(each, ["w1", "w2"]), ["w1", "w2"]).filter("source < key").select(
+        "key", "id", F.explode("at").alias("x"), "i").select(
+        "key", "id", F.expr("x.first + i").alias("low"), F.expr(f"x.last + i + {window}").alias("high"))
+    gone = found.filter(f"plain and source < key and high - low >= {window}").select("key", "id", "low", "high").unionByName(whole).unionByName(singles)
     # Grouped by row, as a set because equal rows have equal runs: as many at most as the text has words.
     by_row = gone.groupBy(F.col("key").alias("_key"), F.col("id").alias("_id")).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     schema = base.schema

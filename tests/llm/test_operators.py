@@ -90,6 +90,28 @@ def test_substring_random_passages(spark):
     assert {k: (r["n_words"], r["n_removed"], r["kept"]) for k, r in got.items()} == removed(dict(rows), 20)
 
 
+def test_substring_windows_of_near_copies_and_repeated_lines_are_compared_once(spark, monkeypatch):
+    rng, base, line, sizes = random.Random(5), words(400, 77).split(), words(9, 78), {}
+    rows = [(k, " ".join([words(20, 500 + k)] + [line] * rng.randrange(8, 40) + [words(30, 600 + k)])) for k in range(30)]
+    for k in range(30, 70):
+        found = list(base)
+        for _ in range(4):
+            found[rng.randrange(400)] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(found)))
+
+    def counted(df, label):
+        out = written(df, label)
+        sizes[label] = out.count()
+        return out
+
+    written = substring.written
+    monkeypatch.setattr(substring, "written", counted)
+    got = by_id(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: (r["n_words"], r["n_removed"], r["kept"]) for k, r in got.items()} == removed(dict(rows), 50)
+    every = sum(max(0, len(WORD.findall(t)) - 49) for _, t in rows)
+    assert sizes["windows"] < every * 2 / 3 and sizes["stretches"] < every / 3
+
+
 def test_substring_repeated_and_missing_keys(spark):
     rows = [(1, PASSAGE), (1, PASSAGE), (None, PASSAGE), (2, PASSAGE)]
     got = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()
