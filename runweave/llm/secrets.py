@@ -3,9 +3,9 @@
 1. One pass over the texts finds the base spans (assignments to names like `token`, access keys, long hexadecimal runs)
    and all other runs of credential characters, the candidates, with their places. It is written as a table; texts are
    not read again.
-2. The values in the base spans, or labelled credentials that are given, teach one automaton for each kind; candidates
-   teach one of ordinary runs (`grammar.py`). This is the only step on a sample: the `SAMPLE` distinct values of each
-   kind that have the smallest hashes.
+2. The values in the base spans, and labelled credentials that are given, teach one automaton for each kind; candidates
+   teach one of ordinary runs (`grammar.py`). All distinct values are counted, and from all of a kind come its sizes and its
+   usual scores: those that a value gets from the counts of the others.
 3. Every candidate is scored. It is a secret of the kind whose automaton makes it likeliest if it is about as likely as
    that kind's own values (no less than all but `TAIL` of them), as long as some of them, and `MARGIN` times as likely as an
    ordinary run is.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm.common import texts_of, written
-from runweave.llm.grammar import Automaton, infer
+from runweave.llm.grammar import STATES, Automaton, infer, learn
 
 #: Kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -38,9 +38,11 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: A candidate has so many characters at least.
 CANDIDATE = 12
-#: Distinct values that an automaton learns from; every fifth of them only tells what scores are usual.
-SAMPLE, HELD = 1000, 5
+#: Up to so many values of a kind cannot tell each other's scores, they keep their own.
+FEW = 5
 TAIL, MARGIN = 0.01, 1e6
+#: Usual scores are held in steps of one part in so many.
+STEPS = 1000
 
 _RUN = np.zeros(256, bool)
 _RUN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
@@ -122,26 +124,42 @@ def searched(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(find, schema)
 
 
-def sample(values: DataFrame, most: int) -> list[str]:
-    """The distinct values with the smallest hashes."""
-    chosen = values.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(most)
-    return [r["value"] for r in chosen.collect()]
+def usual(values: DataFrame, known: Mapping[str, Automaton], sizes: Mapping[str, int], tail: float = TAIL) -> dict[str, float]:
+    """For each kind the score for each character that all but `tail` of its values have, rounded down to a step."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, step = batch.column(0).to_pylist(), []
+            for kind, value in zip(kinds, batch.column(1).to_pylist(), strict=True):
+                score = known[kind].score_without(value) if sizes[kind] > FEW else known[kind].score(value)
+                step.append(math.floor(score / (len(value) + 1) * STEPS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(step, pa.int64())], names=["kind", "step"])
+
+    steps = values.filter("kind is not null").select("kind", "value").mapInArrow(scored, "kind string, step long").groupBy("kind", "step").count()
+    floor, passed = {}, dict.fromkeys(known, 0)
+    for kind, step, n in sorted(map(tuple, steps.collect())):
+        passed[kind] += n
+        if passed[kind] > int(tail * sizes[kind]):
+            floor.setdefault(kind, step / STEPS)
+    return floor
 
 
 class Formats:
-    """Automata of the kinds and of ordinary runs, and from which score on a kind's values are usual."""
+    """Automata of the kinds and of ordinary runs, from which score on a kind's values are usual, and their sizes."""
 
-    def __init__(self, labelled: Mapping[str, list[str]], ordinary: list[str], tail: float = TAIL, margin: float = MARGIN):
+    def __init__(self, kinds: Mapping[str, tuple[Automaton, float, int, int]], ordinary: Automaton, margin: float = MARGIN):
         self.margin = math.log(margin)
-        self.ordinary = infer(ordinary)
-        self.kinds: dict[str, tuple[Automaton, float, int, int]] = {}
-        for kind, values in labelled.items():
-            if values:
-                held = values[::HELD] if len(values) > HELD else values
-                known = infer([v for i, v in enumerate(values) if i % HELD] if len(values) > HELD else values)
-                usual = sorted(known.mean_score(v) for v in held)
-                sizes = [len(v) for v in values]
-                self.kinds[kind] = (known, usual[int(tail * len(usual))], min(sizes), max(sizes))
+        self.ordinary, self.kinds = ordinary, kinds
+
+    @classmethod
+    def learned(cls, values: DataFrame, tail: float = TAIL, margin: float = MARGIN, states: int = STATES) -> Formats:
+        """From all distinct values of all kinds; those of ordinary runs have none."""
+        found = values.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.length("value")).alias("least"), F.max(F.length("value")).alias("most"))
+        sizes = {r["kind"]: r for r in found.collect() if r["kind"] is not None}
+        known = learn(values, states=states)
+        ordinary = known.pop(None, None) or infer([])
+        floor = usual(values, known, {k: r["n"] for k, r in sizes.items()}, tail) if known else {}
+        return cls({k: (known[k], floor[k], sizes[k]["least"], sizes[k]["most"]) for k in sorted(known)}, ordinary, margin)
 
     def kind_of(self, value: str) -> tuple[str, float] | None:
         """The likeliest kind of a run and the logarithm of how much likelier than an ordinary run it is."""
@@ -154,17 +172,17 @@ class Formats:
         return best
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, most: int = SAMPLE,
-         tail: float = TAIL, margin: float = MARGIN) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, tail: float = TAIL,
+         margin: float = MARGIN, states: int = STATES) -> DataFrame:
     """Key, `base` spans (kind, start, end in characters) and `added` ones (also `ratio`, the logarithm of how much
-    likelier than an ordinary run). `labelled` holds further credentials as (kind, value)."""
+    likelier than an ordinary run). `labelled` holds further credentials as (kind, value); an automaton has no more than
+    `states` states."""
     table = written(searched(docs, key, text), "searched")
     values = table.select(F.explode("labelled").alias("x")).select("x.kind", "x.value")
     if labelled is not None:
         values = values.unionByName(labelled.filter("kind is not null and value <> ''").select("kind", "value"))
-    kinds = sorted(r["kind"] for r in values.select("kind").distinct().collect())
-    ordinary = sample(table.select(F.explode("candidates").alias("x")).select("x.value"), most)
-    formats = Formats({k: sample(values.filter(F.col("kind") == k), most) for k in kinds}, ordinary, tail, margin)
+    runs = table.select(F.explode("candidates").alias("x")).select(F.lit(None).cast("string").alias("kind"), "x.value")
+    formats = Formats.learned(written(values.unionByName(runs).distinct(), "values"), tail, margin, states)
     added = "array<struct<kind: string, start: long, end: long, ratio: double>>"
     shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("ratio", pa.float64())]))
 

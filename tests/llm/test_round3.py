@@ -193,6 +193,58 @@ def test_formats_are_found_without_their_name(spark, tmp_path):
         1000: ["like_stripe"], 1001: [], 1002: [], 1003: ["like_stripe"]}
 
 
+def test_formats_are_learned_from_every_value(spark):
+    rng = random.Random(9)
+
+    def key(n):
+        return "sk_live_" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
+
+    common, rare = [key(24) for _ in range(2600)], [key(40) for _ in range(60)]
+    hashed = spark.createDataFrame([(v,) for v in common + rare], "value string").orderBy(F.xxhash64("value")).collect()
+    late = {r["value"] for r in hashed[1000:]}
+    rare = [v for v in rare if v in late]  # none among the 1000 with the smallest hashes
+    known = spark.createDataFrame([("stripe", v) for v in common + rare], "kind string, value string").repartition(3)
+    bare = key(40)
+    docs = spark.createDataFrame([(1, f"see {bare} and internationalisation"), (2, f"see {key(33)}"), (3, f"see {key(41)}")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in secrets.scan(docs, labelled=known, margin=100).collect()}
+    assert got == {1: [("like_stripe", 4, 4 + len(bare))], 2: [("like_stripe", 4, 45)], 3: []}
+
+
+@pytest.mark.parametrize("ahead", [1, 7, 2000])
+def test_every_value_is_counted_however_few_states(spark, monkeypatch, ahead):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("aabcdé😀") for _ in range(rng.randint(1, 40))) for _ in range(700)} | {"a", "x" * 3000 + "y"}
+    words = {"p": sorted(words), None: sorted("".join(rng.choice("xyz") for _ in range(9)) for _ in range(90)), "one": ["q" * 30]}
+    values = spark.createDataFrame([(k, v) for k, vs in words.items() for v in vs], "kind string, value string").repartition(5).localCheckpoint()
+    monkeypatch.setattr(grammar, "AHEAD", ahead)
+    monkeypatch.setattr(grammar, "COUNTERS", 50)
+    for states in (1, 3, 40):
+        found = grammar.learn(values, states=states)
+        assert found.keys() == words.keys()
+        for kind, known in found.items():
+            assert len(known.counts) <= states and sum(c.get("", 0) for c in known.counts) == len(words[kind])
+            again = [Counter() for _ in known.counts]
+            for word in words[kind]:
+                now = 0
+                for char in word:
+                    again[now][char] += 1
+                    now = known.steps[now][char][0]
+                again[now][""] += 1
+            assert again == [Counter({c: n for c, n in counts.items() if n}) for counts in known.counts]
+
+
+def test_a_score_without_its_own_string():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(50)]
+    root = grammar.prefix_tree(words)
+    grammar.grow([root], most=1)
+    known = grammar.Automaton([root])
+    for i, word in enumerate(words[:10]):
+        root = grammar.prefix_tree(words[:i] + words[i + 1:])
+        grammar.grow([root], most=1)
+        assert known.score_without(word) == pytest.approx(grammar.Automaton([root]).score(word))
+
+
 def test_states_merge_where_frequencies_agree():
     rng = random.Random(2)
     loop = ["".join(iter(lambda: rng.choice("ab|"), "|")) for _ in range(400)]
