@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from runweave.llm.common import written
 
 LISTS = 2
-#: Rows in a block of candidates and of queries.
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+#: Rows in a block of candidates and of queries, and queries of a block that are multiplied at a time.
+BLOCK_ROWS, QUERY_ROWS, PART_ROWS = 8192, 1024, 128
+#: Types of packed vectors, by their bytes.
+KINDS = (np.int16, np.int32, np.float64)
 #: Whole numbers below this are exact as doubles; larger doubles are whole.
 EXACT, LONG = 2.0**53, 2**63
 
@@ -44,15 +46,21 @@ def integers(vector: Column, factor: int) -> Column:
     return F.when(~bad, F.transform(wide, lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)))
 
 
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers in the shortest of `KINDS` that holds all of them."""
+    low, high = numbers.min(initial=0.0), numbers.max(initial=0.0)
+    return numbers.astype(next((t for t in KINDS[:-1] if np.iinfo(t).min <= low and high <= np.iinfo(t).max), KINDS[-1]))
+
+
 def packed(rows: DataFrame, block: Column, width: int, extra: str = "") -> DataFrame:
-    """One row for each block: keys, vectors as 64-bit floats (integers are exact in them) and perhaps cutoffs."""
+    """One row for each block: keys, vectors in as few bytes as are exact and perhaps cutoffs."""
 
     def pack(table: pa.Table) -> pa.Table:
         vectors = np.zeros((table.num_rows, width))
         for i, v in enumerate(table.column("v").to_pylist()):
             vectors[i, :len(v)] = v
         columns = {"block": [table.column("block")[0].as_py()], "keys": [table.column("key").to_numpy().tobytes()],
-                   "vectors": [vectors.tobytes()]}
+                   "vectors": [_small(vectors).tobytes()]}
         if extra:
             columns[extra] = [table.column(extra).to_numpy().astype(np.float64).tobytes()]
         return pa.table(columns, schema=pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in list(columns)[1:]]))
@@ -62,15 +70,31 @@ def packed(rows: DataFrame, block: Column, width: int, extra: str = "") -> DataF
 
 
 def met(candidates: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
-    """Each block of queries beside each block of candidates, by an equal join on the candidates' number."""
+    """Each block of queries beside each block of candidates, by an equal join on the candidates' number.
+
+    Both sides are dealt out: Spark's estimate does not know that each block of queries comes `blocks` times, and would have
+    the driver collect and send all of them while the queries alone are few.
+    """
     sent = queries.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     renamed = sent.select("block", *[F.col(c).alias(f"q_{c}") for c in sent.columns if c != "block"])
-    return candidates.join(renamed, "block").drop("block")
+    return candidates.join(renamed.hint("merge"), "block").drop("block")
+
+
+def _vectors(data: pa.Buffer, rows: int, width: int) -> np.ndarray:
+    kind = next(t for t in KINDS if data.size == rows * width * np.dtype(t).itemsize)
+    return np.frombuffer(data, kind).reshape(rows, width).astype(np.float64)
 
 
-def _read(row: dict, width: int):
-    keys, vectors = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, width)
-    return keys, vectors, np.frombuffer(row["q_keys"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, width)
+def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys and vectors of candidates beside those of a few queries, with the cutoffs of these if they were sent."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_buffer() for name in batch.schema.names}
+            keys, asks = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["q_keys"], np.int64)
+            vectors, wanted = _vectors(row["vectors"], len(keys), width), _vectors(row["q_vectors"], len(asks), width)
+            more = [np.frombuffer(row["q_cutoff"])] if "q_cutoff" in row else []
+            for low in range(0, len(asks), PART_ROWS):
+                yield keys, vectors, *(x[low:low + PART_ROWS] for x in (asks, wanted, *more))
 
 
 def _error(vectors: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -101,24 +125,22 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
         return [wanted[:, a:b] @ vectors[:, a:b].T for a, b in zip(edges, edges[1:], strict=False)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, vectors, asks, wanted = _read(row, width)
-                parts = partial(vectors, wanted)
-                own = asks[:, None] == keys[None, :]
-                best: list[set] = [set() for _ in asks]
-                for part in parts:
-                    part = np.where(own, -np.inf, part)
-                    for i, top in enumerate(np.argpartition(-part, min(k, len(keys)) - 1, axis=1)[:, :k]):
-                        best[i].update(j for j in top.tolist() if not own[i, j])
-                found = [(i, j) for i, js in enumerate(best) for j in js]
-                at = np.array(found, np.int64).reshape(-1, 2)
-                total = sum(p[at[:, 0], at[:, 1]] for p in parts) if found else np.empty(0)
-                total = np.nan_to_num(total - _error(vectors, wanted)[at[:, 0]], nan=-np.inf, posinf=float(LONG), neginf=-np.inf)
-                order = np.lexsort((-total, at[:, 0]))
-                at, total = at[order], total[order]
-                first = np.arange(len(at)) - np.searchsorted(at[:, 0], at[:, 0]) < k
-                yield pa.RecordBatch.from_arrays([pa.array(asks[at[first, 0]]), pa.array(total[first])], names=["key", "sum"])
+        for keys, vectors, asks, wanted in _parts(batches, width):
+            parts = partial(vectors, wanted)
+            own = asks[:, None] == keys[None, :]
+            best: list[set] = [set() for _ in asks]
+            for part in parts:
+                part = np.where(own, -np.inf, part)
+                for i, top in enumerate(np.argpartition(-part, min(k, len(keys)) - 1, axis=1)[:, :k]):
+                    best[i].update(j for j in top.tolist() if not own[i, j])
+            found = [(i, j) for i, js in enumerate(best) for j in js]
+            at = np.array(found, np.int64).reshape(-1, 2)
+            total = sum(p[at[:, 0], at[:, 1]] for p in parts) if found else np.empty(0)
+            total = np.nan_to_num(total - _error(vectors, wanted)[at[:, 0]], nan=-np.inf, posinf=float(LONG), neginf=-np.inf)
+            order = np.lexsort((-total, at[:, 0]))
+            at, total = at[order], total[order]
+            first = np.arange(len(at)) - np.searchsorted(at[:, 0], at[:, 0]) < k
+            yield pa.RecordBatch.from_arrays([pa.array(asks[at[first, 0]]), pa.array(total[first])], names=["key", "sum"])
 
     everyone = packed(ask.select("key", "v", "ask"), F.pmod(F.col("ask"), F.lit(asked)), width)
     sums = met(candidates, everyone, blocks).mapInArrow(gather, "key long, sum double")
@@ -127,30 +149,28 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
     told = written(ask.join(cutoff, "key", "left").na.fill(float("-inf"), ["cutoff"]).select("key", "v", "ask", "cutoff"), "cutoffs")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, vectors, asks, wanted = _read(row, width)
-                # Scores beyond a long tie, so no cutoff lies there.
-                limit = np.minimum(np.frombuffer(row["q_cutoff"]), LONG * (1 - 2.0**-52))
-                limit = np.where(limit <= -LONG * (1 - 2.0**-52), -np.inf, limit)
-                error = _error(vectors, wanted)
-                parts = partial(vectors, wanted)
-                enough = np.zeros(parts[0].shape, bool)
-                for part in parts:
-                    enough |= ~(part < (limit / LISTS - error)[:, None])
-                q, c = np.nonzero(enough)
-                total = sum(p[q, c] for p in parts)
-                stay = ~(total < (limit - error)[q]) & (asks[q] != keys[c])
-                q, c, total = q[stay], c[stay], total[stay]
-                whole = error[q] == 0
-                score = np.where(whole, total, 0).astype(np.int64)
-                score[~whole] = [_exact(wanted[i], vectors[j]) for i, j in zip(q[~whole], c[~whole], strict=True)]
-                order = np.lexsort((keys[c], ~score, q))
-                q, c, score = q[order], c[order], score[order]
-                first = np.arange(len(q)) - np.searchsorted(q, q) < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asks[q[first]]), pa.array(keys[c[first]]), pa.array(score[first])],
-                    names=["query_id", "key", "score"])
+        for keys, vectors, asks, wanted, limit in _parts(batches, width):
+            # Scores beyond a long tie, so no cutoff lies there.
+            limit = np.minimum(limit, LONG * (1 - 2.0**-52))
+            limit = np.where(limit <= -LONG * (1 - 2.0**-52), -np.inf, limit)
+            error = _error(vectors, wanted)
+            parts = partial(vectors, wanted)
+            enough = np.zeros(parts[0].shape, bool)
+            for part in parts:
+                enough |= ~(part < (limit / LISTS - error)[:, None])
+            q, c = np.nonzero(enough)
+            total = sum(p[q, c] for p in parts)
+            stay = ~(total < (limit - error)[q]) & (asks[q] != keys[c])
+            q, c, total = q[stay], c[stay], total[stay]
+            whole = error[q] == 0
+            score = np.where(whole, total, 0).astype(np.int64)
+            score[~whole] = [_exact(wanted[i], vectors[j]) for i, j in zip(q[~whole], c[~whole], strict=True)]
+            order = np.lexsort((keys[c], ~score, q))
+            q, c, score = q[order], c[order], score[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(asks[q[first]]), pa.array(keys[c[first]]), pa.array(score[first])],
+                names=["query_id", "key", "score"])
 
     asked_blocks = packed(told, F.pmod(F.col("ask"), F.lit(asked)), width, "cutoff")
     found = met(candidates, asked_blocks, blocks).mapInArrow(resolve, "query_id long, key long, score long")

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,6 +430,40 @@ def test_top_k_of_few_rows(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_of_more_queries_than_are_multiplied_at_a_time(spark):
+    rng = np.random.default_rng(4)
+    ints = rng.integers(-300, 300, (2 * topk.PART_ROWS + 9, 5))
+    ints[7] *= 1000
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(ints)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") >= 0, k=3, block_rows=100).collect()]
+    want = []
+    for q, scores in enumerate((ints @ ints.T).tolist()):
+        best = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:3]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_top_k_sends_no_blocks_over_the_driver(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = [(i, [i % 7 / 8, i % 5 / 8]) for i in range(200)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block_rows=16)
+    assert found.count() == len(found.collect()) == 20
+    assert "MapInArrow" in plan(found) and "Broadcast" not in plan(found)
+    blocks = spark.range(12).select(F.col("id").alias("block"), F.lit(b"x" * 50).alias("keys"), F.lit(b"y" * 50).alias("vectors"))
+    pairs = topk.met(blocks, blocks.limit(3), 12)
+    assert pairs.count() == len(pairs.collect()) == 36
+    assert "Join" in plan(pairs) and "Broadcast" not in plan(pairs)
+
+
+def test_vectors_are_packed_in_the_fewest_bytes_that_are_exact():
+    for top, kind in ((2**15 - 1, np.int16), (2**15, np.int32), (-(2**31), np.int32), (2**31, np.float64), (-1e300, np.float64)):
+        numbers = np.array([[0.0, top], [1.0, -2.0]])
+        assert topk._small(numbers).dtype == kind
+        assert (topk._vectors(pa.py_buffer(topk._small(numbers).tobytes()), 2, 2) == numbers).all()
+
+
 def test_empty_tables(none):
     for rows in (substring.deduplicate(none), jaccard.groups(none), multiset.edited_fingerprints(none), counts.token_counts(none, WORD_BPE, 1)):
         assert rows.collect() == []
