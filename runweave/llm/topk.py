@@ -69,15 +69,16 @@ def packed(rows: DataFrame, block: Column, width: int, extra: str = "") -> DataF
     return rows.withColumn("block", block).groupBy("block").applyInArrow(pack, schema)
 
 
-def met(candidates: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
-    """Each block of queries beside each block of candidates, by an equal join on the candidates' number.
+def met(candidates: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
+    """Each block of queries beside each block of candidates, by an equal join on groups of the candidates' blocks.
 
-    Both sides are dealt out: Spark's estimate does not know that each block of queries comes `blocks` times, and would have
+    Both sides are dealt out: Spark's estimate does not know that each block of queries comes `groups` times, and would have
     the driver collect and send all of them while the queries alone are few.
     """
-    sent = queries.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    sent = queries.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     renamed = sent.select("block", *[F.col(c).alias(f"q_{c}") for c in sent.columns if c != "block"])
-    return candidates.join(renamed.hint("merge"), "block").drop("block")
+    grouped = candidates.withColumn("block", F.pmod("block", F.lit(groups)))
+    return grouped.join(renamed.hint("merge"), "block").drop("block")
 
 
 def _vectors(data: pa.Buffer, rows: int, width: int) -> np.ndarray:
@@ -117,6 +118,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
     width, total, asking = rows.agg(F.max(F.size("v")), F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     width = max(width or 1, LISTS)
     blocks, asked = max(1, -(-total // block_rows)), max(1, -(-asking // QUERY_ROWS))
+    # Queries are sent once for each group: as many bytes as all candidates have, or what the cores need.
+    groups = min(blocks, max(total // max(1, asking), 2 * df.sparkSession.sparkContext.defaultParallelism))
     edges = [width * i // LISTS for i in range(LISTS + 1)]
     candidates = written(packed(rows, F.pmod(F.xxhash64("key", "v"), F.lit(blocks)), width), "candidates")
     ask = rows.filter("asks").withColumn("ask", F.xxhash64("key", "v"))
@@ -143,7 +146,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
             yield pa.RecordBatch.from_arrays([pa.array(asks[at[first, 0]]), pa.array(total[first])], names=["key", "sum"])
 
     everyone = packed(ask.select("key", "v", "ask"), F.pmod(F.col("ask"), F.lit(asked)), width)
-    sums = met(candidates, everyone, blocks).mapInArrow(gather, "key long, sum double")
+    sums = met(candidates, everyone, groups).mapInArrow(gather, "key long, sum double")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sum")))
     cutoff = sums.withColumn("_at", place).filter(F.col("_at") == k).select("key", F.col("sum").alias("cutoff"))
     told = written(ask.join(cutoff, "key", "left").na.fill(float("-inf"), ["cutoff"]).select("key", "v", "ask", "cutoff"), "cutoffs")
@@ -173,7 +176,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vecto
                 names=["query_id", "key", "score"])
 
     asked_blocks = packed(told, F.pmod(F.col("ask"), F.lit(asked)), width, "cutoff")
-    found = met(candidates, asked_blocks, blocks).mapInArrow(resolve, "query_id long, key long, score long")
+    found = met(candidates, asked_blocks, groups).mapInArrow(resolve, "query_id long, key long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")
 

@@ -452,9 +452,10 @@ def test_top_k_sends_no_blocks_over_the_driver(spark):
     assert found.count() == len(found.collect()) == 20
     assert "MapInArrow" in plan(found) and "Broadcast" not in plan(found)
     blocks = spark.range(12).select(F.col("id").alias("block"), F.lit(b"x" * 50).alias("keys"), F.lit(b"y" * 50).alias("vectors"))
-    pairs = topk.met(blocks, blocks.limit(3), 12)
-    assert pairs.count() == len(pairs.collect()) == 36
-    assert "Join" in plan(pairs) and "Broadcast" not in plan(pairs)
+    for groups in (5, 12):
+        pairs = topk.met(blocks, blocks.limit(3), groups)
+        assert pairs.count() == len(pairs.collect()) == 36
+        assert "Join" in plan(pairs) and "Broadcast" not in plan(pairs)
 
 
 def test_vectors_are_packed_in_the_fewest_bytes_that_are_exact():
